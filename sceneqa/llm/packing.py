@@ -33,14 +33,13 @@ def encode_local(df: DataFrame, path: str, keeps_blanks: bool, end_id: int) -> D
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path, keeps_blanks), end_id.to_bytes(2, "little")
+        encode = encoder(path, keeps_blanks, end_id)
         part, local = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [x + end for x in encode(text_array(batch).to_pylist())]
-            sizes = np.array([len(x) // 2 for x in ids], np.int64)
+            ids, sizes = encode(text_array(batch))
             at = local + np.cumsum(sizes) - sizes
             local += int(sizes.sum())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(np.full(len(ids), part)), pa.array(at)], names=["doc_id", "ids", "part", "local"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(np.full(len(ids), part)), pa.array(at)], names=["doc_id", "ids", "part", "local"])
 
     return texts(df).mapInArrow(run, "doc_id bigint, ids binary, part bigint, local bigint")
 

@@ -136,10 +136,9 @@ def write_store(docs: DataFrame, ws: Workspace, path: str, keeps_blanks: bool, e
     """The table of shards: part, shard, first_id, last_id, n_tokens, image."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path, keeps_blanks), end_id.to_bytes(2, "little")
+        enc = encoder(path, keeps_blanks, end_id)
         for batch in batches:
-            ids = [x + end for x in enc(text_array(batch).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), enc(text_array(batch))[0]], names=["doc_id", "ids"])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, start = TaskContext.get().partitionId(), 0, 0

@@ -1,71 +1,118 @@
-"""Whole-text tokenisation by the tokenizers library with a bounded cache of pieces between spaces.
+"""Whole-text tokenisation by the tokenizers library with a bounded table of pieces.
 
-Both vocabularies split texts before they merge, and never across a space that stands alone between other
-characters (one of them: never across any space or line feed). So the ids of a text are those of its pieces in
-order, and a frequent piece is encoded once a worker. Texts for which that does not hold (runs of spaces, for the
-vocabulary that keeps them) are encoded as a whole.
+Both vocabularies split texts before they merge, and never across a space that stands alone between other characters
+(one of them: never across any space or line feed). So the ids of a text are those of its pieces in order. Pieces are
+found and looked up for a batch at once by 64-bit hashes, and the library encodes each distinct piece once for as
+long as the table holds it. Texts for which the rule does not hold (runs of spaces, a space at an end, for the vocabulary that
+keeps spaces) are one piece.
 """
 
 from __future__ import annotations
 
-from array import array
 from itertools import chain
 
-from sceneqa.llm.common import single_thread
+import numpy as np
+import pyarrow as pa
 
-#: Pieces that a worker remembers (about 200 bytes each); it forgets all of them when they are more.
-CACHE = 1_000_000
-#: Texts that share one small table of pieces.
-STEP = 500
-#: Longer pieces are encoded each time.
-LONGEST = 40
+from sceneqa.llm.common import byte_view, groups, hash_spans, per_value, single_thread, spans, table
 
-_loaded: dict[tuple[str, bool, str], Encoder] = {}
+#: Pieces and ids that a worker's table holds (about 20 and 2 bytes each); beyond that it starts anew.
+PIECES, POOL = 3_000_000, 12_000_000
+
+_LINES = table(" \n")
+_loaded: dict[tuple[str, bool, int], Encoder] = {}
 
 
 class Encoder:
-    """texts -> the ids of each as little-endian unsigned integers of 2 or 4 bytes (kind H or I)."""
+    """Texts to ids of 2 bytes, each text with an end id after it."""
 
-    def __init__(self, path: str, keeps_blanks: bool, kind: str):
+    def __init__(self, path: str, keeps_blanks: bool, end_id: int):
         single_thread()
         from tokenizers import Tokenizer
 
-        self.tok, self.keeps, self.kind = Tokenizer.from_file(path), keeps_blanks, kind
-        self.known: dict[str, bytes] = {}
+        self.tok, self.keeps, self.end_id = Tokenizer.from_file(path), keeps_blanks, end_id
+        if max(self.tok.get_vocab_size(), end_id) > 1 << 16:
+            raise ValueError("the vocabulary needs wider ids")
+        self._clear()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        kind = self.kind
-        return [array(kind, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _clear(self) -> None:
+        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.array([self.end_id], np.uint16)
 
-    def _parts(self, text: str) -> list[str] | None:
+    def _pieces(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not self.keeps:
-            return list(filter(None, text.replace("\n", " ").split(" ")))
-        parts = text.split(" ")
-        return None if "" in parts else [parts[0], *map(" ".__add__, parts[1:])]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(texts), STEP):
-            out += self._step(texts[i : i + STEP])
-        return out
-
-    def _step(self, texts: list[str]) -> list[bytes]:
-        split = [self._parts(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        pieces = set(chain.from_iterable(p for p in split if p))
-        unseen = list(pieces.difference(self.known))
-        got = dict(zip(unseen, self._encode(unseen), strict=True)) if unseen else {}
-        self.known.update((p, v) for p, v in got.items() if len(p) <= LONGEST)
-        # a small table of this step's pieces stays in the processor's cache, the large one does not
-        here = {p: got[p] if p in got else self.known[p] for p in pieces}
-        whole = iter(self._encode([t for t, p in zip(texts, split, strict=True) if p is None]))
-        return [next(whole) if p is None else b"".join(map(here.__getitem__, p)) for p in split]
-
-
-def encoder(path: str, keeps_blanks: bool, kind: str = "H") -> Encoder:
-    """One encoder a worker. keeps_blanks: a piece takes the blank before it."""
-    key = (path, keeps_blanks, kind)
+            return spans(data, bounds, _LINES)
+        n = len(data)
+        blank = data == 32
+        edge = np.zeros(n + 1, bool)
+        edge[:-1] = blank
+        odd = np.zeros(n + 1, np.int64)
+        last = np.zeros(n, bool)  # the text's last byte
+        last[bounds[1:][np.diff(bounds) > 0] - 1] = True
+        first = bounds[:-1][np.diff(bounds) > 0]
+        wrong = blank & last
+        wrong[:-1] |= blank[:-1] & blank[1:]
+        wrong[first] |= blank[first]
+        if wrong.any():
+            np.cumsum(wrong, out=odd[1:])
+            for k in np.flatnonzero(odd[bounds[1:]] > odd[bounds[:-1]]).tolist():
+                edge[bounds[k] : bounds[k + 1]] = False
+        edge[bounds] = True
+        edge[[0, n]] = True
+        cut = np.flatnonzero(edge)
+        return cut[:-1], cut[1:]
+
+    def _learn(self, words: list[str], hashes: np.ndarray) -> None:
+        """hashes: of the words, ascending."""
+        found = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        at = len(self.pool) + np.cumsum(size) - size
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(found), np.uint16, int(size.sum()))])
+        to = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.at, self.size = (np.insert(a, to, b) for a, b in ((self.hashes, hashes), (self.at, at), (self.size, size)))
+
+    def _step(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts in a row, and how many each has."""
+        starts, ends = self._pieces(data, bounds)
+        first = per_value(starts, bounds)
+        if len(self.hashes) > PIECES or len(self.pool) > POOL:
+            self._clear()
+        kinds, where, back = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, kinds)
+        known = np.zeros(len(kinds), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == kinds[inside]
+        if not known.all():
+            raw = data.tobytes()
+            new = where[~known]
+            self._learn([raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], kinds[~known])
+            at = np.searchsorted(self.hashes, kinds)
+        # the end id stands in the pool's first place; one goes behind each text's pieces
+        begin = np.insert(self.at[at][back], first[1:], 0)
+        size = np.insert(self.size[at][back], first[1:], 1)
+        done = np.cumsum(size)
+        total = int(done[-1]) if len(done) else 0
+        ids = self.pool[np.repeat(begin - done + size, size) + np.arange(total)]
+        upto = done[first[1:] + np.arange(len(bounds) - 1)]
+        return ids, np.diff(upto, prepend=0)
+
+    def __call__(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The ids of each text as a binary value, and how many they are."""
+        raw, offsets = byte_view(texts)
+        ids, sizes = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
+        for i, j in groups(offsets):
+            a, b = self._step(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            ids.append(a)
+            sizes.append(b)
+        flat, n = np.concatenate(ids), np.concatenate(sizes)
+        at = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(2 * n, out=at[1:])
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at), pa.py_buffer(flat)]).cast(pa.binary()), n
+
+
+def encoder(path: str, keeps_blanks: bool, end_id: int) -> Encoder:
+    """One encoder a worker. keeps_blanks: the vocabulary encodes a space with what follows it."""
+    key = (path, keeps_blanks, end_id)
     if key not in _loaded:
-        _loaded[key] = Encoder(path, keeps_blanks, kind)
+        _loaded[key] = Encoder(path, keeps_blanks, end_id)
     return _loaded[key]
