@@ -6,26 +6,67 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sceneqa.llm import packing, token_store
-from sceneqa.llm.common import Workspace
+from sceneqa.llm import decontaminate, ngrams, packing, pii, quality, simhash, substrings, token_store, toxicity, vectors
+from sceneqa.llm.common import Workspace, crc_column
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.cluster(read(spark, sf_dir, "documents"))
+
+
+def op2_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score(read(spark, sf_dir, "documents"), crc_column() % 5 == 1)
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "op3")
     return token_store.read_store(token_store.write_store(read(spark, sf_dir, "documents"), ws, public_tokenizers.path("word_bpe_49k.json"), keeps_blanks=False, end_id=1))
 
 
+def op4_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, ws = read(spark, sf_dir, "documents"), Workspace(spark, "op4")
+    return quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels"), ws), ws=ws)
+
+
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), counted=True)
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["words"])
+    sha = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), sha.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(read(spark, sf_dir, "documents")).drop("kept")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = read(spark, sf_dir, "documents"), crc_column() % 4 == 2
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels").where(~held), Workspace(spark, "op8"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).drop("ids")
 
 
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.cluster(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_store, op9_packing)}
+    named = (op1_simhash, op2_ngram_trie, op3_token_store, op4_resampling, op5_pseudonyms, op6_decontamination, op7_substrings, op8_toxicity, op9_packing, op10_vectors)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
