@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from sceneqa.queries import extensions, geometry, joins, nested, sampling, stats, text, windows  # noqa: F401
+from sceneqa.queries.registry import ORACLES, QUERIES, Query
 
-def queries():
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def oracle_sql():
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
