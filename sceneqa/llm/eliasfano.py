@@ -2,7 +2,7 @@
 
 A sequence of n ascending numbers below u keeps the low bits of each, about log2(u / n), in packed words, and the high
 bits in unary: one set bit per number, one clear bit per step. Numbers from a place on (successor search) are found by
-the position of a clear bit, with one directory entry in 64 clear bits, and a search among the few numbers that share
+the position of a clear bit, with one directory entry in 16 clear bits, and a search among the few numbers that share
 their high bits. All queries run on arrays.
 
 The trie has a level per order. Level one holds the hashes of words. A higher level holds, context by context, the places of
@@ -53,8 +53,8 @@ class Sequence:
         at = top.astype(np.int64) + np.arange(n)
         high = np.zeros((n + steps) // 64 + 2, np.uint64)
         np.bitwise_or.at(high, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-        # the numbers before every 64th clear bit
-        marks = np.arange(0, steps + 1, 64)
+        # the numbers before every 16th clear bit
+        marks = np.arange(0, steps + 1, 16)
         return cls(n, bits, _packed(values & np.uint64((1 << bits) - 1), bits), high, np.searchsorted(top, marks).astype(np.uint32))
 
     def to_bytes(self) -> bytes:
@@ -83,10 +83,10 @@ class Sequence:
 
     def _before(self, top: np.ndarray) -> np.ndarray:
         """How many numbers have high bits below `top`: those before its clear bit."""
-        block = top >> 6
+        block = top >> 4
         n = self.skip[block].astype(np.int64)
-        at = n + (block << 6)  # the place in the unary part where the block begins
-        left = top & 63  # clear bits still to pass
+        at = n + (block << 4)  # the place in the unary part where the block begins
+        left = top & 15  # clear bits still to pass
         word = at >> 6
         bits = ~self.high[word] & (np.uint64(0xFFFFFFFFFFFFFFFF) << (at & 63).astype(np.uint64))
         go = np.flatnonzero(left > 0)
@@ -101,20 +101,37 @@ class Sequence:
             b = ~self.high[w] if len(go) else b
         return out - top
 
+    def _ones(self, at: np.ndarray) -> np.ndarray:
+        """How many set bits stand in a row from each place of the unary part."""
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        clear = ~(self.high[word] >> shift)
+        # the bits below the lowest clear one
+        out = np.bitwise_count(~clear & (clear - np.uint64(1))).astype(np.int64)
+        go = np.flatnonzero(out + (at & 63) >= 64)
+        out[go] = 64 - (at[go] & 63)
+        word = word[go] + 1
+        while len(go):
+            bits = ~self.high[word]
+            n = np.where(bits == 0, 64, np.bitwise_count(~bits & (bits - np.uint64(1)))).astype(np.int64)
+            out[go] += n
+            go, word = go[n == 64], word[n == 64] + 1
+        return out
+
     def successor(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place of the first number that is not smaller than each value, and whether it equals it."""
         values = values.astype(np.uint64)
         top, want = (values >> np.uint64(self.bits)).astype(np.int64), values & np.uint64((1 << self.bits) - 1)
-        lo, hi = self._before(top), self._before(top + 1)
-        end = hi.copy()
+        lo = self._before(top)
+        end = lo + self._ones(lo + top)
+        hi = end.copy()
         while True:
             open_ = np.flatnonzero(lo < hi)
             if not len(open_):
                 break
             mid = (lo[open_] + hi[open_]) >> 1
             less = self.lows(mid) < want[open_]
-            lo[open_] = np.where(less, mid + 1, lo[open_])
-            hi[open_] = np.where(less, hi[open_], mid)
+            lo[open_[less]] = mid[less] + 1
+            hi[open_[~less]] = mid[~less]
         hit = lo < end
         hit[hit] = self.lows(lo[hit]) == want[hit]
         return lo, hit
@@ -122,7 +139,7 @@ class Sequence:
     def get(self, i: np.ndarray) -> np.ndarray:
         """The numbers at some places, by halving over the directory's counts."""
         block = np.searchsorted(self.skip, i, "right") - 1
-        lo, hi = block << 6, np.minimum((block + 1) << 6, (64 * len(self.high) - self.n - 1))
+        lo, hi = block << 4, np.minimum((block + 1) << 4, (64 * len(self.high) - self.n - 1))
         while True:  # the largest top of which at most i numbers have smaller high bits
             open_ = np.flatnonzero(hi - lo > 1)
             if not len(open_):

@@ -7,8 +7,8 @@ was seen has its own probability, and one that wasn't has that of the shorter on
 Texts are cut into chunks of bounded size. A chunk asks the shards for the counts of its distinct n-grams: sorted keys
 with its own training counts, dealt by leading bits. A shard adds the counts of all chunks that hold a key and answers
 in the same order. So counts cover the whole corpus, no n-gram is ever gathered by occurrences, and a frequent one costs each chunk one
-key. With the answers a chunk builds its slice of the trie, maps it, and looks up every token: the bigram that ends in
-it, then the trigram, each by a successor search relative to its context. A slice is as large as its chunk, however
+key. With the answers a chunk builds its slice of the trie, maps it, and looks up the n-gram that ends in each token, order
+by order, each by a successor search relative to its context. A slice is as large as its chunk, however
 large the corpus is.
 
 Keys of n-grams have 20 bits more than their number needs, keys of words all 64 bits of their hashes.
@@ -100,7 +100,7 @@ class Grams:
         self.doc = np.repeat(np.arange(len(sizes)), sizes)
         train = ~np.repeat(held, sizes)
         v = len(words)
-        self.grams, self.keys, self.counts, self.order = [], [], [], []
+        self.grams, self.keys, self.counts, self.order, self.places = [], [], [], [], []
         mixed = mix(words, 9)
         low = np.uint64(64 - key_bits)
         context = None
@@ -124,6 +124,7 @@ class Grams:
                 place[at] = back
             self.hash = mixed if n == 1 else mix(self.hash[c] * np.uint64(0x9E3779B97F4A7C15) + mixed[w], n)
             context = place
+            self.places.append(place)
             order = np.argsort(keys, kind="stable") if n > 1 else np.arange(v)
             self.keys.append(keys[order])
             self.counts.append(counts[order])
@@ -234,23 +235,28 @@ def _tails(g: Grams) -> np.ndarray:
     return np.searchsorted(pairs, w2[c3].astype(np.uint64) * v + w3.astype(np.uint64))
 
 
-def log_probs(trie: Trie, hashes: np.ndarray, first: np.ndarray, unknown: float) -> np.ndarray:
-    """The model's log10 probability of each token. first: whether a token begins its text; unknown: of an unknown word."""
-    word = trie.word(hashes)
-    one = np.full(len(word), unknown)
+def log_probs(trie: Trie, g: Grams, unknown: float) -> np.ndarray:
+    """The model's log10 probability of each token. unknown: that of an unknown word.
+
+    Each distinct n-gram is looked up once, behind the place of its context.
+    """
+    word = trie.word(g.words)
     known = word >= 0
-    one[known] = trie.log_prob(1, word[known])
-    before = np.r_[-1, word[:-1]]
-    before[first] = -1
-    two = trie.child(2, before, word)
-    out = one
-    out[before >= 0] += trie.log_back(1, before[before >= 0])
-    out[two >= 0] = trie.log_prob(2, two[two >= 0])
-    context = np.r_[-1, two[:-1]]
-    context[first] = -1
-    three = trie.child(3, context, word)
-    out[context >= 0] += trie.log_back(2, context[context >= 0])
-    out[three >= 0] = trie.log_prob(3, three[three >= 0])
+    p = np.full(len(word), unknown)
+    p[known] = trie.log_prob(1, word[known])
+    out = p[g.ids]
+    context, shorter = word, p
+    for n in range(2, ORDER + 1):
+        c, w = g.grams[n - 1]
+        before = context[c]
+        here = trie.child(n, before, word[w])
+        p = shorter[w] if n == 2 else shorter[_tails(g)]
+        seen = before >= 0
+        p[seen] += trie.log_back(n - 1, before[seen])
+        p[here >= 0] = trie.log_prob(n, here[here >= 0])
+        at = g.places[n - 1]
+        out[at >= 0] = p[at[at >= 0]]
+        context, shorter = here, p
     return out
 
 
@@ -277,11 +283,9 @@ def scored(table: DataFrame, told: DataFrame, bits: int, key_bits: int, total: i
             trie = slice_of(g, counts, total, types, weights)
             sizes = np.array(row["sizes"], np.int64)
             starts = np.cumsum(sizes) - sizes
-            begins = np.zeros(len(g.ids), bool)
-            begins[starts] = True
             c = counts[0][g.ids]
             base = np.add.reduceat(np.log10((c + 0.5) / floor), starts)
-            model = np.add.reduceat(log_probs(trie, g.words[g.ids], begins, np.log10(0.5 / floor)), starts)
+            model = np.add.reduceat(log_probs(trie, g, np.log10(0.5 / floor)), starts)
             known = np.add.reduceat((c > 0).astype(np.int64), starts)
             cols = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), total)), pa.array(base), pa.array(model)]
             out.append(pa.table(cols, names=[x.split()[0] for x in RESULT.split(", ")]))
