@@ -5,8 +5,9 @@ sorted distinct fingerprints of its windows, dealt to shards by their leading bi
 parts (and those of earlier batches) in order and tells each part which of its fingerprints an earlier run holds: one
 bit each. A part then removes the words of windows that an earlier run or an earlier window of its own has.
 
-A fingerprint has 56 bits, by which runs are sorted and merged, and 24 bits of an independent hash that verify a
-meeting before it counts. Two different windows among n thus meet by chance with a probability of about n**2 / 2**81.
+A fingerprint has 20 bits more than the number of windows needs, by which runs are sorted and merged, and 24 bits of an
+independent hash that verify a meeting before it counts. So whatever the number of windows, two different ones of them
+are taken for one with a probability of about 2**-18 at most; an index uses 60 and 24 bits throughout.
 
 A part is a range of doc_id, bounded by quantiles, so it is the same in both passes, whichever executor computes it.
 Index keeps runs of earlier batches for incremental work: ingest() compares a new batch with them, appends its run and
@@ -32,7 +33,7 @@ from sceneqa.llm.common import BLANK, Workspace, byte_view, hash_spans, per_valu
 
 WINDOW = 20
 #: Bytes of text in a part, and fingerprints in a shard, about.
-PART_BYTES, SHARD_KEYS = 12 << 20, 4_000_000
+PART_BYTES, SHARD_KEYS = 6 << 20, 4_000_000
 #: Runs in an index beyond which they are merged.
 RUNS = 8
 _LOW = np.uint64(0xFFFFFF)
@@ -74,7 +75,8 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 class Part:
     """The words and windows of some documents in order."""
 
-    def __init__(self, texts: pa.Array, window: int):
+    def __init__(self, texts: pa.Array, window: int, key_bits: int):
+        self.key_bits = key_bits
         self.data, self.bounds = byte_view(texts)
         self.starts, self.ends = spans(self.data, self.bounds, BLANK)
         self.first = per_value(self.starts, self.bounds)
@@ -83,7 +85,7 @@ class Part:
         word = hash_spans(self.data, self.starts, self.ends)
         whole = doc[window - 1 :] == doc[: max(0, n - window + 1)]
         self.at = np.flatnonzero(whole)
-        high = rolling(word, window, _MULTIPLIERS[0])[whole] >> np.uint64(8)
+        high = rolling(word, window, _MULTIPLIERS[0])[whole] >> np.uint64(64 - key_bits)
         low = (rolling(word ^ np.uint64(0xA5A5A5A5A5A5A5A5), window, _MULTIPLIERS[1])[whole] & _LOW).astype(np.uint32)
         order = np.lexsort((low, high)) if len(high) else np.zeros(0, np.int64)  # stable: equal ones stay in order
         high, low = high[order], low[order]
@@ -94,7 +96,7 @@ class Part:
 
     def shards(self, bits: int) -> np.ndarray:
         """The first fingerprint of each shard, and at the end their number."""
-        edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(56 - bits)
+        edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(self.key_bits - bits)
         return np.r_[0, np.searchsorted(self.high, edges), len(self.high)]
 
     def covered(self, seen: np.ndarray, window: int) -> np.ndarray:
@@ -106,7 +108,7 @@ class Part:
 
 
 def parts(docs: DataFrame, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int]:
-    """doc_id, text, part (ascending with doc_id), and the fingerprints there are at most."""
+    """part (ascending with doc_id) and docs, some of its doc_id and text in compressed form; and the windows there are at most."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
     many = max(1, -(-(size.bytes or 0) // part_bytes))
@@ -114,43 +116,45 @@ def parts(docs: DataFrame, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array(cuts)
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
             ids = batch.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.searchsorted(edges, ids, "right").astype(np.int64))], names=["doc_id", "text", "part"])
-
-    return docs.mapInArrow(number, "doc_id bigint, text string, part bigint"), (size.bytes or 0) // 6
-
-
-def _ordered(table: pa.Table) -> pa.Table:
+            part = np.searchsorted(edges, ids, "right")
+            order = np.argsort(part, kind="stable")
+            numbers, first = np.unique(part[order], return_index=True)
+            rows = []
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(ids)], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
+                    out.write_batch(batch.take(pa.array(order[a:b])))
+                rows.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int64)), pa.array(rows, pa.binary())], names=["part", "docs"])
+
+    return docs.mapInArrow(number, "part bigint, docs binary"), (size.bytes or 0) // 6
+
+
+def _ordered(table: pa.Table) -> tuple[pa.Array, pa.Array]:
+    """The doc_ids and texts of a part in order: null first, then by doc_id, rows that repeat one by their texts' hashes."""
     import xxhash
 
-    table = table.combine_chunks()
-    ids = table["doc_id"]
-    if len(ids.unique()) < len(ids):  # repeated rows
-        table = table.append_column("h", pa.array([xxhash.xxh64_intdigest(t.encode()) for t in table["text"].to_pylist()], pa.uint64()))
-        return table.sort_by([("doc_id", "ascending"), ("h", "ascending")]) if not ids.null_count else _nulls_first(table)
-    return table.sort_by("doc_id") if not ids.null_count else _nulls_first(table)
-
-
-def _nulls_first(table: pa.Table) -> pa.Table:
-    import pyarrow.compute as pc
-
-    known = table.append_column("k", pc.fill_null(table["doc_id"], -(2**63)))
-    keys = [("k", "ascending")] + ([("h", "ascending")] if "h" in table.column_names else [])
-    return known.sort_by(keys)
-
-
-def _chunk(table: pa.Table) -> pa.Array:
-    col = table["text"]
-    return col.chunk(0) if col.num_chunks == 1 else pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], pa.string())
+    batches = [b for raw in table["docs"].to_pylist() for b in pa.ipc.open_stream(raw)]
+    if not batches:
+        return pa.array([], pa.int64()), pa.array([], pa.string())
+    docs = pa.Table.from_batches(batches).combine_chunks()
+    known = docs["doc_id"].fill_null(-(2**63)).to_numpy()
+    hashes = np.zeros(len(known), np.uint64)
+    if len(np.unique(known)) < len(known):
+        hashes = np.array([xxhash.xxh64_intdigest(t.encode()) for t in docs["text"].to_pylist()], np.uint64)
+    docs = docs.take(pa.array(np.lexsort((hashes, known)))).combine_chunks()
+    return docs["doc_id"].chunk(0), docs["text"].chunk(0)
 
 
-def runs(numbered: DataFrame, bits: int, window: int, before: int = 0) -> DataFrame:
+def runs(numbered: DataFrame, bits: int, key_bits: int, window: int, before: int = 0) -> DataFrame:
     """shard, run, n, keys: each part's run, numbered after `before`."""
 
     def run(table: pa.Table) -> pa.Table:
         number = table["part"][0].as_py() + before
-        part = Part(_chunk(_ordered(table)), window)
+        part = Part(_ordered(table)[1], window, key_bits)
         edges = part.shards(bits)
         rows = [(s, number, int(b - a), _pack(part.high[a:b], part.low[a:b])) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -168,7 +172,7 @@ def _merge(table: pa.Table) -> tuple[list[int], list[int], np.ndarray]:
     sorted_ = high[order]
     same = np.zeros(len(high) + 1, bool)
     same[1:-1] = sorted_[1:] == sorted_[:-1]
-    some = order[same[1:] | same[:-1]]  # fingerprints that meet another of 56 bits
+    some = order[same[1:] | same[:-1]]  # fingerprints that meet another
     some = some[np.lexsort((some, low[some], high[some]))]
     seen = np.zeros(len(high), bool)
     seen[some[1:]] = (high[some[1:]] == high[some[:-1]]) & (low[some[1:]] == low[some[:-1]])
@@ -195,11 +199,10 @@ def seen_before(all_runs: DataFrame, before: int = 0) -> DataFrame:
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
 
 
-def removed(numbered: DataFrame, told: DataFrame, bits: int, window: int, before: int, with_text: bool) -> DataFrame:
+def removed(numbered: DataFrame, told: DataFrame, bits: int, key_bits: int, window: int, before: int, with_text: bool) -> DataFrame:
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        docs = _ordered(docs)
-        texts = _chunk(docs)
-        part = Part(texts, window)
+        ids, texts = _ordered(docs)
+        part = Part(texts, window, key_bits)
         seen, edges = np.zeros(len(part.high), bool), part.shards(bits)
         for shard, raw in zip(replies["shard"].to_pylist(), replies["bits"].to_pylist(), strict=True):
             if raw:
@@ -213,7 +216,7 @@ def removed(numbered: DataFrame, told: DataFrame, bits: int, window: int, before
             text = b" ".join(compress(words, (~gone[first[i] : first[i + 1]]).tolist()) if n else words)
             shas.append(hashlib.sha256(text).hexdigest())
             kept.append(text.decode() if with_text else None)
-        return pa.table([docs["doc_id"], pa.array(np.diff(part.first)), pa.array(removed_), pa.array(shas, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+        return pa.table([ids, pa.array(np.diff(part.first)), pa.array(removed_), pa.array(shas, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     told = told.withColumn("part", F.col("run") - F.lit(before))
     return numbered.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(run, RESULT)
@@ -231,14 +234,15 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False, index:
     ws = Workspace(docs.sparkSession, "substrings")
     numbered, windows = parts(docs)
     bits = index.bits if index else shard_bits(windows)
+    key_bits = 60 if index else max(bits + 8, min(60, windows.bit_length() + 20))
     before = index.next_run() if index else 0
-    own = ws.table(runs(numbered, bits, window, before), "runs")
+    own = ws.table(runs(numbered, bits, key_bits, window, before), "runs")
     known = index.runs().union(own) if index and before else own
     told = ws.table(seen_before(known, before), "told")
     if index:
         index.append(own)
     ws.drop("runs")
-    return removed(numbered, told, bits, window, before, with_text)
+    return removed(numbered, told, bits, key_bits, window, before, with_text)
 
 
 class Index:
