@@ -32,11 +32,11 @@ from sceneqa.llm.components import components, local_components
 
 THRESHOLD = 0.95
 #: Classes that the centres are fitted on at most, classes per centre, centres at most.
-SAMPLE, PER_CENTRE, CENTRES = 20_000, 800, 1024
+SAMPLE, PER_CENTRE, CENTRES = 20_000, 100, 4096
 #: Vectors in a piece; a cell holds two pieces at most.
 PIECE = 1_500
-#: Neighbours that pruning starts from and keeps, its slack, and the beam.
-CANDIDATES, DEGREE, ALPHA, BEAM = 40, 20, 1.2, 24
+#: Neighbours that pruning starts from and keeps, its slack, random neighbours that stay besides, and the beam.
+CANDIDATES, DEGREE, ALPHA, RANDOM, BEAM = 40, 20, 1.2, 4, 40
 #: Shards of a vector at most, and degrees by which they may lie further than the nearest, try by try.
 OVERLAP = ((4, 10.0), (8, 20.0), (16, 40.0))
 #: Vectors of the audit, and the recall that ends it.
@@ -44,7 +44,7 @@ AUDIT, RECALL = 200, 0.97
 
 
 def _rows(table: DataFrame) -> DataFrame:
-    """vec_id, key (16 bytes, null if the vector links with nothing), vec (doubles as bytes)."""
+    """vec_id, key (16 bytes, null if the vector links with nothing), vec (its numbers as bytes, and one byte with their size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,7 +54,8 @@ def _rows(table: DataFrame) -> DataFrame:
                 if i is not None and v.is_valid and len(v) and not v.values.null_count:
                     x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
                     x = x if np.isfinite(x).all() and x.any() else None
-                raw = None if x is None else x.tobytes()
+                narrow = pa.types.is_float32(v.type.value_type)
+                raw = None if x is None else x.astype(np.float32).tobytes() + b"\4" if narrow else x.tobytes() + b"\x08"
                 keys.append(None if raw is None else hashlib.md5(raw).digest())
                 vecs.append(raw)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(vecs, pa.binary())], names=["vec_id", "key", "vec"])
@@ -63,7 +64,9 @@ def _rows(table: DataFrame) -> DataFrame:
 
 
 def unit(raws: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raws), np.float64).reshape(len(raws), -1)
+    """The vectors, all of one length and size, in double precision and of length one."""
+    kind = np.float32 if raws[0][-1] == 4 else np.float64
+    x = np.frombuffer(b"".join(r[:-1] for r in raws), kind).reshape(len(raws), -1).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -88,8 +91,9 @@ def assign(classes: DataFrame, centre: dict[int, np.ndarray], most: int, degrees
             raws, shards = batch.column(2).to_pylist(), [None] * batch.num_rows
             for width in {len(r) for r in raws}:
                 at = [i for i, r in enumerate(raws) if len(r) == width]
-                c = centre.get(width // 8, np.zeros((1, width // 8)))
-                angle = np.degrees(np.arccos(np.clip(unit([raws[i] for i in at]) @ c.T, -1, 1)))
+                x = unit([raws[i] for i in at])
+                c = centre.get(width, np.zeros((1, x.shape[1])))
+                angle = np.degrees(np.arccos(np.clip(x @ c.T, -1, 1)))
                 order = np.argsort(angle, 1, kind="stable")[:, :most]
                 near = np.take_along_axis(angle, order, 1)
                 for i, o, a in zip(at, order, near, strict=True):
@@ -142,26 +146,25 @@ def robust_prune(x: np.ndarray, candidates: np.ndarray, degree: int = DEGREE, al
 
 
 def build(x: np.ndarray) -> np.ndarray:
-    """The graph of a cell: pruned lists, and in the room left some of the edges' opposites."""
+    """The graph of a cell: pruned lists and a few random neighbours, and in the room left the edges' opposites."""
     n = len(x)
     k = min(n - 1, CANDIDATES)
     if k < 1:
         return np.full((n, 1), -1, np.int64)
-    cand = np.empty((n, k + min(8, n)), np.int64)
-    rng = np.random.default_rng(n)
+    cand = np.empty((n, k), np.int64)
     for lo in range(0, n, 512):
         s = x[lo : lo + 512] @ x.T
         s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -2
-        cand[lo : lo + 512, :k] = np.argpartition(-s, k - 1, 1)[:, :k]
-        cand[lo : lo + 512, k:] = rng.integers(0, n, (len(s), cand.shape[1] - k))
-    kept = robust_prune(x, cand)
+        cand[lo : lo + 512] = np.argpartition(-s, k - 1, 1)[:, :k]
+    stray = np.random.default_rng(n).integers(0, n, (n, RANDOM))
+    kept = np.concatenate([stray, robust_prune(x, cand)], 1)
     to, at = np.nonzero(kept >= 0)
-    src, dst = kept[to, at], to  # the opposites
-    order = np.argsort(src, kind="stable")
+    src, dst = kept[to, at], to  # the opposites, those of random edges first
+    order = np.lexsort((at, src))
     src, dst = src[order], dst[order]
     rank = np.arange(len(src)) - np.searchsorted(src, src)
-    back = np.full((n, DEGREE), -1, np.int64)
-    fits = rank < DEGREE
+    back = np.full((n, DEGREE + RANDOM), -1, np.int64)
+    fits = rank < DEGREE + RANDOM
     back[src[fits], rank[fits]] = dst[fits]
     return np.concatenate([kept, back], 1)
 
@@ -306,7 +309,7 @@ def cluster(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     count = classes.count()
     sample = classes.orderBy(F.xxhash64("key")).limit(SAMPLE).select("rep", "vec").collect()
     widths = {len(r.vec) for r in sample}
-    centre = {w // 8: centres(unit([r.vec for r in sample if len(r.vec) == w]), max(1, min(CENTRES, count // PER_CENTRE))) for w in widths}
+    centre = {w: centres(unit([r.vec for r in sample if len(r.vec) == w]), max(1, min(CENTRES, count // PER_CENTRE))) for w in widths}
     queries = [(r.rep, bytes(r.vec)) for r in sample[:: max(1, len(sample) // AUDIT)]]
     true = _audit(classes, queries, threshold) if queries else {}
     for attempt, (most, degrees) in enumerate(OVERLAP):
@@ -319,7 +322,8 @@ def cluster(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         links = ws.table(found.groupBy("u").agg(F.sum("links").alias("links")), f"links-{attempt}")
         if queries:
             got = {r.u: r.links for r in links.where(F.col("u").isin([q for q, _ in queries])).collect()}
-            recall = sum(min(got.get(q, 0), k) for q, k in true.items()) / max(1, sum(true.values()))
+            total = sum(true.values())
+            recall = sum(min(got.get(q, 0), k) for q, k in true.items()) / total if total else 1.0
             if recall >= RECALL or attempt == len(OVERLAP) - 1:
                 break
     roots = ws.table(components(found.where("u <> v"), ws), "roots")
