@@ -3,8 +3,8 @@
 The lexicon is learned from labelled texts: words, and beginnings of words, that stand in toxic texts far more often than
 in clean ones. Each word of a text is matched against the lexicon's trie by its Levenshtein automaton: both are walked
 together, and a branch ends as soon as no state of the automaton is left. So exact terms, misspelt terms and words that
-begin like terms are caught. A word is walked only if it shares a half with a term, without which one edit can't lead
-there, and a worker remembers the words it has walked.
+begin like terms are caught. A word is walked only if it and a term become equal by dropping a letter of each at most,
+as any two words do that one edit separates, and a worker remembers the words it has walked.
 
 Each hit is weighed by the words around it: less between quotation marks or near a verb of saying, more near a word of
 address. A logistic model over these sums gives the score. It is fitted by the driver on at most LABELLED texts (those
@@ -39,7 +39,7 @@ SUPPORT, RATIO, SURE = 3, 8.0, 1.0
 STEM = 5
 #: Shortest term that may be misspelt, and words on either side that make the context.
 FUZZY, CONTEXT = 5, 6
-CACHE = 400_000
+CACHE = 500_000
 
 #: Words around a hit (fixed values).
 SAYING = frozenset("said says say quoted quote quotes wrote writes called term word words phrase dit dites écrit mot sagte sagt schrieb wort dijo dice escribió palabra".split())
@@ -62,8 +62,7 @@ class Trie:
         self.root: dict = {}
         self.exact: dict[str, int] = {}
         self.stems: dict[str, int] = {}
-        self.heads: set[str] = set()
-        self.tails: set[str] = set()
+        self.dropped: set[str] = set()
         for i, t in enumerate(terms):
             if t.endswith("*"):
                 self.stems[t[:-1]] = i
@@ -75,10 +74,8 @@ class Trie:
             for c in t:
                 node = node.setdefault(c, {})
             node[""] = i
-            self.heads.add(t[: len(t) // 2])
-            self.tails.add(t[len(t) // 2 :])
-        self.seconds = {h[1] for h in self.heads if len(h) > 1}
-        self.sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
+            self.dropped.update(t[:k] + t[k + 1 :] for k in range(len(t)))
+            self.dropped.add(t)
 
     def misspelt(self, word: str, most: int = 1) -> int:
         """The number of a term within so many edits (an exchange of neighbours counts as one), the nearest; -1: none."""
@@ -111,12 +108,10 @@ class Trie:
             return t, 1
         if not FUZZY - 1 <= len(word) <= 40:
             return None
-        if any(word[:k] in self.heads for k in self.sizes[0]) or any(word[-k:] in self.tails for k in self.sizes[1]):
+        near = self.dropped
+        if word in near or any(word[:k] + word[k + 1 :] in near for k in range(len(word))):
             if (t := self.misspelt(word)) >= 0:
                 return t, 2
-        elif word[0] in self.seconds and any(word[1::-1] + word[2:k] in self.heads for k in self.sizes[0] if k > 1):
-            if (t := self.misspelt(word)) >= 0:  # the first two letters exchanged
-                return t, 2
         return None
 
 
