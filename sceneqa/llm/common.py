@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 #: Arrow batches to Python workers hold at most so many rows or bytes, if the session sets nothing else.
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+ROW_GROUP = 32 << 20
 #: Bytes of text that numpy sees at once; temporaries are about 40 times this.
 SLICE = 1 << 20
 
@@ -53,7 +54,8 @@ class Workspace:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        # small row groups: a writer holds one in memory
+        df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

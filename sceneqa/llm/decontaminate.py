@@ -203,66 +203,67 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, list[bytes]
         yield held
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: bool = False) -> DataFrame:
-    """doc_id, n_words, spans, items for each row; with carry, also text and all other columns of docs (as `row`)."""
-    spark = docs.sparkSession
-    ws = Workspace(spark, "decontaminate")
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
-    now = docs.select("doc_id", "text", F.lit(0).cast("bigint").alias("n_words"), F.expr(f"cast(array() as {SPAN})").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"), *row)
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, spans, items for each row."""
+    return _find(docs.select("doc_id", "text"), benchmark, window)[0].drop("text")
+
+
+def _find(docs: DataFrame, benchmark: DataFrame, window: int, cut: tuple[int, float] | None = None) -> tuple[DataFrame, list[str]]:
+    """The columns of docs and n_words, spans, items (under names that docs doesn't have, which are returned too).
+
+    cut: in the pass over the last block, removes what remove() says and drops documents of which nothing is left.
+    """
+    ws = Workspace(docs.sparkSession, "decontaminate")
+    names = []
+    for name in ("n_words", "spans", "items"):
+        while name in (*docs.columns, *names):
+            name += "_"
+        names.append(name)
+    k, at = len(docs.columns), docs.columns.index("text")
+    now = docs.select("*", F.lit(0).cast("bigint").alias(names[0]), F.expr(f"cast(array() as {SPAN})").alias(names[1]), F.expr("cast(array() as array<string>)").alias(names[2]))
     schema = now.schema
-    automata = 0
-    for items in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Automaton(items, window))
-        automata += 1
+    blocks = _blocks(benchmark)
+    items, number = next(blocks, []), 0
+    while items is not None:
+        following = next(blocks, None)
+        shared = docs.sparkSession.sparkContext.broadcast(Automaton(items, window))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=following is None) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 n_words, hit, found = [], [], []
-                for (n, s, names), s0, names0 in zip(scan(shared.value, text_array(batch)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                for (n, s, own), s0, own0 in zip(scan(shared.value, text_array(batch)), batch.column(k + 1).to_pylist(), batch.column(k + 2).to_pylist(), strict=True):
                     n_words.append(n)
                     hit.append(merged([*s0, *s]) if s or s0 else [])
-                    found.append(sorted({*names0, *names}))
-                cols = [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(hit, _SPANS), pa.array(found, pa.list_(pa.string())), *batch.columns[5:]]
-                yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+                    found.append(sorted({*own0, *own}))
+                cols = [*batch.columns[:k], pa.array(n_words, pa.int64()), pa.array(hit, _SPANS), pa.array(found, pa.list_(pa.string()))]
+                gone = np.zeros(batch.num_rows, bool)
+                if cut and last and any(hit):
+                    out = cols[at].to_pylist()
+                    for i in [i for i, h in enumerate(hit) if h]:
+                        out[i], gone[i] = cleaned(out[i], n_words[i], hit[i], *cut)
+                    cols[at] = pa.array(out, pa.string())
+                yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names).filter(pa.array(~gone))
 
-        if automata > 1:
-            now = ws.table(now, f"block-{automata - 1}")
         now = now.mapInArrow(run, schema)
-    if not automata:  # no item has a word, but words are counted all the same
-        empty = spark.sparkContext.broadcast(Automaton([], window))
+        if following is not None:
+            now = ws.table(now, f"block-{number}")
+        items, number = following, number + 1
+    return now, names
 
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                n = [x[0] for x in scan(empty.value, text_array(batch))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), *batch.columns[3:]], names=batch.schema.names)
 
-        now = now.mapInArrow(count, schema)
-    return now if carry else now.drop("text")
+def cleaned(text: str, n: int, hit: list[dict[str, int]], longest: int, coverage: float) -> tuple[str, bool]:
+    """The text without the spans that exceed a limit, and whether that was all of its words."""
+    whole = sum(s["words"] for s in hit) > coverage * n
+    gone = [s for s in hit if whole or s["words"] >= longest]
+    raw, at, parts = text.encode(), 0, []
+    for s in gone:
+        parts.append(raw[at : s["byte"]])
+        at = s["byte"] + s["bytes"]
+    return b"".join([*parts, raw[at:]]).decode(), sum(s["words"] for s in gone) == n
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, longest: int = WINDOW, coverage: float = 0.5) -> DataFrame:
     """The documents without the spans of so many words or more; also without shorter ones if spans cover more than
     that part of the document's words. A document of which no word is left goes; one that had none stays.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, n, hit in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                whole = sum(s["words"] for s in hit) > coverage * n
-                gone = [s for s in hit if whole or s["words"] >= longest]
-                if not gone:
-                    out.append(text)
-                    continue
-                raw, at, parts = text.encode(), 0, []
-                for s in gone:
-                    parts.append(raw[at : s["byte"]])
-                    at = s["byte"] + s["bytes"]
-                parts.append(raw[at:])
-                out.append(None if sum(s["words"] for s in gone) == n else b"".join(parts).decode())
-            gone_rows = pa.array([a is None and b is not None for a, b in zip(out, batch.column(1).to_pylist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(5), pa.array(out, pa.string()), gone_rows], names=["row", "kept", "gone"])
-
-    found = find(docs, benchmark, window, carry=True)
-    kept = found.mapInArrow(run, f"row {found.schema['row'].dataType.simpleString()}, kept string, gone boolean").where("not gone")
-    return kept.select(*[F.col("kept").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+    return _find(docs, benchmark, window, (longest, coverage))[0].select(*[F.col(f"`{c}`") for c in docs.columns])

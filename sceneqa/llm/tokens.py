@@ -16,8 +16,10 @@ import pyarrow as pa
 
 from sceneqa.llm.common import byte_view, groups, hash_spans, per_value, single_thread, spans, table
 
-#: Pieces and ids that a worker's table holds (about 20 and 2 bytes each); beyond that it starts anew.
-PIECES, POOL = 3_000_000, 12_000_000
+#: Pieces and ids that a worker's table holds (16 and 2 bytes each); beyond that it starts anew.
+PIECES, POOL = 2_500_000, 12_000_000
+#: Pieces that the library encodes at a time; its results take about a kilobyte each until their ids are copied.
+BATCH = 8_192
 
 _LINES = table(" \n")
 _loaded: dict[tuple[str, bool, int], Encoder] = {}
@@ -36,7 +38,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
         self.pool = np.array([self.end_id], np.uint16)
 
     def _pieces(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,10 +66,14 @@ class Encoder:
 
     def _learn(self, words: list[str], hashes: np.ndarray) -> None:
         """hashes: of the words, ascending."""
-        found = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
+        sizes, ids = [], []
+        for i in range(0, len(words), BATCH):
+            found = [e.ids for e in self.tok.encode_batch_fast(words[i : i + BATCH], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint16, int(sizes[-1].sum())))
+        size = np.concatenate(sizes)
         at = len(self.pool) + np.cumsum(size) - size
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(found), np.uint16, int(size.sum()))])
+        self.pool = np.concatenate([self.pool, *ids])
         to = np.searchsorted(self.hashes, hashes)
         self.hashes, self.at, self.size = (np.insert(a, to, b) for a, b in ((self.hashes, hashes), (self.at, at), (self.size, size)))
 
@@ -88,8 +94,8 @@ class Encoder:
             self._learn([raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], kinds[~known])
             at = np.searchsorted(self.hashes, kinds)
         # the end id stands in the pool's first place; one goes behind each text's pieces
-        begin = np.insert(self.at[at][back], first[1:], 0)
-        size = np.insert(self.size[at][back], first[1:], 1)
+        begin = np.insert(self.at[at][back].astype(np.int64), first[1:], 0)
+        size = np.insert(self.size[at][back].astype(np.int64), first[1:], 1)
         done = np.cumsum(size)
         total = int(done[-1]) if len(done) else 0
         ids = self.pool[np.repeat(begin - done + size, size) + np.arange(total)]
