@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sceneqa.llm import decontaminate, ngrams, packing, pii, quality, simhash, substrings, token_store, toxicity, vectors
+from sceneqa.llm import decontaminate, ngrams, oracles, packing, pii, quality, simhash, substrings, token_store, toxicity, vectors
 from sceneqa.llm.common import Workspace, crc_column
 
 
@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

@@ -1,0 +1,505 @@
+"""Each operator against a brute-force version on the small tables."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sceneqa.llm import decontaminate, eliasfano, ngrams, packing, pii, quality, simhash, substrings, token_store, toxicity, vectors
+from sceneqa.llm.common import Workspace, crc_column
+
+from .conftest import DOCS, prose
+
+
+def blank_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def smallest_reachable(ids, linked):
+    label = list(range(len(ids)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(ids)):
+            for j in range(len(ids)):
+                if linked(i, j) and label[j] < label[i]:
+                    label[i], changed = label[j], True
+    names = collections.defaultdict(list)
+    for i, lab in enumerate(label):
+        names[lab].append(ids[i])
+    return [min((x for x in names[lab] if x is not None), default=None) for lab in label]
+
+
+# op1
+
+
+def test_golay_indices_bring_words_within_two_bits_together():
+    rng = np.random.default_rng(0)
+    v = rng.integers(0, 1 << 23, 3000, dtype=np.uint32)
+    for bits in (0, 1, 2):
+        w = v.copy()
+        for i in range(len(w)):
+            for b in rng.choice(23, bits, replace=False):
+                w[i] ^= np.uint32(1 << b)
+        a, b = simhash.codewords(v), simhash.codewords(w)
+        assert all(set(x) & set(y) for x, y in zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_simhash_components(docs):
+    import xxhash
+
+    def fingerprint(text):
+        w = blank_words(lower(text))
+        shingles = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+        h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    fps = [fingerprint(t) for _, t in DOCS]
+    names = smallest_reachable([i for i, _ in DOCS], lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 2)
+    want = sorted([(i, f"{fp:016x}", n) for (i, _), fp, n in zip(DOCS, fps, names, strict=True)], key=str)
+    assert rows(simhash.cluster(docs)) == want
+
+
+@pytest.mark.parametrize("bucket", [1, 64])
+def test_simhash_hot_buckets_lose_no_link(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng = np.random.default_rng(3)
+    base = int(rng.integers(0, 2**63))
+    fps = sorted({base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 63, (150, 2))} | {int(x) for x in rng.integers(0, 2**62, 200)})
+    nodes = spark.createDataFrame([(x,) for x in fps], "fp bigint")
+    found = {frozenset((r.u, r.v)) for r in simhash.links(nodes, Workspace(spark, "t")).collect()}
+    names = smallest_reachable(fps, lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 2)
+    got = smallest_reachable(fps, lambda i, j: frozenset((fps[i], fps[j])) in found)
+    assert got == names
+
+
+def test_near_dedup_keeps_one_of_each_group(docs):
+    kept = [r.doc_id for r in simhash.dedup(docs).collect()]
+    want = {i for i, n in {r.doc_id: r.component_id for r in simhash.cluster(docs).collect()}.items() if i == n}
+    assert set(kept) - {None} == want - {None} and len(kept) == len(set(kept)) and None in kept
+    assert simhash.dedup(docs).columns == docs.columns
+
+
+# op2
+
+
+def test_elias_fano_sequences():
+    rng = np.random.default_rng(1)
+    for n, below in ((0, 5), (1, 1), (700, 900), (700, 1 << 64), (700, 10**12)):
+        v = np.sort(rng.integers(0, min(below, 2**63), n, dtype=np.uint64))
+        if n > 500:
+            v[100:400] = v[100]
+        s, _ = eliasfano.Sequence.at(eliasfano.Sequence.of(v, below).to_bytes(), 0)
+        q = np.concatenate([v, rng.integers(0, min(below, 2**63), 300, dtype=np.uint64)])
+        at, hit = s.successor(q)
+        assert (at == np.searchsorted(v, q)).all()
+        assert (hit == np.isin(q, v)).all()
+        assert (s.get(np.arange(n)) == v).all()
+
+
+def test_lm_scores_match_a_plain_model(docs):
+    held = {i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in DOCS}
+    token = lambda t: blank_words(lower(t)) + [None]
+    counts = collections.Counter()
+    total = 0
+    for i, t in DOCS:
+        if i is not None and not held[i]:
+            w = token(t)
+            total += len(w)
+            for n in (1, 2, 3):
+                counts.update(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+    types = sum(1 for k in counts if len(k) == 1)
+    floor = total + 0.5 * (types + 1)
+
+    def p(gram):
+        if len(gram) == 1:
+            return (counts[gram] + 0.5) / floor
+        m = ngrams.WEIGHTS[len(gram) - 2]
+        return (counts[gram] + m * p(gram[1:])) / (counts[gram[:-1]] + m)
+
+    got = rows(ngrams.score(docs, crc_column() % 5 == 1))
+    want = []
+    for i, t in DOCS:
+        w = token(t)
+        base = sum(np.log10((counts[(x,)] + 0.5) / floor) for x in w)
+        model = sum(np.log10(p(tuple(w[max(0, k - 2) : k + 1]))) for k in range(len(w)))
+        want.append((i, held[i] or i is None, len(w), sum(counts[(x,)] > 0 for x in w), total, base, model))
+    for a, b in zip(got, sorted(want, key=str), strict=True):
+        assert a[:5] == b[:5]
+        assert a[5] == pytest.approx(b[5], abs=1e-6)
+        assert a[6] == pytest.approx(b[6], abs=3e-4 * b[2])
+
+
+def test_model_is_a_distribution():
+    """The probabilities of all continuations of a context sum to one."""
+    words = np.sort(ngrams.mix(np.arange(6, dtype=np.uint64)))
+    ids = np.array([0, 1, 2, 0, 1, 3, 0, 1, 2, 4, 5, 0, 2, 2, 1])
+    g = ngrams.Grams(words, ids, np.array([len(ids)]), np.array([False]), 40)
+    counts = []
+    for n in range(3):
+        c = np.empty(len(g.keys[n]), np.int64)
+        c[g.order[n]] = g.counts[n]
+        counts.append(c)
+    trie = ngrams.slice_of(g, counts, len(ids), 6, (5.0, 2.0))
+    floor = len(ids) + 0.5 * 7
+    word = trie.word(words)
+    one = 10 ** trie.log_prob(1, word)
+    assert one.sum() + 0.5 / floor == pytest.approx(1, abs=1e-3)
+    first = trie.child(2, word[:1].repeat(6), word)
+    back = 10 ** trie.log_back(1, word[:1])[0]
+    two = np.where(first >= 0, 10 ** trie.log_prob(2, np.maximum(first, 0)), back * one)
+    assert two.sum() + back * 0.5 / floor == pytest.approx(1, abs=2e-2)
+    lo, hi = trie.children(2, word[:1])
+    assert hi[0] - lo[0] == (first >= 0).sum()
+
+
+# op3
+
+
+def test_token_store_round_trip(docs, spark, tokenizers_dir):
+    from tokenizers import Tokenizer
+
+    path = tokenizers_dir.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    store = token_store.write_store(docs.where("doc_id is not null"), Workspace(spark, "t"), path, False, 1, shard_bytes=2000)
+    assert store.count() > 3
+    encoded = sorted((i, np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], "<u2").tobytes()) for i, t in DOCS if i is not None)
+    start, want = 0, []
+    for i, raw in encoded:
+        ids = np.frombuffer(raw, "<u2")
+        want.append((i, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, token_store.read_store(store).collect())) == sorted(want)
+
+
+def test_perfect_hash_is_minimal_and_refuses_strangers():
+    keys = np.unique(np.random.default_rng(0).integers(-(2**62), 2**62, 5000))
+    image = token_store.write_shard(keys.tolist(), [bytes([k % 251, 0]) for k in range(len(keys))], 7)
+    shard = token_store.Shard(image)
+    assert sorted(shard.rows_of(keys).tolist()) == list(range(len(keys)))
+    assert len(shard.prints) == len(keys)
+    assert (shard.rows_of(keys + 1)[~np.isin(keys + 1, keys)] == -1).all()
+    assert shard.get(int(keys[3]))[0].tolist() == [3] and shard.before(3) == 10
+    assert token_store.Shard(token_store.write_shard([], [], 0)).get(1) == []
+
+
+# op4
+
+
+def test_quality_separates_and_samples(spark):
+    good = [(i, prose(i, 80)) for i in range(60)]
+    bad = [(100 + i, " ".join(w + "###" for w in prose(i, 60).split())) for i in range(30)]
+    table = spark.createDataFrame(good + bad + [(200, None), (201, "")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(40)] + [(100 + i, 0) for i in range(20)] + [(999, 1), (None, 0), (5, None)], "doc_id bigint, quality int")
+    model = quality.fit(table, labels, Workspace(spark, "t"))
+    got = {r.doc_id: r for r in quality.score(table, model, share=0.25).collect()}
+    assert all(got[i].accepted for i, _ in good)
+    assert not any(got[i].accepted for i, _ in bad)
+    assert sum(r.sampled for r in got.values()) == round(0.25 * 92)
+    kept = quality.keep(table, model)
+    assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.accepted}
+
+
+def test_gumbel_border_is_exact(spark):
+    rng = np.random.default_rng(0)
+    keys = [float(x) for x in rng.normal(size=300)] + [0.5] * 50
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "doc_id bigint, key double")
+    for share in (0.0, 0.1, 0.37, 1.0):
+        key, doc = quality.top_border(df, share)
+        taken = {i for i, k in enumerate(keys) if k > key or k == key and i <= doc}
+        want = {i for _, i in sorted((-k, i) for i, k in enumerate(keys))[: round(share * len(keys))]}
+        assert taken == want
+
+
+def test_quality_without_labels_rejects_nothing(docs, spark):
+    model = quality.fit(docs, spark.createDataFrame([], "doc_id bigint, quality int"), Workspace(spark, "t"))
+    assert quality.keep(docs, model).count() == docs.count()
+
+
+# op5
+
+
+@pytest.mark.parametrize("kind, value, form", [
+    ("email", "jo.doe7@mail.example.com", r"^[a-z]{2}\.[a-z]{3}\d@mail\.example\.com$"),
+    ("ip", "192.168.0.1", r"^\d+\.\d+\.\d+\.\d+$"),
+    ("card", "4111 1111 1111 1111", r"^4\d{3} \d{4} \d{4} \d{4}$"),
+    ("phone", "+1 (017) 555-7713", r"^\+1 \(\d{3}\) \d{3}-\d{4}$"),
+    ("date", "2024-02-29", r"^\d{4}-\d\d-\d\d$"),
+    ("date", "31.12.1999", r"^\d\d\.\d\d\.\d{4}$"),
+    ("iban", "DE89 3704 0044 0532 0130 00", r"^DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d$"),
+    ("ssn", "123-45-6789", r"^\d{3}-\d\d-\d{4}$"),
+    ("secret", "0123456789abcdef0123456789abcdef", r"^[0-9a-f]{32}$"),
+])
+def test_pseudonyms_keep_the_format_and_can_be_reversed(kind, value, form):
+    new = pii.pseudonym(kind, value, b"k")
+    assert new != value and re.match(form, new)
+    assert pii.pseudonym(kind, new, b"k") is not None  # still valid
+    assert pii.pseudonym(kind, new, b"k", True) == value
+    assert pii.pseudonym(kind, value, b"other") != new
+    assert pii.replace(f"x {value}, y", b"k") == f"x {new}, y"
+
+
+@pytest.mark.parametrize("left, right", [(1, 1), (1, 7), (10, 10), (7, 11)])
+def test_feistel_is_a_permutation_without_fixed_points(left, right):
+    out = [pii.moved(v, left, right, b"k") for v in range(left * right)]
+    assert sorted(out) == list(range(left * right))
+    assert left * right == 1 or all(a != b for a, b in enumerate(out))
+
+
+def test_invalid_values_stay():
+    for text in ("4111111111111112", "999.1.1.1", "2023-02-29", "1.2.3.4.5", "version 4.0.", "a@b", "DE00 3704 0044 0532 0130 00"):
+        assert pii.replace(text, b"k") == text
+
+
+def test_pseudonymised_table(docs, spark):
+    table = spark.createDataFrame([(1, "mail jo.doe@x.example.com", 3), (2, "also JO jo.doe@x.example.com", 4), (3, None, 5), (4, "", None)], "doc_id bigint, text string, n_email int")
+    got = {r[0]: r for r in pii.pseudonymise(table).collect()}
+    assert got[1].text.split()[-1] == got[2].text.split()[-1] != "jo.doe@x.example.com"
+    assert got[3].text is None and got[4].text == "" and got[1].n_email == 3
+    plain = table.drop("n_email")
+    assert {r.doc_id: r.n_email for r in pii.pseudonymise(plain, counted=True).collect()} == {1: 1, 2: 1, 3: 0, 4: 0}
+    assert pii.pseudonymise(docs).columns == docs.columns
+
+
+# op6
+
+
+@pytest.mark.parametrize("block", [50, 1 << 20])
+def test_decontamination(docs, spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
+    alnum = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    text = {i: t for i, t in DOCS}
+    items = [(1, " ".join(text[1].split()[5:30])), (2, " ".join(text[13].split()[3:9]).upper()), (3, None), (4, "..."), (5, "one"), (5, "one"), (None, " ".join(text[8].split()[:12])), (6, " ".join(text[1].split()[20:44]))]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    windows = collections.defaultdict(set)
+    for i, t in items:
+        w = alnum(t)
+        for k in range(max(1, len(w) - 9) if w else 0):
+            windows[tuple(w[k : k + 10])].add(i)
+    want = []
+    for i, t in DOCS:
+        w, hit, names = alnum(t), set(), set()
+        for n in {len(k) for k in windows}:
+            for k in range(len(w) - n + 1):
+                if got := windows.get(tuple(w[k : k + n])):
+                    hit |= set(range(k, k + n))
+                    names |= got - {None}
+        want.append((i, len(w), len(hit), ",".join(sorted(map(str, names)))))
+    found = decontaminate.find(docs, bench)
+    hits = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["words"])
+    assert rows(found.select("doc_id", "n_words", hits, F.array_join(F.array_sort("items"), ","))) == sorted(want, key=str)
+    clean = decontaminate.remove(docs, bench)
+    assert clean.columns == docs.columns
+    again = decontaminate.find(clean, bench).where("exists(spans, s -> s.words >= 10)")
+    assert again.count() == 0
+    assert {r.doc_id for r in clean.collect()} >= {4, 5, 6, 9, 10, 11}
+    assert 7 not in {r.doc_id for r in clean.collect()}  # it was an item as a whole
+
+
+def test_decontamination_without_items(docs, spark):
+    none = spark.createDataFrame([], "item_id bigint, text string")
+    assert decontaminate.find(docs, none).where("size(spans) > 0").count() == 0
+    assert decontaminate.remove(docs, none).count() == docs.count()
+
+
+# op7
+
+
+def brute_substrings(texts, window, seen=None):
+    seen = set() if seen is None else seen
+    out = []
+    for i, t in texts:
+        w = blank_words(t)
+        gone = [False] * len(w)
+        for k in range(len(w) - window + 1):
+            key = tuple(w[k : k + window])
+            if key in seen:
+                gone[k : k + window] = [True] * window
+            seen.add(key)
+        kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        out.append((i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
+    return out
+
+
+@pytest.mark.parametrize("part_bytes", [700, 1 << 20])
+def test_substrings(docs, monkeypatch, part_bytes):
+    monkeypatch.setattr(substrings.parts, "__defaults__", (part_bytes,))
+    order = sorted(DOCS, key=lambda d: (d[0] is not None, d[0] or 0))
+    assert rows(substrings.dedup(docs, 20, with_text=True)) == sorted(brute_substrings(order, 20), key=str)
+
+
+def test_incremental_index(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(substrings, "RUNS", 2)
+    index, seen = substrings.Index(spark, f"file://{tmp_path}/index"), set()
+    for batch in range(5):
+        texts = [(batch * 10 + k, prose(k + batch, 30) + " " + prose(100 + batch, 25)) for k in range(4)]
+        df = spark.createDataFrame(texts, "doc_id bigint, text string")
+        assert rows(substrings.dedup(df, 20, True, index)) == sorted(brute_substrings(texts, 20, seen), key=str)
+    assert any(n.endswith("-merged") for n in index._levels())
+
+
+# op8
+
+
+def edits(a, b):
+    d = {(i, -1): i + 1 for i in range(-1, len(a))} | {(-1, j): j + 1 for j in range(-1, len(b))}
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (x != y))
+            if i and j and x == b[j - 1] and a[i - 1] == y:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a) - 1, len(b) - 1]
+
+
+def test_levenshtein_trie_equals_brute_force():
+    terms = ["idiot", "worthless", "moron", "clown"]
+    trie = toxicity.Trie(terms)
+    rng = np.random.default_rng(0)
+    letters = "abcdeilmnorstw"
+    for _ in range(3000):
+        w = list(terms[rng.integers(4)])
+        for _ in range(rng.integers(0, 3)):
+            k, c = rng.integers(len(w)), letters[rng.integers(len(letters))]
+            match rng.integers(4):
+                case 0:
+                    w[k] = c
+                case 1:
+                    w.insert(k, c)
+                case 2:
+                    del w[k]
+                case _ if k + 1 < len(w):
+                    w[k], w[k + 1] = w[k + 1], w[k]
+        word = "".join(w)
+        near = min(edits(word, t) for t in terms)
+        got = trie.match(word)
+        assert (got is not None) == (near <= 1 and len(word) >= 4), word
+        if got:
+            assert edits(word, terms[got[0]]) == near
+
+
+def test_quotation_weighs_less_than_abuse():
+    model = toxicity.Model(["idiot"], [1.0])
+    model.start()
+    direct, quoted = model.features("you are an idiot"), model.features('he said the word "idiot" there')
+    assert direct[0] > 0 == direct[1] and quoted[1] > 0 == quoted[0] and direct[2] > 0
+
+
+def test_toxicity_on_held_out_texts(spark):
+    toxic = [(i, prose(i, 40) + f" you {w} " + prose(i + 1, 20)) for i, w in enumerate(["idiot", "moron", "clown"] * 20)]
+    clean = [(100 + i, prose(i, 60)) for i in range(120)]
+    docs = spark.createDataFrame([*toxic, *clean, (900, "you idoit and " + prose(9, 20)), (901, None), (902, "")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1) for i, _ in toxic[:40]] + [(i, 0) for i, _ in clean[:80]], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels, Workspace(spark, "t"))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert all(got[i] >= 0.3 for i, _ in toxic) and got[900] >= 0.3
+    assert all(got[i] < 0.3 for i, _ in clean) and got[901] == got[902] < 0.3
+    nothing = toxicity.fit(docs, labels.limit(0), Workspace(spark, "t"))
+    assert max(r.score for r in toxicity.score(docs, nothing).collect()) < 1e-6
+
+
+# op9
+
+
+def test_packing(docs, spark, tokenizers_dir):
+    from tokenizers import Tokenizer
+
+    path = tokenizers_dir.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    full = collections.Counter(tuple(tok.encode(t or "", add_special_tokens=False).ids + [0]) for _, t in DOCS)
+    pieces = packing.pack(docs, path, window=64).collect()
+    sequences, whole = collections.defaultdict(list), collections.defaultdict(list)
+    for p in pieces:
+        ids = np.frombuffer(p.ids, "<u2")
+        assert len(ids) == p.length and zlib.crc32(ids.astype("<u4").tobytes()) == p.ids_crc32
+        sequences[p.sequence_id].append((p.offset, p.length, p.padded_length))
+        whole[p.sequence_id * 64 + p.offset - p.start].append((p.start, ids.tolist(), p.doc_tokens))
+    for s, parts in sequences.items():
+        parts.sort()
+        assert [o for o, _, _ in parts] == [sum(n for _, n, _ in parts[:k]) for k in range(len(parts))]
+        size = sum(n for _, n, _ in parts)
+        assert size == 64 or s == max(sequences)
+        assert {x for *_, x in parts} == {64 if size & (size - 1) else size}
+    got = collections.Counter()
+    for parts in whole.values():
+        ids = [x for _, part, _ in sorted(parts) for x in part]
+        assert len(ids) == parts[0][2]
+        got[tuple(ids)] += 1
+    assert got == full
+
+
+@pytest.mark.parametrize("name, blanks", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_tokens_equal_the_library(tokenizers_dir, name, blanks):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from sceneqa.llm.tokens import Encoder
+
+    path = tokenizers_dir.path(name)
+    texts = [t or "" for _, t in DOCS] + [" a", "a ", "a  b", "it's\n\nthe\t day x 123 <|endoftext|> ok", "\x1c\x85", "ΟΔΟΣ ΣΑΣ", "é e ́"]
+    tok, got = Tokenizer.from_file(path), Encoder(path, blanks, 1)(pa.array(texts))[0].to_pylist()
+    for t, raw in zip(texts, got, strict=True):
+        assert np.frombuffer(raw, "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids + [1], t
+
+
+# op10
+
+
+@pytest.fixture(scope="module")
+def embeddings(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 16)).astype(np.float32)
+    x[50:150] = x[50] + 0.05 * rng.normal(size=(100, 16))
+    x[200:203] = x[200]
+    x[203] = 2 * x[200]
+    rows_ = [(i, v.tolist(), "a", 1) for i, v in enumerate(x)]
+    rows_ += [(500, None, "b", 1), (501, [], "b", 1), (502, [0.0] * 16, "b", 1), (503, [float("nan")] * 16, "b", 1), (504, [None] * 16, "b", 1), (505, [1.0] * 4, "b", 1), (None, x[0].tolist(), "b", 1)]
+    return rows_, spark.createDataFrame(rows_, "vec_id bigint, embedding array<float>, key string, n int")
+
+
+@pytest.mark.parametrize("piece", [60, 1500])
+def test_vectors(embeddings, monkeypatch, piece):
+    monkeypatch.setattr(vectors, "PIECE", piece)
+    rows_, df = embeddings
+    x = np.array([r[1] for r in rows_[:400]], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    linked = x @ x.T >= 0.95
+    np.fill_diagonal(linked, False)
+    names = smallest_reachable(list(range(400)), lambda i, j: linked[i, j])
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.cluster(df).collect()}
+    want = {i: (int(linked[i].sum()), names[i], names[i] == i) for i in range(400)}
+    assert all(got[i][0] <= want[i][0] for i in want)
+    assert sum(got[i][0] for i in want) >= 0.97 * sum(v[0] for v in want.values())
+    assert sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
+    assert all(got[i] == (0, i, True) for i in range(500, 506)) and got[None] == (0, None, False)
+
+
+# all
+
+
+def test_empty_tables(empty, spark, tokenizers_dir):
+    path = tokenizers_dir.path("byte_bpe_50k.json")
+    ws = Workspace(spark, "t")
+    other = Workspace(spark, "u")
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert simhash.cluster(empty).count() == simhash.dedup(empty).count() == 0
+    assert ngrams.score(empty, crc_column() % 5 == 1).count() == 0
+    assert token_store.read_store(token_store.write_store(empty, ws, path, True, 1)).count() == 0
+    assert quality.score(empty, quality.fit(empty, none, ws)).count() == 0
+    assert pii.pseudonymise(empty).count() == 0
+    assert decontaminate.find(empty, spark.createDataFrame([(1, "a b")], "item_id bigint, text string")).count() == 0
+    assert substrings.dedup(empty).count() == 0
+    assert toxicity.score(empty, toxicity.fit(empty, none, other)).count() == 0
+    assert packing.pack(empty, path).count() == 0
+    assert vectors.cluster(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
