@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sceneqa.queries import extensions, geometry, joins, nested, sampling, stats, text, windows  # noqa: F401
+from sceneqa.queries import extensions, geometry, joins, nested, qa, sampling, stats, text, windows  # noqa: F401
 from sceneqa.queries.registry import ORACLES, QUERIES, Query
 
 
