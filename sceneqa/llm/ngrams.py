@@ -43,12 +43,21 @@ END = np.uint64(0x8E51A2C3D4B69707)
 CHUNKS = "chunk bigint, n_tokens bigint, train_tokens bigint, doc_ids array<bigint>, held array<boolean>, sizes array<int>, words binary, ids binary"
 
 
+def _squeeze(raw: bytes) -> bytes:
+    """Bytes behind their number, entropy-coded: shuffles compress repeats alone."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _open(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+
+
 def _planes(ids: np.ndarray) -> bytes:
-    return np.ascontiguousarray(ids.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+    return _squeeze(np.ascontiguousarray(ids.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def _ids(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(_open(raw), np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
 
 
 def chunks(docs: DataFrame, held_out) -> DataFrame:
@@ -143,10 +152,11 @@ def _grams(row: dict, key_bits: int) -> Grams:
 def _counts(x: np.ndarray) -> bytes:
     """Counts as a byte each, and those of 255 and more behind them."""
     large = x[x >= 255].astype(np.uint64)
-    return np.minimum(x, 255).astype(np.uint8).tobytes() + large.tobytes()
+    return _squeeze(np.minimum(x, 255).astype(np.uint8).tobytes() + large.tobytes())
 
 
 def _uncounted(raw: bytes, n: int) -> np.ndarray:
+    raw = _open(raw)
     out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
     out[out == 255] = np.frombuffer(raw, np.uint64, offset=n).astype(np.int64)
     return out
