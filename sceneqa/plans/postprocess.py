@@ -26,19 +26,15 @@ def dedup_pairs(pairs: DataFrame) -> DataFrame:
 def split(keys: DataFrame, cap: int, seed: str) -> DataFrame:
     """split: val for the first min(cap, n // 5) keys in hash order.
 
-    The border's hash is found from counts of hash prefixes, so no task ranks the whole table.
+    Keys are ranked within 4,096 prefixes of their hashes; what stands before each prefix comes from the prefixes' counts.
+    So no task ranks the whole table.
     """
     h = keys.withColumn("_h", hash_order(seed, "conv_id", "turn")).withColumn("_p", F.substring("_h", 1, 3))
-    counts = h.groupBy("_p").agg(F.count("*").alias("_n"))  # 4,096 rows at most
+    counts = h.groupBy("_p").agg(F.count("*").alias("_n"))
     upto, total = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    plan = counts.select("_p", "_n", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"), F.least(F.lit(cap), F.floor(F.sum("_n").over(total) / 5)).alias("_want"))
-    ranked = h.join(F.broadcast(plan), "_p")
-    inside = ranked.where(F.col("_before") + F.col("_n") <= F.col("_want")).withColumn("split", F.lit("val"))
-    outside = ranked.where(F.col("_before") >= F.col("_want")).withColumn("split", F.lit("train"))
-    border = ranked.where((F.col("_before") < F.col("_want")) & (F.col("_before") + F.col("_n") > F.col("_want")))
-    r = F.row_number().over(Window.partitionBy("_p").orderBy("_h", "conv_id", "turn"))
-    border = border.withColumn("split", F.when(F.col("_before") + r <= F.col("_want"), "val").otherwise("train"))
-    return inside.union(outside).union(border).select("conv_id", "turn", "split")
+    plan = counts.select("_p", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"), F.least(F.lit(cap), F.floor(F.sum("_n").over(total) / 5)).alias("_want"))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy("_h", "conv_id", "turn"))
+    return h.join(F.broadcast(plan), "_p").select("conv_id", "turn", F.when(rank <= F.col("_want"), "val").otherwise("train").alias("split"))
 
 
 def sft_plan(conversations: DataFrame, cap: int = 1000, seed: str = "sft") -> DataFrame:
