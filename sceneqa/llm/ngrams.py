@@ -220,7 +220,7 @@ def slice_of(g: Grams, counts: list[np.ndarray], total: int, types: int, weights
         context, word = g.grams[n - 1]
         c, m = counts[n - 1], weights[n - 2]
         # p(w | h') is that of the gram without its first word
-        shorter = full[0][word] if n == 2 else full[n - 2][g.tail]
+        shorter = full[0][word] if n == 2 else full[n - 2][_tails(g)]
         h = below_counts[context]
         q = (c + m * shorter) / (h + m)
         seen = (c > 0) & (at[context] >= 0)
@@ -232,17 +232,18 @@ def slice_of(g: Grams, counts: list[np.ndarray], total: int, types: int, weights
         nxt[order] = np.arange(len(order))
         at, below_counts = nxt, c
         full.append(q)
-        if n == 2 and ORDER > 2:
-            g.tail = _tails(g)
     return Trie.map(Trie.build(g.words[have], levels, probs, backs))
 
 
 def _tails(g: Grams) -> np.ndarray:
-    """For each trigram the place of its last two words among the bigrams."""
+    """For each trigram the place of its last two words among the bigrams, found once for a chunk."""
+    if hasattr(g, "tail"):
+        return g.tail
     v = np.uint64(len(g.words))
     (c2, w2), (c3, w3) = g.grams[1], g.grams[2]
     pairs = c2.astype(np.uint64) * v + w2.astype(np.uint64)  # ascending
-    return np.searchsorted(pairs, w2[c3].astype(np.uint64) * v + w3.astype(np.uint64))
+    g.tail = np.searchsorted(pairs, w2[c3].astype(np.uint64) * v + w3.astype(np.uint64))
+    return g.tail
 
 
 def log_probs(trie: Trie, g: Grams, unknown: float) -> np.ndarray:

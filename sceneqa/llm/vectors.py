@@ -10,7 +10,8 @@ the range goes on to their neighbours until no new one lies within. Pairs are ve
 A pair that several cells find counts in one of them. Groups leave a cell as stars, and components are joined from
 these. A sample of vectors is held against all classes; if recall falls short, everything is repeated with more overlap.
 
-The centres are fitted by the driver on at most SAMPLE classes; every vector is indexed and searched for.
+The centres are fitted by the driver on at most SAMPLE classes, in single precision; every vector is indexed and
+searched for.
 
 Null or zero vectors and those with null or non-finite components link with nothing; nor does a row without vec_id,
 whose component is null. Vectors of different lengths don't link. Repeated rows are linked like other equal vectors. An empty table
@@ -31,8 +32,8 @@ from sceneqa.llm.common import Workspace
 from sceneqa.llm.components import components, local_components
 
 THRESHOLD = 0.95
-#: Classes that the centres are fitted on at most, classes per centre, centres at most.
-SAMPLE, PER_CENTRE, CENTRES = 20_000, 100, 4096
+#: Classes that the centres are fitted on at most, and for each centre; classes per centre; centres at most.
+SAMPLE, PER_SAMPLE, PER_CENTRE, CENTRES = 200_000, 40, 100, 10_000
 #: Vectors in a piece; a cell holds two pieces at most.
 PIECE = 1_500
 #: Neighbours that pruning starts from and keeps, its slack, random neighbours that stay besides, and the beam.
@@ -75,7 +76,7 @@ def centres(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Spherical k-means from a start that strides through the sample."""
     c = sample[np.linspace(0, len(sample) - 1, min(k, len(sample))).astype(int)]
     for _ in range(rounds):
-        near = np.argmax(sample @ c.T, 1)
+        near = np.concatenate([np.argmax(sample[k : k + 2048] @ c.T, 1) for k in range(0, len(sample), 2048)])
         sums = np.zeros_like(c)
         np.add.at(sums, near, sample)
         size = np.sqrt((sums * sums).sum(1, keepdims=True))
@@ -307,9 +308,10 @@ def cluster(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = ws.table(_rows(table), "rows")
     classes = ws.table(rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec")), "classes")
     count = classes.count()
-    sample = classes.orderBy(F.xxhash64("key")).limit(SAMPLE).select("rep", "vec").collect()
+    many = max(1, min(CENTRES, count // PER_CENTRE))
+    sample = classes.orderBy(F.xxhash64("key")).limit(min(SAMPLE, PER_SAMPLE * many)).select("rep", "vec").collect()
     widths = {len(r.vec) for r in sample}
-    centre = {w: centres(unit([r.vec for r in sample if len(r.vec) == w]), max(1, min(CENTRES, count // PER_CENTRE))) for w in widths}
+    centre = {w: centres(unit([r.vec for r in sample if len(r.vec) == w]).astype(np.float32), many) for w in widths}
     queries = [(r.rep, bytes(r.vec)) for r in sample[:: max(1, len(sample) // AUDIT)]]
     true = _audit(classes, queries, threshold) if queries else {}
     for attempt, (most, degrees) in enumerate(OVERLAP):
