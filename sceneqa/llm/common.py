@@ -8,8 +8,10 @@ between them alone. No Python code runs per word.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -58,6 +60,14 @@ class Workspace:
         df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Lets the shuffle files of tables that are written go; Spark keeps them until the driver collects its garbage."""
+        for _ in range(2):  # Python's handles go first, then what they held; both ends work on their own threads
+            gc.collect()
+            time.sleep(0.5)
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
+
     def drop(self, name: str) -> None:
         self._remove(f"/{name}")
 
