@@ -236,12 +236,15 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False, index:
     bits = index.bits if index else shard_bits(windows)
     key_bits = 60 if index else max(bits + 8, min(60, windows.bit_length() + 20))
     before = index.next_run() if index else 0
-    own = ws.table(runs(numbered, bits, key_bits, window, before), "runs")
+    own = runs(numbered, bits, key_bits, window, before)
+    if index:  # the index keeps them; else they only travel
+        own = ws.table(own, "runs")
     known = index.runs().union(own) if index and before else own
     told = ws.table(seen_before(known, before), "told")
     if index:
         index.append(own)
-    ws.drop("runs")
+        ws.drop("runs")
+    ws.release()
     return removed(numbered, told, bits, key_bits, window, before, with_text)
 
 
