@@ -314,5 +314,6 @@ def score(docs: DataFrame, held_out, weights: tuple[float, ...] = WEIGHTS) -> Da
     bits = max(3, (2 * n // SHARD_KEYS).bit_length())
     key_bits = min(64, max(bits + 8, (2 * n).bit_length() + 20))
     told = ws.table(answers(requests(table, bits, key_bits)), "told")
+    ws.release()
     types = told.where("chunk = -1").agg(F.sum("known")).first()[0] or 0
     return scored(table, told.where("chunk >= 0"), bits, key_bits, sums.train or 0, types, weights)
