@@ -1,10 +1,10 @@
 """Whole-text tokenisation by the tokenizers library with a bounded table of pieces.
 
-Both vocabularies split texts before they merge, and never across a space that stands alone between other characters
-(one of them: never across any space or line feed). So the ids of a text are those of its pieces in order. Pieces are
-found and looked up for a batch at once by 64-bit hashes, and the library encodes each distinct piece once for as
-long as the table holds it. Texts for which the rule does not hold (runs of spaces, a space at an end, for the vocabulary that
-keeps spaces) are one piece.
+Both vocabularies split texts before they merge, and never across the place between a character that is not white space
+and a space after it (one of them: never across any space or line feed). So the ids of a text are those of its pieces
+in order. Pieces are found and looked up for a batch at once by 64-bit hashes, and the library encodes each distinct piece
+once for as long as the table holds it. The vocabulary that keeps spaces merges white space of any kind, so a run of it
+is never cut: it goes with the word after it, and with the one before it unless it starts with a space.
 """
 
 from __future__ import annotations
@@ -22,9 +22,24 @@ PIECES, POOL = 2_500_000, 12_000_000
 BATCH = 8_192
 
 _LINES = table(" \n")
+#: The last UTF-8 bytes of white space beyond ASCII, as ranges (some neighbours that are not white space are held for it).
+_WHITE = ((0xC285, 0xC285), (0xC2A0, 0xC2A0), (0xE19A80, 0xE19A80), (0xE1A08E, 0xE1A08E), (0xE28080, 0xE2808F), (0xE280A8, 0xE280AF), (0xE2819F, 0xE281A0), (0xE38080, 0xE38080), (0xEFBBBF, 0xEFBBBF))
 _loaded: dict[tuple[str, bool, int], Encoder] = {}
 
 
+def _after_blank(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether white space may end right before each place; what stands before a text's first byte does not matter."""
+    out = data[at - 1] <= 32
+    wide = np.flatnonzero(data[at - 1] >= 128)
+    if len(wide):
+        two = data[at[wide] - 2].astype(np.uint32) << 8 | data[at[wide] - 1]
+        three = data[at[wide] - 3].astype(np.uint32) << 16 | two
+        for low, high in _WHITE:
+            last = two if high <= 0xFFFF else three
+            out[wide] |= (low <= last) & (last <= high)
+    return out
+
+
 class Encoder:
     """Texts to ids of 2 bytes, each text with an end id after it."""
 
@@ -45,20 +60,9 @@ class Encoder:
         if not self.keeps:
             return spans(data, bounds, _LINES)
         n = len(data)
-        blank = data == 32
         edge = np.zeros(n + 1, bool)
-        edge[:-1] = blank
-        odd = np.zeros(n + 1, np.int64)
-        last = np.zeros(n, bool)  # the text's last byte
-        last[bounds[1:][np.diff(bounds) > 0] - 1] = True
-        first = bounds[:-1][np.diff(bounds) > 0]
-        wrong = blank & last
-        wrong[:-1] |= blank[:-1] & blank[1:]
-        wrong[first] |= blank[first]
-        if wrong.any():
-            np.cumsum(wrong, out=odd[1:])
-            for k in np.flatnonzero(odd[bounds[1:]] > odd[bounds[:-1]]).tolist():
-                edge[bounds[k] : bounds[k + 1]] = False
+        at = np.flatnonzero(data == 32)
+        edge[at[~_after_blank(data, at)]] = True
         edge[bounds] = True
         edge[[0, n]] = True
         cut = np.flatnonzero(edge)

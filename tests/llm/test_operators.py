@@ -453,6 +453,29 @@ def test_tokens_equal_the_library(tokenizers_dir, name, blanks):
         assert np.frombuffer(raw, "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids + [1], t
 
 
+WHITE = [" ", "\t", "\n", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2009", "\u200b", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "\ufeff"]
+
+
+@pytest.mark.parametrize("name, blanks", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_tokens_of_mixed_white_space_equal_the_library(tokenizers_dir, name, blanks):
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from sceneqa.llm.tokens import Encoder
+
+    path, rng = tokenizers_dir.path(name), random.Random(3)
+    texts = ["x \xa0 \xa0 b", "x\xa0 \xa0 \xa0 \xa0", " \xa0", "a \n b", "a\n  b", "\xa0 \xa0 <|endoftext|> \xa0 ok", "  <|endoftext|>  x"]
+    words = ["a", "the", "7", "don't", "!?", "é", "日本", "<|endoftext|>", "́x"]
+    for _ in range(3000):
+        texts.append("".join(rng.choice(words) + "".join(rng.choice([" ", " ", rng.choice(WHITE)]) for _ in range(rng.randrange(5))) for _ in range(rng.randrange(1, 6))))
+        texts.append(rng.choice(WHITE) + texts[-1])
+    tok, got = Tokenizer.from_file(path), Encoder(path, blanks, 1)(pa.array(texts))[0].to_pylist()
+    for t, raw in zip(texts, got, strict=True):
+        assert np.frombuffer(raw, "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids + [1], repr(t)
+
+
 # op10
 
 
