@@ -10,7 +10,9 @@ Shards are rows of a table that Spark writes, so they reach any store that Spark
 doc_id, so shard numbers follow doc_id; the driver keeps one total for each range.
 
 Null and empty texts consist of the end id alone. Rows that repeat a doc_id stand next to each other in the order of
-their ids' bytes; a lookup finds all of them. An empty table gives no shards. Further columns are not read.
+their ids' bytes; a lookup finds all of them. Rows without a doc_id stand before all others, in the order of a hash of
+their ids; a shard counts those it holds, its index has none of them, and they may fill several shards. An empty table
+gives no shards. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from sceneqa.llm.common import Workspace, mix, sum_to_base, text_array, texts
 from sceneqa.llm.tokens import encoder
 
-MAGIC = b"TIDS1\0\0\0"
-_HEAD = struct.Struct("<8sIIQQIII")
+MAGIC = b"TIDS2\0\0\0"
+_HEAD = struct.Struct("<8sIIQQIIII")
 #: Bytes of ids after which a shard is closed.
 SHARD_BYTES = 4 << 20
 
@@ -81,10 +83,16 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (mix(keys, 77) >> np.uint64(48)).astype(np.uint16)
 
 
-def write_shard(doc_ids: list[int], ids: list[bytes], start: int, width: int = 2) -> bytes:
-    """doc_ids ascending; ids: little-endian integers of so many bytes; start: the ids before this shard in its range."""
-    keys = np.array(doc_ids, np.int64).view(np.uint64)
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+def first_rows(keys: np.ndarray) -> np.ndarray:
+    """The first row of each of the keys, which stand in groups."""
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+
+
+def write_shard(doc_ids: list[int | None], ids: list[bytes], start: int, width: int = 2) -> bytes:
+    """doc_ids ascending, None before all; ids: little-endian integers of so many bytes; start: the ids before this shard in its range."""
+    none = doc_ids.count(None)
+    keys = np.array([0] * none + doc_ids[none:], np.int64).view(np.uint64)
+    first = none + first_rows(keys[none:])
     sizes, words, rank, slots = build_index(keys[first])
     prints, rows = np.zeros(len(first), np.uint16), np.zeros(len(first), np.uint32)
     prints[slots], rows[slots] = fingerprints(keys[first]), first
@@ -92,14 +100,14 @@ def write_shard(doc_ids: list[int], ids: list[bytes], start: int, width: int = 2
     ends = np.cumsum(lengths, dtype=np.uint64)
     payload = b"".join(ids)
     parts = [sizes, words, rank, prints, rows, keys, ends]
-    return b"".join([_HEAD.pack(MAGIC, width, len(ids), start, len(payload), len(sizes), len(words), len(first)), *(p.tobytes() for p in parts), payload])
+    return b"".join([_HEAD.pack(MAGIC, width, len(ids), start, len(payload), len(sizes), len(words), len(first), none), *(p.tobytes() for p in parts), payload])
 
 
 class Shard:
     """A shard opened over its bytes; nothing is copied."""
 
     def __init__(self, image: bytes | memoryview):
-        magic, self.width, n, self.start, size, levels, words, distinct = _HEAD.unpack_from(image)
+        magic, self.width, n, self.start, size, levels, words, distinct, self.none = _HEAD.unpack_from(image)
         if magic != MAGIC:
             raise ValueError("not a shard of token ids")
         at, parts = _HEAD.size, []
@@ -123,8 +131,10 @@ class Shard:
     def before(self, row: int) -> int:
         return self.start + (int(self.ends[row - 1]) if row else 0)
 
-    def get(self, key: int) -> list[np.ndarray]:
-        """The ids of every row of a key."""
+    def get(self, key: int | None) -> list[np.ndarray]:
+        """The ids of every row of a key; of the rows without one for None."""
+        if key is None:
+            return [self.ids(row) for row in range(self.none)]
         row, out = int(self.rows_of(np.array([key]))[0]), []
         while 0 <= row < len(self.keys) and self.keys[row] == key:
             out.append(self.ids(row))
@@ -153,7 +163,7 @@ def write_store(docs: DataFrame, ws: Workspace, path: str, keeps_blanks: bool, e
         size = 0
         for batch in batches:
             for key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if size >= shard_bytes and key != keys[-1]:
+                if size >= shard_bytes and (key is None or key != keys[-1]):
                     yield close()
                     number, start = number + 1, start + size // 2
                     keys.clear()
@@ -168,7 +178,9 @@ def write_store(docs: DataFrame, ws: Workspace, path: str, keeps_blanks: bool, e
     spark = docs.sparkSession
     encoded = ws.table(texts(docs).mapInArrow(encode, "doc_id bigint, ids binary"), "encoded")
     many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), encoded.rdd.getNumPartitions())
-    dealt = encoded.repartitionByRange(many, "doc_id").sortWithinPartitions("doc_id", "ids")
+    # rows of one doc_id stay together; those without one need not, and have an order over all partitions
+    order = [F.col("doc_id").asc_nulls_first(), F.when(F.col("doc_id").isNull(), F.xxhash64("ids")).asc_nulls_first()]
+    dealt = encoded.repartitionByRange(many, *order).sortWithinPartitions(*order, "ids")
     out = ws.table(dealt.mapInArrow(shards, "part bigint, shard bigint, first_id bigint, last_id bigint, n_tokens bigint, image binary"), "shards")
     ws.drop("encoded")
     return out
@@ -183,13 +195,19 @@ def read_store(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for part, image in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shard = Shard(image.as_buffer())
-                first = np.flatnonzero(np.r_[True, shard.keys[1:] != shard.keys[:-1]])
-                out = []
-                for row in shard.rows_of(shard.keys[first]).tolist():
+                out: list[tuple] = []
+
+                def add(key: int | None, row: int, part: int = part, shard: Shard = shard, out: list[tuple] = out) -> None:
+                    ids = shard.ids(row)
+                    out.append((key, base[part] + shard.before(row), len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+
+                for row in range(shard.none):
+                    add(None, row)
+                keys = shard.keys[shard.none :]
+                for row in shard.rows_of(keys[first_rows(keys)]).tolist():
                     key = shard.keys[row]
                     while row < len(shard.keys) and shard.keys[row] == key:
-                        ids = shard.ids(row)
-                        out.append((int(key), base[part] + shard.before(row), len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                        add(int(key), row)
                         row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 

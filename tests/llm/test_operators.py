@@ -184,6 +184,28 @@ def test_token_store_round_trip(docs, spark, tokenizers_dir):
     assert sorted(map(tuple, token_store.read_store(store).collect())) == sorted(want)
 
 
+def test_token_store_keeps_rows_without_id(docs, spark, tokenizers_dir):
+    from tokenizers import Tokenizer
+
+    path = tokenizers_dir.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    more = spark.createDataFrame([(None, f"none {k} " * (k % 7 + 1)) for k in range(60)] + [(0, "zero")], "doc_id bigint, text string")
+    table = docs.select("doc_id", "text").union(more).repartition(5)
+    store = token_store.write_store(table, Workspace(spark, "t"), path, False, 1, shard_bytes=200)
+    got = sorted(map(tuple, token_store.read_store(store).collect()), key=lambda r: r[1])
+    want = []
+    for i, t in table.collect():
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
+        want.append((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    assert sorted(((i, n, c) for i, _, n, c in got), key=str) == sorted(want, key=str)
+    assert [s for _, s, _, _ in got] == [sum(n for _, _, n, _ in got[:k]) for k in range(len(got))]
+    keys = [i for i, *_ in got]
+    assert keys[:61] == [None] * 61 and keys[61:] == sorted(keys[61:])
+    shards = store.orderBy("part", "shard").collect()
+    assert sum(len(token_store.Shard(r.image).get(None)) for r in shards) == 61 and sum(r.first_id is None for r in shards) > 1
+    assert sum(len(token_store.Shard(r.image).get(0)) for r in shards) == 1
+
+
 def test_perfect_hash_is_minimal_and_refuses_strangers():
     keys = np.unique(np.random.default_rng(0).integers(-(2**62), 2**62, 5000))
     image = token_store.write_shard(keys.tolist(), [bytes([k % 251, 0]) for k in range(len(keys))], 7)
