@@ -1,23 +1,27 @@
 """Shared run folders, Arrow text access and vectorised word hashing.
 
-Word hashing works on whole Arrow buffers with numpy: a wrapping prefix sum of byte times a power of an odd
-constant, of which the difference between two places, divided by the power at the first, depends on the bytes
-between them alone. No Python code runs per word.
+Word hashing works on whole Arrow buffers with numpy: a prefix sum of byte times a power of a base in a prime field, of
+which the difference between two places, divided by the power at the first, depends on the bytes between them alone.
+A hash joins two fields of 31 bits; two different words of L bytes share it with a probability of (L / 2**31)**2 over
+the choice of the bases. Words of over LONG bytes are hashed one by one with XXH3. No Python code runs per shorter word.
 """
 
 from __future__ import annotations
 
 import atexit
 import gc
+import hashlib
 import os
 import tempfile
 import time
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,15 +30,20 @@ BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 ROW_GROUP = 32 << 20
 #: Bytes of text that numpy sees at once; temporaries are about 40 times this.
 SLICE = 1 << 20
+#: Bytes that word hashing sees at once, and those of words that it leaves to XXH3.
+BLOCK, LONG = 1 << 18, 1 << 16
 
 _local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where spark.checkpoint.dir is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one where that is unset."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="sceneqa-"))
     return f"file://{_local[0]}"
@@ -170,19 +179,52 @@ def spans(data: np.ndarray, bounds: np.ndarray, classes: np.ndarray) -> tuple[np
     return cut[:-1][keep], cut[1:][keep]
 
 
+#: Prime fields of the word hashes (fixed values); bases are drawn from the salt.
+_PRIMES = (2**31 - 1, 2**31 - 19)
+
+
+@cache
+def _fields(salt: int) -> list[tuple[np.uint64, np.ndarray, np.ndarray]]:
+    """For each field its prime, the powers of its base, and their inverses."""
+    out = []
+    for k, prime in enumerate(_PRIMES):
+        base = int.from_bytes(hashlib.blake2b(b"word hash %d %d" % (salt, k), digest_size=8).digest(), "big") % (prime - 3) + 2
+        both = []
+        for b in (base, pow(base, -1, prime)):
+            p = np.ones(BLOCK + LONG + 1, np.uint64)
+            n = 1
+            while n < len(p):
+                m = min(n, len(p) - n)
+                p[n : n + m] = p[:m] * np.uint64(pow(b, n, prime)) % np.uint64(prime)
+                n += m
+            both.append(p.astype(np.uint32))
+        out.append((np.uint64(prime), *both))
+    return out
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, the same wherever they stand."""
+    """A 64-bit hash of the bytes of each span, the same wherever they stand; each salt has functions of its own."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
         lo = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, lo + SLICE, "right")))
+        j = max(i + 1, int(np.searchsorted(ends, lo + BLOCK, "right")))
         hi = int(ends[j - 1])
-        p, inv = powers(hi - lo + 1)
+        if hi - lo > BLOCK + LONG:
+            out[i] = xxhash.xxh3_64_intdigest(data[lo:hi].tobytes(), salt)
+            i += 1
+            continue
+        values = data[lo:hi].astype(np.uint64) + np.uint64(1)
+        s, e = starts[i:j] - lo, ends[i:j] - lo
         pre = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * p[:-1], out=pre[1:])
-        s = starts[i:j] - lo
-        out[i:j] = (pre[ends[i:j] - lo] - pre[s]) * inv[s]
+        both = np.zeros(j - i, np.uint64)
+        for prime, power, inverse in _fields(salt):
+            np.cumsum(values * power[: hi - lo], out=pre[1:])  # below 2**59
+            between = (pre[e] - pre[s]) % prime
+            both = both << np.uint64(31) | between * inverse[s] % prime
+        out[i:j] = both
+        for k in np.flatnonzero(e - s > LONG).tolist():
+            out[i + k] = xxhash.xxh3_64_intdigest(data[starts[i + k] : ends[i + k]].tobytes(), salt)
         i = j
     return mix(out, salt)
 

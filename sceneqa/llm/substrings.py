@@ -5,8 +5,8 @@ sorted distinct fingerprints of its windows, dealt to shards by their leading bi
 parts (and those of earlier batches) in order and tells each part which of its fingerprints an earlier run holds: one
 bit each. A part then removes the words of windows that an earlier run or an earlier window of its own has.
 
-A fingerprint has 20 bits more than the number of windows needs, by which runs are sorted and merged, and 24 bits of an
-independent hash that verify a meeting before it counts. So whatever the number of windows, two different ones of them
+A fingerprint has 20 bits more than the number of windows needs, by which runs are sorted and merged, and 24 bits of a
+second hash, which other functions make from the words' bytes, that verify a meeting before it counts. So whatever the number of windows, two different ones of them
 are taken for one with a probability of about 2**-18 at most; an index uses 60 and 24 bits throughout.
 
 A part is a range of doc_id, bounded by quantiles, so it is the same in both passes, whichever executor computes it.
@@ -86,7 +86,7 @@ class Part:
         whole = doc[window - 1 :] == doc[: max(0, n - window + 1)]
         self.at = np.flatnonzero(whole)
         high = rolling(word, window, _MULTIPLIERS[0])[whole] >> np.uint64(64 - key_bits)
-        low = (rolling(word ^ np.uint64(0xA5A5A5A5A5A5A5A5), window, _MULTIPLIERS[1])[whole] & _LOW).astype(np.uint32)
+        low = (rolling(hash_spans(self.data, self.starts, self.ends, 1), window, _MULTIPLIERS[1])[whole] & _LOW).astype(np.uint32)
         order = np.lexsort((low, high)) if len(high) else np.zeros(0, np.int64)  # stable: equal ones stay in order
         high, low = high[order], low[order]
         new = np.ones(len(high), bool)

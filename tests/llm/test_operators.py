@@ -498,6 +498,52 @@ def test_tokens_of_mixed_white_space_equal_the_library(tokenizers_dir, name, bla
         assert np.frombuffer(raw, "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids + [1], repr(t)
 
 
+def twins():
+    """Two words of 1,024 letters that a polynomial modulo 2**64 takes for one."""
+    word = "".join("ab"[k.bit_count() & 1] for k in range(1024))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("name, blanks", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_tokens_of_twin_words_and_a_full_table_equal_the_library(tokenizers_dir, monkeypatch, name, blanks):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from sceneqa.llm import tokens
+
+    monkeypatch.setattr(tokens, "PIECES", 40)
+    path, a_b = tokenizers_dir.path(name), twins()
+    tok, enc = Tokenizer.from_file(path), tokens.Encoder(path, blanks, 1)
+    for k in range(6):
+        texts = [f"x {a_b[k % 2]} y", a_b[1 - k % 2], "", *(prose(k + j, 40) for j in range(5))]
+        for t, raw in zip(texts, enc(pa.array(texts))[0].to_pylist(), strict=True):
+            assert np.frombuffer(raw, "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids + [1]
+
+
+@pytest.mark.parametrize("name, blanks", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_tokens_do_not_depend_on_hashes(tokenizers_dir, monkeypatch, name, blanks):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from sceneqa.llm import tokens
+
+    hashes = tokens.hash_spans
+    monkeypatch.setattr(tokens, "hash_spans", lambda *a: hashes(*a) % np.uint64(50))
+    path, texts = tokenizers_dir.path(name), [t or "" for _, t in DOCS]
+    tok, got = Tokenizer.from_file(path), tokens.Encoder(path, blanks, 1)(pa.array(texts))[0].to_pylist()
+    for t, raw in zip(texts, got, strict=True):
+        assert np.frombuffer(raw, "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids + [1], t
+
+
+def test_twin_words_are_two_words(spark):
+    a, b = twins()
+    table = spark.createDataFrame([(k, " ".join([w, *prose(1, 19).split()])) for k, w in ((2, a), (3, b), (4, a))], "doc_id bigint, text string")
+    assert {r.doc_id: r.n_removed for r in substrings.dedup(table, 20).collect()} == {2: 0, 3: 0, 4: 20}
+    held = F.col("doc_id") == 3
+    got = {r.doc_id: r.n_known for r in ngrams.score(table, held).collect()}
+    assert got == {2: 21, 3: 20, 4: 21}
+
+
 # op10
 
 
