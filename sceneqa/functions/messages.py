@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sceneqa.functions.text import parse_refs
+from sceneqa.functions.text import parse_refs, strip
 
 GROUNDING = "struct<reasoning:string,grounding:array<struct<image_idx:int,camera:string,ref:string>>,answer:string>"
 LABELLED_BOX = r"([A-Za-z][\w \-]*?)\s*\(Image (\d+)(?:\s*\([^)]*\))?\s*bbox\[(-?\d+),\s*(-?\d+),\s*(-?\d+),\s*(-?\d+)\]\)"
@@ -18,7 +18,7 @@ def has_grounding(value: Column) -> Column:
 
 
 def valid_grounding(entries: Column) -> Column:
-    """Entries (label, image, box) with a view of 1..6 and a box with area, the first of equal ones."""
+    """Entries (image, label, box) with a view of 1..6 and a box with area, the first of equal ones."""
     ok = F.filter(entries, lambda e: e["image"].between(1, 6) & (F.get(e["box"], 2) > F.get(e["box"], 0)) & (F.get(e["box"], 3) > F.get(e["box"], 1)))
     return F.array_distinct(ok)
 
@@ -39,7 +39,8 @@ def reply_json(reasoning: Column, grounding: Column, answer: Column) -> Column:
 
 
 def true_grounding(value: Column) -> Column:
-    return valid_grounding(parse_refs(value))
+    """The groundings of a reply whose box is valid."""
+    return F.filter(parse_refs(value), lambda e: e["ok"])
 
 
 def parse_boxes(text: Column) -> Column:
@@ -80,20 +81,16 @@ def swap_words(text: Column, a: str, b: str) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit(a), F.lit("\u0000")), F.lit(b), F.lit(a)), F.lit("\u0000"), F.lit(b))
 
 
-def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
-
-
 def sections(text: Column) -> Column:
     """`1. Header` lines and what follows each, as structs (header, body)."""
     parts = F.filter(F.split(text, r"(?m)(?=^\d+\.\s+\S)"), lambda p: p.rlike(r"^\d+\.\s"))
-    return F.transform(parts, lambda p: F.struct(F.trim(F.regexp_extract(p, r"^\d+\.\s+([^\n]*)", 1)).alias("header"), _strip(F.regexp_replace(p, r"^[^\n]*\n?", "")).alias("body")))
+    return F.transform(parts, lambda p: F.struct(F.trim(F.regexp_extract(p, r"^\d+\.\s+([^\n]*)", 1)).alias("header"), strip(F.regexp_replace(p, r"^[^\n]*\n?", "")).alias("body")))
 
 
 def tagged_blocks(text: Column) -> Column:
     """`[TAG]` blocks as structs (tag, body), rule lines left out."""
     parts = F.filter(F.split(F.regexp_replace(text, r"(?m)^[-=]{3,}\s*$", ""), r"(?m)(?=^\[[A-Z_ ]+\])"), lambda p: p.rlike(r"^\[[A-Z_ ]+\]"))
-    return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^\[([A-Z_ ]+)\]", 1).alias("tag"), _strip(F.regexp_replace(p, r"^\[[A-Z_ ]+\]", "")).alias("body")))
+    return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^\[([A-Z_ ]+)\]", 1).alias("tag"), strip(F.regexp_replace(p, r"^\[[A-Z_ ]+\]", "")).alias("body")))
 
 
 def user_prompt(state: Column, question: Column, options: Column) -> Column:

@@ -2,44 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Removals of object references, in order (patterns, fixed values of this engine).
-REFERENCES = [r"\s*\(\s*OBJs?\s+\d+(?:\s*,\s*\d+)*\s*\)", r"\bOBJs?\s+\d+(?:\s*,\s*\d+)*\s*", r"\s*\bobject\s+#\d+\b"]
-META = r"(?i)[^.!?\n]*\b(?:as an ai|provided data|the prompt|metadata)\b[^.!?\n]*[.!?\n]?"
-PHRASES = [("in the provided image", "in view"), ("the image shows", "there is"), ("bounding box", "area")]
+#: Object references in the order of their removal (fixed values).
+REFERENCES = [
+    r"(?i)\bOBJ\s+\d+\s*\([^)]*\)",
+    r"(?i)\(\s*OBJ\s+\d+(?:\s*,\s*(?:OBJ\s+)?\d+)*\s*\)",
+    r"(?i)\bOBJs?\s+\d+(?:\s*,\s*(?:OBJ\s+)?\d+)*",
+]
+#: Words of sentences that speak about the prompt's own data (fixed values).
+META_KEYWORDS = [
+    "spatial data", "OBJ IDs", "OBJ ids", "OBJ ID", "OBJ id", "object lists", "object list", "does not list", "pre-computed",
+    "precomputed", "prior knowledge", "3D detection", "3D object detection", "provided object data", "object detection data",
+]
+META = r"(?i)[^.!?\n]*\b(?:" + "|".join(META_KEYWORDS) + r")\b[^.!?\n]*[.!?]?\s*"
+#: Phrases and what stands for them, in order (fixed values).
+PHRASES = [
+    (r"(?i)no objects? with (?:a 3D position or )?OBJ IDs?", "no object"),
+    (r"(?i)no objects? with an? OBJ IDs?", "no object"),
+    (r"(?i)(?:the\s+)?OBJ IDs?(?:\s+and\s+(?:their\s+)?descriptions?)?", ""),
+    (r"(?i)spatial database", "scene"),
+    (r"(?i)spatial dataset", "scene"),
+    (r"(?i)spatial data", "scene"),
+    (r"(?i)object lists?", "scene"),
+]
 CONTROL = r"[\x00-\x08\x0B-\x0C\x0E-\x1F]"
 
 
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def tidy(text: Column) -> Column:
     """Empty brackets, doubled commas and runs of blanks go, whether or not anything was removed before."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\(\)", ""), r",,", ","), r"\s{2,}", " "))
+    for pattern, new in ((r"\(\s*\)", ""), (r",\s*,", ","), (r"\s{2,}", " ")):
+        text = F.regexp_replace(text, pattern, new)
+    return strip(text)
+
+
+def _counted(text: Column, edits: list[tuple[str, str]]) -> tuple[Column, Column]:
+    """The text after the edits, and how many there were, each counted on what the one before has left."""
+    n = F.lit(0)
+    for pattern, new in edits:
+        n, text = n + F.regexp_count(text, F.lit(pattern)), F.regexp_replace(text, pattern, new)
+    return text, n
 
 
 def cleanse_references(text: Column) -> Column:
-    for p in REFERENCES:
-        text = F.regexp_replace(text, p, "")
-    return tidy(text)
+    return tidy(_counted(text, [(p, "") for p in REFERENCES])[0])
 
 
 def count_references(text: Column) -> Column:
-    """Each pattern counted on the text that the one before has left."""
-    total = None
-    for p in REFERENCES:
-        n = F.regexp_count(text, F.lit(p))
-        total, text = n if total is None else total + n, F.regexp_replace(text, p, "")
-    return total
+    return _counted(text, [(p, "") for p in REFERENCES])[1]
 
 
 def drop_meta(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, META, ""))
+    """Without the sentences that hold a keyword; a text that has none stays as it is."""
+    return F.when(text.rlike(META), strip(F.regexp_replace(F.regexp_replace(text, META, ""), r"\s{2,}", " "))).otherwise(text)
 
 
 def replace_phrases(text: Column, phrases: list[tuple[str, str]] = PHRASES) -> Column:
-    for old, new in phrases:
-        text = F.regexp_replace(text, rf"(?i)\b{old}\b", new)
-    return text
+    return _counted(text, phrases)[0]
+
+
+def cleansed(df: DataFrame, text: str) -> DataFrame:
+    """The frame with the text after all three rounds, and r1, r2, r3: how much each round found."""
+    out = df.withColumns({"r1": count_references(F.col(text)), text: cleanse_references(F.col(text))})
+    out = out.withColumns({"r2": F.regexp_count(text, F.lit(META)), text: drop_meta(F.col(text))})
+    return out.withColumns({"r3": _counted(F.col(text), PHRASES)[1], text: replace_phrases(F.col(text))})
 
 
 def strip_control(text: Column) -> Column:
@@ -76,22 +107,30 @@ def normalize_answer(answer: Column) -> Column:
     return F.when(letters, F.array_join(F.array_sort(F.transform(parts, F.upper)), ",")).otherwise(F.lower(text))
 
 
-REFUSALS = ["cannot determine", "can't help", "unable to answer", "i don't know", "sorry"]
+#: Parts of a reply that mean no answer: a failed call, and refusals (fixed values).
+FAILED = "Failed to obtain answer via API"
+REFUSALS = [
+    "Sorry, I can't help with images of people yet.",
+    "I can't process this file.",
+    "I'm sorry, but without the image provided",
+    "Cannot determine the answer",
+]
 
 
 def infer_option(answer: Column, options: list[str]) -> Column:
-    """The one option letter that stands alone in an answer; Z for a refusal; null if none or several do.
+    """The one option letter that stands alone in an answer; Z for a refusal, or a Z where no option stands; null if the call
+    failed, and if none or several stand.
 
     A stand-alone A in an answer of more than three tokens may be the article, which voids the result.
     """
-    refused = None
+    refused = F.lit(False)
     for r in REFUSALS:
-        hit = F.contains(F.lower(answer), F.lit(r))
-        refused = hit if refused is None else refused | hit
+        refused = refused | F.contains(answer, F.lit(r))
     tokens = F.filter(F.split(F.regexp_replace(answer, r"[.()\[\],:;!*#{}]", " "), r"\s+"), lambda t: t != "")
     found = F.array_distinct(F.filter(tokens, lambda t: t.isin(options)))
     article = F.array_contains(tokens, "A") & (F.size(tokens) > 3)
-    return F.when(refused, "Z").when((F.size(found) == 1) & ~article, F.get(found, 0))
+    one = F.when((F.size(found) == 1) & ~article, F.get(found, 0)).when((F.size(found) == 0) & F.array_contains(tokens, "Z"), "Z")
+    return F.when(F.contains(answer, F.lit(FAILED)), None).when(refused, "Z").otherwise(one)
 
 
 def infer_by_text(answer: Column, options: dict[str, Column]) -> Column:
@@ -116,20 +155,51 @@ def contract_reason(answer_type: Column, answer: Column, options: Column) -> Col
     return F.when(answer.isNull() | (text == ""), "empty").when(stray, "stray options").otherwise(rules)
 
 
-def render_ref(label: Column, image: Column, box: list[Column]) -> Column:
-    """`label [image](x1,y1),(x2,y2)` between reference tags."""
-    return F.format_string("<ref>%s</ref><view>%d</view><box>(%d,%d),(%d,%d)</box>", label, image, *box)
+#: The grounding tokens of replies (fixed values).
+REF_START, REF_END, BOX_START, BOX_END = "<|object_ref_start|>", "<|object_ref_end|>", "<|box_start|>", "<|box_end|>"
+LABEL = r"<\|object_ref_start\|>(.*?)<\|object_ref_end\|>"
+BOX = r"<\|box_start\|>\((\d+),(\d+)\),\((\d+),(\d+)\)<\|box_end\|>"
+GROUNDING = "struct<grounding:array<struct<image_idx:int,camera:string,ref:string>>>"
 
 
-REF = r"<ref>([^<]*)</ref><view>(\d+)</view><box>\((-?\d+),(-?\d+)\),\((-?\d+),(-?\d+)\)</box>"
+def render_ref(label: Column, box: list[Column]) -> Column:
+    """A label and its box between the grounding tokens."""
+    return F.format_string(f"{REF_START}%s{REF_END}{BOX_START}(%d,%d),(%d,%d){BOX_END}", label, *box)
 
 
-def parse_refs(text: Column) -> Column:
-    """The references of a text as structs (label, image, box)."""
-    return F.transform(
-        F.regexp_extract_all(text, F.lit(REF), F.lit(0)),
-        lambda r: F.struct(F.regexp_extract(r, REF, 1).alias("label"), F.regexp_extract(r, REF, 2).cast("int").alias("image"), F.array(*[F.regexp_extract(r, REF, i).cast("int") for i in range(3, 7)]).alias("box")),
-    )
+def _entry(image: Column, label: Column, box: Column) -> Column:
+    """struct(image, label, box, ok): the four numbers found; a box is ok with an area and numbers up to 1000, else it is null."""
+    ok = (F.get(box, 0) < F.get(box, 2)) & (F.get(box, 1) < F.get(box, 3)) & F.forall(box, lambda v: v.between(0, 1000))
+    return F.struct(image.cast("int").alias("image"), F.coalesce(strip(label), F.lit("")).alias("label"), F.when(ok, box).alias("box"), ok.alias("ok"))
+
+
+def _numbers(text: Column, pattern: str, first: int) -> Column:
+    return F.array(*[F.regexp_extract(text, pattern, i).try_cast("bigint") for i in range(first, first + 4)])
+
+
+def parse_refs(value: Column) -> Column:
+    """The groundings of a reply as structs (image, label, box, ok).
+
+    Of a JSON reply: its grounding entries with a view of 1..6 and a box. Of any other text: its boxes in order, each with
+    the last view named before it and the last label since the box before; a box without such a view is left out.
+    """
+    entries = F.from_json(value, GROUNDING)["grounding"]
+    known = F.filter(entries, lambda g: g["image_idx"].between(1, 6) & g["ref"].rlike(BOX))
+    label = lambda t, p, i: F.when(t.rlike(p), F.regexp_extract(t, p, i))
+    whole = F.transform(known, lambda g: _entry(g["image_idx"], label(g["ref"], LABEL, 1), _numbers(g["ref"], BOX, 1)))
+    parts = rf'(?s)"image_idx"\s*:\s*(\d+)|{LABEL}|{BOX}'
+    none = F.struct(F.lit(None).cast("int").alias("image"), F.lit(None).cast("string").alias("label"), F.array().cast("array<struct<image:int,label:string,box:array<bigint>,ok:boolean>>").alias("out"))
+
+    def step(state: Column, part: Column) -> Column:
+        view, name = F.regexp_extract(part, parts, 1), F.regexp_extract(part, parts, 2)
+        is_view, is_name = part.startswith('"image_idx"'), part.startswith(REF_START)
+        fits = ~is_view & ~is_name & state["image"].between(1, 6)
+        out = F.when(fits, F.concat(state["out"], F.array(_entry(state["image"], state["label"], _numbers(part, parts, 3))))).otherwise(state["out"])
+        label_ = F.when(is_name, name).when(fits, F.lit(None)).otherwise(state["label"])
+        return F.struct(F.when(is_view, view.try_cast("int")).otherwise(state["image"]).alias("image"), label_.alias("label"), out.alias("out"))
+
+    scanned = F.aggregate(F.regexp_extract_all(value, F.lit(parts), F.lit(0)), none, step)["out"]
+    return F.when(entries.isNotNull(), whole).otherwise(scanned)
 
 
 def mask_near(text: Column, word: str, replacement: str) -> Column:

@@ -16,25 +16,29 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 
 EDIT = StructType([StructField("text", StringType()), StructField("n", IntegerType())])
 
-_ONE = re.compile(r"\bOBJ\s+(\d+)(?:\s*\([^)]*\))?")
-_MANY = re.compile(r"\bOBJs\s+(\d+(?:\s*,\s*(?:and\s+)?\d+)*)")
-_BOX = re.compile(r"bbox\[(-?\d+),\s*(-?\d+),\s*(-?\d+),\s*(-?\d+)\]")
+#: References with a bracket, lists of references, and the single ones that are left, in the order of their edits (fixed values).
+_BRACKET, _MANY, _ONE = (re.compile(p) for p in (r"OBJ\s*(\d+)\s*\([^)]*\)", r"OBJs\s+((?:\d+\s*(?:,\s*)?)+)", r"OBJ\s+(\d+)"))
+_BOX = re.compile(r"bbox\[(\d+),(\d+),(\d+),(\d+)\]")
 
 
 def expand_text(text: str | None, names: dict[str, str]) -> str | None:
-    """References to objects become their descriptions; the bracket after a single one goes; unknown single ones stay.
+    """References to objects become their descriptions, a bracket behind a single one goes; unknown single ones stay.
 
-    Of a list of references the unknown ones vanish if one is known, and a blank follows the list.
+    Of a list of references the unknown ones vanish if one is known. Without names a text stays as it is; else runs of blanks
+    become one.
     """
-    if text is None:
-        return None
+    if text is None or not names:
+        return text
+
+    def one(m: re.Match) -> str:
+        return names.get(str(int(m[1])), m[0])
 
     def many(m: re.Match) -> str:
-        known = [names[i] for i in re.findall(r"\d+", m[1]) if i in names]
+        known = [names[i] for i in (str(int(d)) for d in re.findall(r"\d+", m[1])) if i in names]
         return ", ".join(known) + " " if known else m[0]
 
-    text = _MANY.sub(many, text)
-    return _ONE.sub(lambda m: names.get(m[1], m[0]), text)
+    text = _ONE.sub(one, _MANY.sub(many, _BRACKET.sub(one, text)))
+    return re.sub(r"\s{2,}", " ", text).strip()
 
 
 @pandas_udf(StringType())
@@ -46,7 +50,7 @@ def expand_references(text: pd.Series, names: pd.Series) -> pd.Series:
 def rescale_text(text: str | None, factor: float) -> tuple[str | None, int]:
     if text is None:
         return None, 0
-    return _BOX.subn(lambda m: "bbox[" + ", ".join(str(round(int(v) * factor)) for v in m.groups()) + "]", text)
+    return _BOX.subn(lambda m: "bbox[" + ",".join(str(round(int(v) * factor)) for v in m.groups()) + "]", text)
 
 
 @pandas_udf(EDIT)
@@ -56,34 +60,72 @@ def rescale_boxes(text: pd.Series, factor: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "n"])
 
 
-#: Statements of motion and what a standing object's text says instead (fixed values; the order matters).
-MOTION = [("is currently in motion", "is stationary"), ("also in motion", "also stationary"), ("in motion", "stationary"), ("is moving", "is stationary"), ("moving", "stationary")]
-
-
-def correct_text(text: str | None, speeds: dict[str, float], reach: int = 150, still: float = 0.1) -> tuple[str | None, int]:
-    """Boxes are taken from the last to the first, as edits shift what stands behind them. Around a box whose object
-    stands still the first statement that applies is replaced, once.
+#: An object with its view and box (fixed value).
+_SEEN = re.compile(r"(\w[\w_]*)\s*\(Image\s+(\d+)\s*\([^)]*\)\s*bbox\[(\d+),(\d+),(\d+),(\d+)\]\)")
+#: Metres a second below which an object stands still (fixed value).
+STILL = 0.1
+#: What texts say of moving objects and should say if they stand still, in the order of the edits (fixed values).
+TO_STILL = {
+    "actively riding": "stationary",
+    "actively moving": "stationary",
+    "actively driving": "stationary",
+    "in motion": "stationary",
+    "is moving": "is stationary",
+    "are moving": "are stationary",
+    "is riding": "is stopped",
+    "is driving": "is stopped",
+    "is traveling": "is stopped",
+    "is approaching": "is stationary near",
+    "appears to be moving": "appears to be stationary",
+    "appears to be driving": "appears to be parked",
+    "also in motion": "also stationary",
+    "and in motion": "and stationary",
+}
+#: The opposite, for objects that move (fixed values).
+TO_MOTION = {
+    "pulled over": "in motion on the road",
+    "is parked": "is moving",
+    "are parked": "are moving",
+    "is stopped": "is moving",
+    "is stationary": "is moving",
+    "are stationary": "are moving",
+    "is stalled": "is moving",
+    "is idle": "is moving",
+    "is waiting": "is moving",
+    "at rest": "in motion",
+    "standing still": "moving",
+    "not moving": "in motion",
+    "appears parked": "appears to be moving",
+    "appears stopped": "appears to be moving",
+}
+_EDITS = {still: [(re.compile(re.escape(old), re.I), new) for old, new in table.items()] for still, table in ((True, TO_STILL), (False, TO_MOTION))}
+
+
+def correct_text(text: str | None, speeds: dict[str, float], reach: int = 150) -> tuple[str | None, int]:
+    """Around each object of known speed what belies it is replaced; the number of phrases replaced.
+
+    Objects are taken from the last to the first, as edits shift what stands behind them; their places are those of the
+    text as it came. speeds: by `view,x1,y1,x2,y2`.
     """
     if text is None:
         return None, 0
     changed = 0
-    for m in reversed(list(_BOX.finditer(text))):
-        speed = speeds.get(",".join(m.groups()))
-        if speed is None or speed >= still:
+    for m in reversed(list(_SEEN.finditer(text))):
+        speed = speeds.get(",".join(str(int(v)) for v in m.groups()[1:]))
+        if speed is None:
             continue
         lo, hi = max(0, m.start() - reach), min(len(text), m.end() + reach)
         part = text[lo:hi]
-        for old, new in MOTION:
-            if old in part:
-                text = text[:lo] + part.replace(old, new, 1) + text[hi:]
-                changed += 1
-                break
+        for old, new in _EDITS[speed < STILL]:
+            part, n = old.subn(new, part)
+            changed += n > 0
+        text = text[:lo] + part + text[hi:]
     return text, changed
 
 
 @pandas_udf(EDIT)
 def correct_motion(text: pd.Series, speeds: pd.Series) -> pd.DataFrame:
-    """speeds: JSON of `x1,y1,x2,y2` to metres a second."""
+    """speeds: JSON of `view,x1,y1,x2,y2` to metres a second."""
     rows = [correct_text(t, json.loads(s) if s else {}) for t, s in zip(text, speeds, strict=True)]
     return pd.DataFrame(rows, columns=["text", "n"])
 

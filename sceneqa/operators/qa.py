@@ -5,15 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sceneqa.functions.text import contract_reason
-
-#: Bounds of the number of reasoning steps (fixed values), and those for other categories.
-BANDS = {"OBS": (2, 4), "DRA": (3, 8), "ESC": (3, 8), "CHR": (3, 8)}
-ANY_BAND = (2, 8)
-RETRY = ["band_violation", "missing_think", "contract"]
-#: Signs in a reasoning trace that the question was seen through (patterns, fixed values).
-TRAPS = [r"(?i)\btrick question\b", r"(?i)\bdoes not exist\b", r"(?i)\bno such\b", r"(?i)\bpremise\b", r"(?i)\bcontradict"]
-SIGNAL_TYPES = ["vehicle", "pedestrian", "bicycle", "not_a_signal"]
+from sceneqa.functions.text import contract_reason, strip
+
+#: Bounds of the number of reasoning steps by category, for other categories, and of an absent premise (fixed values).
+BANDS = {
+    "Observation": (2, 4),
+    "Identification": (2, 4),
+    "Environmental_and_Sensor_Conditions": (2, 4),
+    "Traffic_Signs_and_Signals": (3, 5),
+    "Road_Markings_and_Lane_Configuration": (3, 5),
+    "Attributes_and_States": (3, 5),
+    "Spatial_Relationships_and_Occlusion": (4, 6),
+    "Dynamic_Agents_and_Risk_Assessment": (4, 6),
+    "Right_of_Way_and_Planning": (5, 8),
+    "Causal_and_Hypothetical_Reasoning": (5, 8),
+}
+ANY_BAND, ABSENT_STEPS = (2, 8), 2
+#: Flags that ask for another try, and those that are only kept (fixed values).
+RETRY = ["malformed_think", "band_violation", "absent_band_violation", "missing_contrast_status"]
+AUDIT = ["status_mismatch", "contract_violation", "answer_null_downgraded"]
+#: Signs in a reasoning trace that a contrast was seen not to change the answer (patterns, fixed values).
+TRAPS = [
+    r"same answer",
+    r"same as the positive",
+    r"answer (?:would|will|does)(?: not|n't) (?:change|differ|flip)",
+    r"(?:can(?:'t|not)|unable to|not possible to|hard to|difficult to)[^.\n]{0,30}(?:create|come up with|make|find|construct|produce)[^.\n]{0,40}contrastive",
+    r"no valid contrastive",
+    r"contrastive[^.\n]{0,40}(?:would|will) (?:also )?(?:be|have) the same",
+    r"both (?:answers?|questions?|would be|are '?(?:yes|no)'?)",
+    r"have to go with",
+    r"forced to (?:say|answer|pick|choose)",
+    r"the positive answer will be '?no'? for all",
+]
+#: The vocabularies of signals (fixed values).
+SIGNAL_TYPES = ["vehicle", "pedestrian", "other", "not_a_signal"]
+SHAPES = ["circle", "arrow_left", "arrow_right", "arrow_straight", "pedestrian", "other", "unknown"]
 COLOURS = ["red", "yellow", "green", "off", "unknown"]
 
 
@@ -29,15 +55,32 @@ def result_contract(blocks: DataFrame, key: str) -> DataFrame:
 
 
 def think_flags(think: Column, category: Column, absent_swap: Column) -> Column:
-    """Sorted flags of a reasoning array: missing or blank steps, or a number of steps outside the category's band."""
-    least = F.lit(ANY_BAND[0])
-    most = F.lit(ANY_BAND[1])
+    """Sorted flags of a reasoning array: missing, null or blank steps; a number of steps outside the category's band, of which
+    two are always allowed; more than two where the premise is known to be absent.
+    """
+    least, most = F.lit(ANY_BAND[0]), F.lit(ANY_BAND[1])
     for name, (lo, hi) in BANDS.items():
         least, most = F.when(category == name, lo).otherwise(least), F.when(category == name, hi).otherwise(most)
-    missing = think.isNull() | (F.size(think) == 0) | F.exists(think, lambda t: F.trim(t) == "")
+    malformed = think.isNull() | (F.size(think) == 0) | F.exists(think, lambda t: t.isNull() | (strip(t) == ""))
     size = F.size(think)
-    band = F.when(absent_swap, size > 2).otherwise((size != 2) & ((size < least) | (size > most)))
-    return F.array_sort(F.array_compact(F.array(F.when(missing, "missing_think"), F.when(~missing & band, "band_violation"))))
+    band = (size != ABSENT_STEPS) & ((size < least) | (size > most))
+    absent = F.coalesce(absent_swap, F.lit(False)) & (size > ABSENT_STEPS)
+    named = [("absent_band_violation", ~malformed & absent), ("band_violation", ~malformed & band), ("malformed_think", malformed)]
+    return F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in named]))
+
+
+def contrast_status(status: Column, answered: Column, positive: Column, contrast: Column) -> Column:
+    """struct(status, flags) of a pair whose contrastive side is there; status: what it says of itself; answered: whether it has
+    an answer; positive, contrast: comparable answers, null where they can't be compared.
+
+    Without an answer the side counts as skipped. A side with an answer has to say `achieved` or `same_answer`, which is held
+    against the answers.
+    """
+    known = F.when(answered & status.isin("achieved", "same_answer"), status)
+    equal = positive == contrast
+    wrong = F.coalesce((known == "achieved") & equal | (known == "same_answer") & ~equal, F.lit(False))
+    flags = [F.when(~answered, F.lit("answer_null_downgraded")), F.when(answered & known.isNull(), F.lit("missing_contrast_status")), F.when(wrong, F.lit("status_mismatch"))]
+    return F.struct(F.when(answered, known).otherwise("skipped").alias("status"), F.array_compact(F.array(*flags)).alias("flags"))
 
 
 def needs_retry(flags: Column) -> Column:
@@ -45,10 +88,10 @@ def needs_retry(flags: Column) -> Column:
 
 
 def trap_markers(response: Column) -> Column:
-    """The numbers of the trap patterns that hit the text before the last closing think tag."""
+    """The trap patterns that hit the text before the last closing think tag, in their order."""
     parts = F.split(response, "</think>")
     before = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "</think>")
-    return F.array_compact(F.array(*[F.when(before.rlike(p), i) for i, p in enumerate(TRAPS)]))
+    return F.array_compact(F.array(*[F.when(before.rlike(f"(?i){p}"), F.lit(p)) for p in TRAPS]))
 
 
 def has_skip(result: Column) -> Column:
@@ -57,8 +100,16 @@ def has_skip(result: Column) -> Column:
     return F.coalesce(F.is_variant_null(value), F.lit(False)) | F.try_variant_get(result, "$.contrastive_skip_reason", "string").isNotNull()
 
 
+def trap_pair(positive: Column, contrast: Column, has_contrast: Column) -> Column:
+    """The class of a pair of a flagged template, by its normalised answers."""
+    same = positive.eqNullSafe(contrast)
+    return F.when(~has_contrast, "skipped").when(same, "honest_same").otherwise("contrast_achieved")
+
+
 def trap_class(honest: Column, contrast: Column) -> Column:
-    return F.when((honest > 0) & (contrast > 0), "mixed").when(honest > 0, "honest").when(contrast > 0, "contrast").otherwise("none")
+    """The class of a template by the number of its pairs of either class."""
+    both = F.when((honest > 0) & (contrast > 0), "mixed")
+    return both.when(honest > 0, "honest_same").when(contrast > 0, "contrast_achieved").otherwise("no_comparable_pairs")
 
 
 def answer_key(answer: Column) -> Column:
@@ -77,15 +128,17 @@ def disagreements(rows: DataFrame) -> DataFrame:
     return sets.agg(F.count("*").alias("n"), F.count_distinct("sample_idx").alias("samples"))
 
 
-def signal_label(kind: Column, observable: Column, colour: Column, confidence: Column) -> Column:
-    """A classified signal in the vocabulary: unknown words to defaults, no colour where the light isn't visible, confidence in
-    0..1; null without a kind or visibility.
+def signal_label(kind: Column, observable: Column, colour: Column, shape: Column, confidence: Column) -> Column:
+    """A classified signal in the vocabulary: unknown kinds are `other`, unknown colours and shapes `unknown`, as they are where
+    the light isn't visible; confidence in 0..1; null without a kind or visibility.
     """
-    k, c = F.lower(F.trim(kind)), F.lower(F.trim(colour))
-    known = F.when(k.isin(SIGNAL_TYPES), k).otherwise("vehicle")
+    k, c, s = (F.lower(strip(x)) for x in (kind, colour, shape))
+    known = F.when(k.isin(SIGNAL_TYPES), k).when(k != "", "other")
     shown = F.when(observable & c.isin(COLOURS), c).otherwise("unknown")
+    lit = F.when(observable & s.isin(SHAPES), s).otherwise("unknown")
     conf = F.least(F.greatest(F.coalesce(confidence, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    return F.when(kind.isNotNull() & observable.isNotNull(), F.struct(known.alias("kind"), observable.alias("observable"), shown.alias("colour"), conf.alias("confidence")))
+    label = F.struct(known.alias("kind"), observable.alias("observable"), shown.alias("colour"), lit.alias("shape"), conf.alias("confidence"))
+    return F.when(known.isNotNull() & observable.isNotNull(), label)
 
 
 def drop_reason(score: Column, floor: float, kind: Column, rear: Column) -> Column:

@@ -10,7 +10,15 @@ from sceneqa.functions import geometry as G
 FRAMES = """sample_idx bigint, scene_token string, timestamp bigint, translation array<double>, rotation array<double>,
  navigation int, planning int, objects array<struct<name string, box array<double>, velocity array<double>>>"""
 #: Driving commands by number (fixed values).
-COMMANDS = {0: "turn right", 1: "turn left", 2: "go straight", 3: "u-turn", 4: "change lane left", 5: "change lane right", 6: "stop"}
+COMMANDS = {
+    0: "turn left",
+    1: "turn right",
+    2: "go straight",
+    3: "follow lane",
+    4: "change lane to left",
+    5: "change lane to right",
+    6: "U-Turn",
+}
 VEHICLES = ["car", "truck", "bus", "trailer", "motorcycle", "bicycle", "construction_vehicle"]
 #: Half length, half width, and the centre's lead over the reference point of the own vehicle, in metres.
 EGO = (2.35, 0.95, 1.65)

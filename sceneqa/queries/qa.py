@@ -11,17 +11,45 @@ from sceneqa.sources.tables import table
 
 
 @query(r"""
-with c as (select conv_id, case conv_id % 3 when 0 then 'OBS' when 1 then 'DRA' else 'XYZ' end cat, list(case when turn % 5 = 4 then ' ' else role end order by turn) t, count(*) n from conversations group by 1),
-f as (select conv_id, cat, len(list_filter(t, lambda x: trim(x, ' ') = '')) > 0 miss, n, case cat when 'OBS' then 2 when 'DRA' then 3 else 2 end lo, case cat when 'OBS' then 4 else 8 end hi from c)
-select conv_id, case when miss then 'missing_think' when n <> 2 and (n < lo or n > hi) then 'band_violation' else '' end flags, miss or (n <> 2 and (n < lo or n > hi)) retry from f""")
+with c as (select conv_id, case conv_id % 4 when 0 then 'Observation' when 1 then 'Dynamic_Agents_and_Risk_Assessment' when 2 then 'Right_of_Way_and_Planning' else 'XYZ' end cat, conv_id % 5 = 0 gone,
+ list(case when turn % 7 = 4 then ' ' else role end order by turn) t, count(*) n from conversations group by 1),
+f as (select conv_id, len(list_filter(t, lambda x: trim(x, ' ') = '')) > 0 bad, n, gone, case cat when 'Observation' then 2 when 'XYZ' then 2 when 'Right_of_Way_and_Planning' then 5 else 4 end lo,
+ case cat when 'Observation' then 4 when 'Dynamic_Agents_and_Risk_Assessment' then 6 else 8 end hi from c),
+g as (select conv_id, case when bad then ['malformed_think'] else list_filter([case when gone and n > 2 then 'absent_band_violation' end, case when n <> 2 and (n < lo or n > hi) then 'band_violation' end], lambda x: x is not null) end l from f)
+select conv_id, array_to_string(l, ',') flags, len(l) > 0 retry from g""")
 def think_flags(spark, sf):
-    step = F.when(F.col("turn") % 5 == 4, " ").otherwise(F.col("role"))
+    step = F.when(F.col("turn") % 7 == 4, " ").otherwise(F.col("role"))
     c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", step.alias("s")))), lambda x: x["s"]).alias("t"))
-    cat = F.when(F.col("conv_id") % 3 == 0, "OBS").when(F.col("conv_id") % 3 == 1, "DRA").otherwise("XYZ")
-    flags = Q.think_flags(F.col("t"), cat, F.lit(False))
+    k = F.col("conv_id") % 4
+    cat = F.when(k == 0, "Observation").when(k == 1, "Dynamic_Agents_and_Risk_Assessment").when(k == 2, "Right_of_Way_and_Planning").otherwise("XYZ")
+    flags = Q.think_flags(F.col("t"), cat, F.col("conv_id") % 5 == 0)
     return c.select("conv_id", F.array_join(flags, ",").alias("flags"), Q.needs_retry(flags).alias("retry"))
 
 
+@query(r"""
+with r as (select event_id, case event_id % 4 when 0 then 'achieved' when 1 then 'same_answer' when 2 then 'skipped' end said, event_id % 9 <> 0 answered, user_id % 2 p, user_id % 3 c from events),
+k as (select *, case when answered and said in ('achieved', 'same_answer') then said end known from r)
+select event_id, case when answered then known else 'skipped' end status,
+ array_to_string(list_filter([case when not answered then 'answer_null_downgraded' end, case when answered and known is null then 'missing_contrast_status' end,
+  case when known = 'achieved' and p = c or known = 'same_answer' and p <> c then 'status_mismatch' end], lambda x: x is not null), ',') flags from k""")
+def contrast_status(spark, sf):
+    k, u = F.col("event_id") % 4, F.col("user_id")
+    said = F.when(k == 0, "achieved").when(k == 1, "same_answer").when(k == 2, "skipped")
+    s = Q.contrast_status(said, F.col("event_id") % 9 != 0, u % 2, u % 3)
+    return table(spark, sf, "events").select("event_id", s.alias("s")).select("event_id", "s.status", F.array_join("s.flags", ",").alias("flags"))
+
+
+@query(r"""
+with t as (select event_id, case event_id % 4 when 0 then 'It is the SAME answer. Forced to pick one' when 1 then 'both answers; cannot really find a good contrastive here' when 2 then 'the answer would not change' else 'nothing' end || '</think>no valid contrastive' r from events)
+select event_id, (event_id % 4 in (0))::int * 1 + (event_id % 4 = 2)::int * 4 + (event_id % 4 = 1)::int * 8 + (event_id % 4 = 1)::int * 64 + (event_id % 4 = 0)::int * 256 as hits from t""")
+def trap_markers(spark, sf):
+    k = F.col("event_id") % 4
+    text = F.when(k == 0, "It is the SAME answer. Forced to pick one").when(k == 1, "both answers; cannot really find a good contrastive here").when(k == 2, "the answer would not change").otherwise("nothing")
+    found = Q.trap_markers(F.concat(text, F.lit("</think>no valid contrastive")))
+    bits = F.aggregate(F.transform(found, lambda p: F.pow(F.lit(2.0), F.array_position(F.array(*[F.lit(t) for t in Q.TRAPS]), p) - 1).cast("int")), F.lit(0), lambda a, x: a + x)
+    return table(spark, sf, "events").select("event_id", bits.alias("hits"))
+
+
 @query("""
 with r as (select event_id, user_id, case when event_id % 7 = 0 then null else event_type end src, event_type cat, case when "value" > 50 then 'high' end prior, case when event_id % 2 = 0 then 'yes' else 'no' end said from events),
 g as (select user_id, coalesce(src, 'unknown') source, coalesce(cat, 'unknown') category, coalesce(prior, '?') prior_says, said vlm_says from r)
@@ -33,11 +61,14 @@ def disagreement_rollup(spark, sf):
 
 
 @query("""
-select event_id, case lower(trim(event_type)) when 'view' then 'vehicle' else 'vehicle' end kind, case when event_id % 2 = 0 and event_type = 'click' then 'red' else 'unknown' end colour, least(greatest("value" / 100, 0.0), 1.0) conf from events where event_id % 5 <> 0""")
+with r as (select event_id, case event_id % 7 when 0 then 'Pedestrian ' when 1 then 'tram' when 2 then '' else 'vehicle' end kind, event_id % 2 = 0 seen, event_type, "value" from events where event_id % 5 <> 0)
+select event_id, case when lower(trim(kind)) in ('vehicle', 'pedestrian', 'other', 'not_a_signal') then lower(trim(kind)) else 'other' end kind, case when seen and event_type = 'click' then 'red' else 'unknown' end colour,
+ case when seen and event_type = 'view' then 'arrow_left' else 'unknown' end shape, least(greatest("value" / 100, 0.0), 1.0) conf from r where kind <> ''""")
 def signal_vocabulary(spark, sf):
-    colour = F.when(F.col("event_type") == "click", " RED ").otherwise("mauve")
-    label = Q.signal_label(F.when(F.col("event_id") % 5 != 0, F.col("event_type")), F.col("event_id") % 2 == 0, colour, F.col("value") / 100)
-    return table(spark, sf, "events").select("event_id", label.alias("s")).where("s is not null").select("event_id", "s.kind", "s.colour", F.col("s.confidence").alias("conf"))
+    k, e = F.col("event_id") % 7, F.col("event_type")
+    kind = F.when(k == 0, "Pedestrian ").when(k == 1, "tram").when(k == 2, "").otherwise("vehicle")
+    label = Q.signal_label(F.when(F.col("event_id") % 5 != 0, kind), F.col("event_id") % 2 == 0, F.when(e == "click", " RED ").otherwise("mauve"), F.when(e == "view", "Arrow_Left").otherwise("star"), F.col("value") / 100)
+    return table(spark, sf, "events").select("event_id", label.alias("s")).where("s is not null").select("event_id", "s.kind", "s.colour", "s.shape", F.col("s.confidence").alias("conf"))
 
 
 @query("""
@@ -60,7 +91,7 @@ def crop_manifest(spark, sf):
 
 
 @query("""
-select o_orderkey, case when honest > 0 and contrast > 0 then 'mixed' when honest > 0 then 'honest' when contrast > 0 then 'contrast' else 'none' end kind from
+select o_orderkey, case when honest > 0 and contrast > 0 then 'mixed' when honest > 0 then 'honest_same' when contrast > 0 then 'contrast_achieved' else 'no_comparable_pairs' end kind from
  (select l_orderkey o_orderkey, count(*) filter (l_returnflag = 'A') honest, count(*) filter (l_returnflag = 'R') contrast from lineitem group by 1)""")
 def trap_class(spark, sf):
     g = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_if(F.col("l_returnflag") == "A").alias("h"), F.count_if(F.col("l_returnflag") == "R").alias("c"))
@@ -68,16 +99,32 @@ def trap_class(spark, sf):
 
 
 @query("""
-select l_orderkey, l_linenumber, 'a [' || l_returnflag || '] and OBJ 99 at bbox[' || (l_linenumber * 2) || ', 4, ' || (l_quantity::int * 2) || ', 8]' as edited from lineitem""")
+select l_orderkey, l_linenumber, 'a [' || l_returnflag || '] and OBJ 99 at bbox[' || (l_linenumber * 2) || ',4,' || (l_quantity::int * 2) || ',8] of [' || l_returnflag || '] too' as edited from lineitem""")
 def reference_edits(spark, sf):
     """References expand by a map of each row, then boxes in the text double: two callback edits in a row."""
     li = table(spark, sf, "lineitem")
-    text = F.format_string("a OBJ %d (thing) and OBJ 99 at bbox[%d,2,%d,4]", "l_linenumber", "l_linenumber", F.col("l_quantity").cast("int"))
+    text = F.format_string("a OBJ %d (thing) and OBJ 99 at bbox[%d,2,%d,4] of OBJs %d, 98 too", "l_linenumber", "l_linenumber", F.col("l_quantity").cast("int"), "l_linenumber")
     names = F.to_json(F.create_map(F.col("l_linenumber").cast("string"), F.concat(F.lit("["), F.col("l_returnflag"), F.lit("]"))))
     expanded = U.expand_references(text, names)
     return li.select("l_orderkey", "l_linenumber", U.rescale_boxes(expanded, F.lit(2.0)).alias("r")).select("l_orderkey", "l_linenumber", F.col("r.text").alias("edited"))
 
 
+@query("""
+with r as (select l_orderkey, l_linenumber, l_suppkey % 6 + 1 v, l_linenumber * 10 x, l_suppkey % 3 k from lineitem),
+t as (select *, 'The car (Image ' || v || ' (Front) bbox[' || x || ',2,' || (x + 9) || ',4]) ' as h from r)
+select l_orderkey, l_linenumber, case k when 0 then h || 'is stopped near and stationary' when 1 then h || 'is moving and also in motion' else h || 'is driving, also in motion' end as edited,
+ case k when 0 then 2 when 1 then 1 else 0 end::int as n from t""")
+def motion_edits(spark, sf):
+    """An object that stands still, one that moves, and one of unknown speed."""
+    li = table(spark, sf, "lineitem")
+    k, x, v = F.col("l_suppkey") % 3, F.col("l_linenumber") * 10, F.col("l_suppkey") % 6 + 1
+    head = F.format_string("The car (Image %d (Front) bbox[%d,2,%d,4]) ", v, x, x + 9)
+    text = F.concat(head, F.when(k == 1, "is Parked and also in motion").when(k == 0, "is driving near and in motion").otherwise("is driving, also in motion"))
+    speeds = F.to_json(F.create_map(F.format_string("%d,%d,2,%d,4", v, x, x + 9), F.when(k == 0, 0.05).otherwise(3.0)))
+    edited = U.correct_motion(text, F.when(k != 2, speeds))
+    return li.select("l_orderkey", "l_linenumber", edited.alias("e")).select("l_orderkey", "l_linenumber", F.col("e.text").alias("edited"), "e.n")
+
+
 @query()
 def ttc_accelerated(spark, sf):
     d = lambda c: c.cast("double")

@@ -9,14 +9,25 @@ from sceneqa.queries.registry import query
 from sceneqa.sources.tables import table
 
 
-@query(r"""
-with r as (select doc_id, text t0, regexp_replace(text, '\b[0-9]{3,}\b', '', 'g') t1 from documents),
-s as (select doc_id, t0, t1, regexp_replace(regexp_replace(regexp_replace(t1, '\(\)', '', 'g'), ',,', ',', 'g'), '\s{2,}', ' ', 'g') t2 from r)
-select doc_id, len(regexp_extract_all(t0, '\b[0-9]{3,}\b'))::int hits, md5(trim(t2, ' ')) cleaned, t0 <> trim(t2, ' ') changed from s""")
+_R1 = [r"\bOBJ\s+\d+\s*\([^)]*\)", r"\(\s*OBJ\s+\d+(?:\s*,\s*(?:OBJ\s+)?\d+)*\s*\)", r"\bOBJs?\s+\d+(?:\s*,\s*(?:OBJ\s+)?\d+)*"]
+_META = r"[^.!?\n]*\b(?:spatial data|OBJ IDs|OBJ ids|OBJ ID|OBJ id|object lists|object list|does not list|pre-computed|precomputed|prior knowledge|3D detection|3D object detection|provided object data|object detection data)\b[^.!?\n]*[.!?]?\s*"
+_HEAD = "'See OBJ ' || (doc_id % 50) || ' (car, 3.5m ahead) and (obj 1, OBJ 2), OBJs 3, 4 here . The object list does not list it. No Object Lists? A spatial database and spatial dataset, '"
+
+
+@query(rf"""
+with a as (select doc_id, {_HEAD} || text t from documents where text is not null),
+b as (select *, regexp_replace(t, '(?i){_R1[0]}', '', 'g') t1 from a), c as (select *, regexp_replace(t1, '(?i){_R1[1]}', '', 'g') t2 from b), d as (select *, regexp_replace(t2, '(?i){_R1[2]}', '', 'g') t3 from c),
+e as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t3, '\(\s*\)', '', 'g'), ',\s*,', ',', 'g'), '\s{{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g') t4 from d),
+f as (select *, len(regexp_extract_all(t4, '(?i){_META}')) r2, regexp_replace(regexp_replace(regexp_replace(t4, '(?i){_META}', '', 'g'), '\s{{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g') t5 from e),
+g as (select *, case when r2 > 0 then t5 else t4 end t6 from f)
+select doc_id, (len(regexp_extract_all(t, '(?i){_R1[0]}')) + len(regexp_extract_all(t1, '(?i){_R1[1]}')) + len(regexp_extract_all(t2, '(?i){_R1[2]}')))::int r1, r2::int r2,
+ (len(regexp_extract_all(t6, '(?i)spatial database')) + len(regexp_extract_all(t6, '(?i)spatial dataset')))::int r3,
+ md5(regexp_replace(regexp_replace(t6, '(?i)spatial database', 'scene', 'g'), '(?i)spatial dataset', 'scene', 'g')) h from g""")
 def cleanse_rounds(spark, sf):
-    number = r"\b[0-9]{3,}\b"
-    out = T.tidy(F.regexp_replace("text", number, ""))
-    return table(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit(number)).alias("hits"), F.md5(out.cast("binary")).alias("cleaned"), (F.col("text") != out).alias("changed"))
+    """All three rounds over whole texts behind a sentence that each of them edits."""
+    head = F.concat(F.lit("See OBJ "), (F.col("doc_id") % 50).cast("string"), F.lit(" (car, 3.5m ahead) and (obj 1, OBJ 2), OBJs 3, 4 here . The object list does not list it. No Object Lists? A spatial database and spatial dataset, "))
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.concat(head, F.col("text")).alias("t"))
+    return T.cleansed(d, "t").select("doc_id", "r1", "r2", "r3", F.md5(F.col("t").cast("binary")).alias("h"))
 
 
 @query(r"""
@@ -53,8 +64,8 @@ def json_props(spark, sf):
 @query(r"""
 with t as (select conv_id, turn, list_filter(regexp_split_to_array(regexp_replace(text, '[.()\[\],:;!*#{}]', ' ', 'g'), '\s+'), lambda x: x <> '') k, text from conversations),
 f as (select conv_id, turn, text, k, list_distinct(list_filter(k, lambda x: x in ('A', 'B', 'C', 'D'))) l from t)
-select conv_id, turn, case when contains(lower(text), 'cannot determine') or contains(lower(text), 'can''t help') or contains(lower(text), 'unable to answer')
- or contains(lower(text), 'i don''t know') or contains(lower(text), 'sorry') then 'Z' when len(l) = 1 and not (list_contains(k, 'A') and len(k) > 3) then l[1] end opt from f""")
+select conv_id, turn, case when contains(text, 'Failed to obtain answer via API') then null when contains(text, 'Sorry, I can''t help with images of people yet.') or contains(text, 'I can''t process this file.')
+ or contains(text, 'I''m sorry, but without the image provided') or contains(text, 'Cannot determine the answer') then 'Z' when len(l) = 1 and not (list_contains(k, 'A') and len(k) > 3) then l[1] when len(l) = 0 and list_contains(k, 'Z') then 'Z' end opt from f""")
 def option_infer(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", T.infer_option(F.col("text"), ["A", "B", "C", "D"]).alias("opt"))
 
@@ -82,12 +93,17 @@ def contract_validate(spark, sf):
 
 
 @query("""
-select l_orderkey, l_linenumber, l_returnflag as label, (l_suppkey % 6 + 1)::int as image, (l_quantity::int) || ',' || (l_linenumber * 3) || ',' || (l_quantity::int + 40) || ',' || (l_linenumber * 3 + 25) as box from lineitem""")
+with r as (select l_orderkey, l_linenumber, l_returnflag f, (l_suppkey % 7 + 1)::int v, l_quantity::int q, l_linenumber * 3 n from lineitem)
+select l_orderkey, l_linenumber, v as image, case when l_linenumber % 2 = 0 then f else '' end as label, case when q < 45 then q || ',' || n || ',' || 45 || ',' || (n + 25) end as box, q < 45 as ok from r where v <= 6""")
 def ref_render_parse(spark, sf):
-    q, n = F.col("l_quantity").cast("int"), F.col("l_linenumber")
-    ref = T.render_ref(F.col("l_returnflag"), (F.col("l_suppkey") % 6 + 1).cast("int"), [q, n * 3, q + 40, n * 3 + 25])
-    parsed = F.get(T.parse_refs(F.concat(F.lit("seen: "), ref, F.lit(" near."))), 0)
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", parsed.alias("r")).select("l_orderkey", "l_linenumber", "r.label", "r.image", F.array_join(F.transform("r.box", lambda x: x.cast("string")), ",").alias("box"))
+    """Rendered groundings read back: from JSON replies, and from broken ones by their tokens (here without a label)."""
+    q, n, v = F.col("l_quantity").cast("int"), F.col("l_linenumber"), (F.col("l_suppkey") % 7 + 1).cast("int")
+    ref = T.render_ref(F.col("l_returnflag"), [q, n * 3, F.lit(45), n * 3 + 25])
+    whole = F.to_json(F.struct(F.lit("x").alias("reasoning"), F.array(F.struct(v.alias("image_idx"), F.lit("Front").alias("camera"), ref.alias("ref"))).alias("grounding")))
+    broken = F.concat(F.lit('{"image_idx": '), v.cast("string"), F.lit(", oops "), F.regexp_replace(ref, T.LABEL, ""))
+    parsed = F.get(T.parse_refs(F.when(n % 2 == 0, whole).otherwise(broken)), 0)
+    out = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", parsed.alias("r")).where("r is not null")
+    return out.select("l_orderkey", "l_linenumber", "r.image", "r.label", F.when(F.col("r.box").isNotNull(), F.array_join(F.transform("r.box", lambda x: x.cast("string")), ",")).alias("box"), "r.ok")
 
 
 @query(r"""

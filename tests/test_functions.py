@@ -74,7 +74,7 @@ def test_first_occurrence_alone_is_replaced(spark):
     assert (r.a, r.b) == ("a 1 b {x}", "none")
 
 
-@pytest.mark.parametrize("answer, want", [("A", "A"), ("The answer is B.", "B"), ("A car is on the left", None), ("A or B", None), ("I am sorry", "Z"), ("(C)", "C")])
+@pytest.mark.parametrize("answer, want", [("A", "A"), ("The answer is B.", "B"), ("A car is on the left", None), ("A or B", None), ("I am sorry", None), ("Cannot determine the answer", "Z"), ("Failed to obtain answer via API. B", None), ("Z!", "Z"), ("(C)", "C")])
 def test_option_inference(spark, answer, want):
     assert one(spark, T.infer_option(F.lit(answer), ["A", "B", "C", "D"]).alias("o")).o == want
 
@@ -97,14 +97,22 @@ def test_json_ladder(spark):
 
 
 def test_references_survive_a_round_trip(spark):
-    ref = T.render_ref(F.lit("car"), F.lit(2), [F.lit(i) for i in (1, 2, 30, 40)])
-    r = one(spark, T.parse_refs(F.concat(ref, F.lit(" and "), ref)).alias("r")).r
-    assert [(x.label, x.image, x.box) for x in r] == [("car", 2, [1, 2, 30, 40])] * 2
-
-
-def test_cleansing_tidies_without_a_hit(spark):
-    r = one(spark, T.cleanse_references(F.lit("a  b ()")).alias("a"), T.count_references(F.lit("a  b ()")).alias("n"), T.cleanse_references(F.lit("see OBJ 3 (OBJ 4), go")).alias("b"))
-    assert (r.a, r.n, r.b) == ("a b", 0, "see , go") or r.n == 0 and "OBJ" not in r.b
+    ref = T.render_ref(F.lit("car"), [F.lit(i) for i in (1, 2, 30, 40)])
+    flat = T.render_ref(F.lit("bus"), [F.lit(i) for i in (9, 2, 9, 40)])
+    text = F.concat(ref, F.lit(' "image_idx": 2 '), ref, F.lit(" "), F.regexp_replace(ref, T.LABEL, ""), F.lit(' "image_idx": 3'), flat)
+    whole = F.to_json(F.struct(F.array(*[F.struct(F.lit(v).alias("image_idx"), F.lit("x").alias("camera"), r.alias("ref")) for v, r in ((2, ref), (7, ref), (1, flat))]).alias("grounding")))
+    r = one(spark, ref.alias("ref"), T.parse_refs(text).alias("a"), T.parse_refs(whole).alias("b"), T.parse_refs(F.lit("none")).alias("c"))
+    assert r.ref == "<|object_ref_start|>car<|object_ref_end|><|box_start|>(1,2),(30,40)<|box_end|>"
+    assert [tuple(x) for x in r.a] == [(2, "car", [1, 2, 30, 40], True), (2, "", [1, 2, 30, 40], True), (3, "bus", None, False)]
+    assert [tuple(x) for x in r.b] == [(2, "car", [1, 2, 30, 40], True), (1, "bus", None, False)] and r.c == []
+
+
+def test_cleansing(spark):
+    r = one(spark, T.cleanse_references(F.lit("a  b ( )")).alias("a"), T.count_references(F.lit("a  b ()")).alias("n"), T.cleanse_references(F.lit("see obj 36 (pedestrian, 19.6m), , (OBJ 4, 5) OBJs 1, OBJ 2 go")).alias("b"))
+    assert (r.a, r.n, r.b) == ("a b", 0, "see , go")
+    df = spark.createDataFrame([("No object with an OBJ ID stays",), ("One. It is in the Spatial Data. Two!",), ("spatial datasets",), (None,)], "t string")
+    got = [tuple(x) for x in T.cleansed(df, "t").collect()]
+    assert got == [("", 0, 1, 0), ("One.Two!", 0, 1, 0), ("scenes", 0, 0, 1), (None, None, None, None)]
 
 
 def test_greedy_order_and_zero_overlap(spark):

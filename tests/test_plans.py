@@ -14,17 +14,19 @@ def test_references_expand_by_map():
     names = {"3": "car A", "8": "bus B"}
     assert U.expand_text("see OBJ 3 (car) now", names) == "see car A now"
     assert U.expand_text("OBJ 99 stays", names) == "OBJ 99 stays"
-    assert U.expand_text("OBJs 3, 8, 99 here", names) == "car A, bus B  here"
+    assert U.expand_text("OBJs 3, 8, 99 here", names) == "car A, bus B here"
     assert U.expand_text("OBJs 98, 99", names) == "OBJs 98, 99"
-    assert U.expand_text(None, names) is None
+    assert U.expand_text("two  blanks", {}) == "two  blanks" and U.expand_text(None, names) is None
 
 
 def test_boxes_rescale_and_motion_is_corrected():
-    assert U.rescale_text("a bbox[1,2,3,4] b bbox[5, 6,7,8]", 2) == ("a bbox[2, 4, 6, 8] b bbox[10, 12, 14, 16]", 2)
-    text = "The car bbox[1,2,3,4] is currently in motion"
-    assert U.correct_text(text, {"1,2,3,4": 0.0}) == ("The car bbox[1,2,3,4] is stationary", 1)
-    assert U.correct_text(text, {"1,2,3,4": 3.0}) == (text, 0)
-    assert U.correct_text(text, {}) == (text, 0)
+    assert U.rescale_text("a bbox[1,2,3,4] b bbox[5,6,7,8]", 2) == ("a bbox[2,4,6,8] b bbox[10,12,14,16]", 2)
+    text = "The car (Image 2 (Front) bbox[1,2,3,4]) is Moving and in motion, not at rest"
+    seen = "The car (Image 2 (Front) bbox[1,2,3,4])"
+    assert U.correct_text(text, {"2,1,2,3,4": 0.0}) == (f"{seen} is stationary and stationary, not at rest", 2)
+    assert U.correct_text(text, {"2,1,2,3,4": 3.0}) == (f"{seen} is Moving and in motion, not in motion", 1)
+    assert U.correct_text(text, {"1,1,2,3,4": 3.0}) == (text, 0)
+    assert U.correct_text(text + " " * 200 + "in motion", {"2,1,2,3,4": 0.0})[0].endswith("in motion")
 
 
 @pytest.mark.parametrize("response, want", [
@@ -52,10 +54,10 @@ def test_first_contact():
 
 def test_traps_and_skips(spark):
     r = spark.range(1).select(
-        qa.trap_markers(F.lit("a trick question</think>no such thing")).alias("a"), qa.trap_markers(F.lit("no such thing")).alias("b"),
+        qa.trap_markers(F.lit("the SAME answer</think>no valid contrastive")).alias("a"), qa.trap_markers(F.lit("same answer")).alias("b"),
         qa.has_skip(F.parse_json(F.lit('{"contrastive": null}'))).alias("c"), qa.has_skip(F.parse_json(F.lit("{}"))).alias("d"), qa.has_skip(F.parse_json(F.lit('{"contrastive_skip_reason": "x"}'))).alias("e"),
     ).first()
-    assert (r.a, r.b, r.c, r.d, r.e) == ([0], [], True, False, True)
+    assert (r.a, r.b, r.c, r.d, r.e) == (["same answer"], [], True, False, True)
 
 
 def test_result_contract(spark):
@@ -70,7 +72,7 @@ def test_scene(spark):
     frames = spark.createDataFrame([(0, "s", 0, [0.0, 0.0, 0.0], unit, None, 2, obj), (1, "s", 1_000_000, [3.0, 4.0, 0.0], unit, 9, 1, []), (2, "t", 2_000_000, [0.0, 0.0, 0.0], unit, 0, 1, [])], scenes.FRAMES)
     ego = {r.sample_idx: r for r in scenes.ego_states(frames).collect()}
     assert (ego[0].speed, ego[0].motion, ego[0].command) == (5.0, "moderate", "go straight")
-    assert (ego[1].speed, ego[1].command, ego[2].command) == (0.0, "Unknown", "turn right")
+    assert (ego[1].speed, ego[1].command, ego[2].command) == (0.0, "Unknown", "turn left")
     o = scenes.objects(frames, rear=20.0)
     assert [(r.number, r.name, r.vx, r.place) for r in o.collect()] == [(1, "car", 0.0, "ahead")]
     assert scenes.objects(frames).count() == 2
