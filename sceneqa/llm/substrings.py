@@ -1,6 +1,7 @@
 """Substring dedup with a log-structured index of window fingerprints.
 
-Documents are taken in the order of doc_id, cut into parts of bounded size. Each part gives one immutable run: the
+Documents are sorted by doc_id over range partitions, and each partition is cut into parts of bounded bytes, wherever
+documents end. Each part gives one immutable run: the
 sorted distinct fingerprints of its windows, dealt to shards by their leading bits. A shard merge-joins the runs of all
 parts (and those of earlier batches) in order and tells each part which of its fingerprints an earlier run holds: one
 bit each. A part then removes the words of windows that an earlier run or an earlier window of its own has.
@@ -9,9 +10,8 @@ A fingerprint has 20 bits more than the number of windows needs, by which runs a
 second hash, which other functions make from the words' bytes, that verify a meeting before it counts. So whatever the number of windows, two different ones of them
 are taken for one with a probability of about 2**-18 at most; an index uses 60 and 24 bits throughout.
 
-A part is a range of doc_id, bounded by quantiles, so it is the same in both passes, whichever executor computes it.
-Index keeps runs of earlier batches for incremental work: ingest() compares a new batch with them, appends its run and
-merges runs when they are many.
+Parts are written once, so both passes see the same ones. Index keeps runs of earlier batches for incremental work: dedup()
+with an index compares a new batch with them, appends the batch's runs and merges runs when they are many.
 
 Null and empty texts have no words. Repeated rows are documents of their own in the order of their texts' hashes, so
 every one after the first loses all of its words that windows cover; a null doc_id comes before all others. Fewer words than
@@ -26,6 +26,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,60 +108,70 @@ class Part:
         return np.cumsum(step[: len(self.starts)]) > 0
 
 
-def parts(docs: DataFrame, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int]:
-    """part (ascending with doc_id) and docs, some of its doc_id and text in compressed form; and the windows there are at most."""
+PARTS = "part bigint, docs binary"
+
+
+def parts(docs: DataFrame, ws: Workspace, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int]:
+    """part (ascending in the order of documents) and docs, its doc_id and text in compressed form; and the windows there are at most.
+
+    Null doc_ids come first; rows that repeat one stand in the order of their texts' hashes.
+    """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
-    many = max(1, -(-(size.bytes or 0) // part_bytes))
-    cuts = sorted(set(docs.stat.approxQuantile("doc_id", [k / many for k in range(1, many)], 0.1 / many))) if many > 1 else []
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first().bytes or 0
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array(cuts)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId() << 24, [], 0
         options = pa.ipc.IpcWriteOptions(compression="zstd")
+
+        def close() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=options) as out:
+                for b in held:
+                    out.write_batch(b)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["part", "docs"])
+
         for batch in batches:
-            ids = batch.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
-            part = np.searchsorted(edges, ids, "right")
-            order = np.argsort(part, kind="stable")
-            numbers, first = np.unique(part[order], return_index=True)
-            rows = []
-            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(ids)], strict=True):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
-                    out.write_batch(batch.take(pa.array(order[a:b])))
-                rows.append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int64)), pa.array(rows, pa.binary())], names=["part", "docs"])
-
-    return docs.mapInArrow(number, "part bigint, docs binary"), (size.bytes or 0) // 6
-
-
-def _ordered(table: pa.Table) -> tuple[pa.Array, pa.Array]:
-    """The doc_ids and texts of a part in order: null first, then by doc_id, rows that repeat one by their texts' hashes."""
-    import xxhash
-
-    batches = [b for raw in table["docs"].to_pylist() for b in pa.ipc.open_stream(raw)]
-    if not batches:
-        return pa.array([], pa.int64()), pa.array([], pa.string())
-    docs = pa.Table.from_batches(batches).combine_chunks()
-    known = docs["doc_id"].fill_null(-(2**63)).to_numpy()
-    hashes = np.zeros(len(known), np.uint64)
-    if len(np.unique(known)) < len(known):
-        hashes = np.array([xxhash.xxh64_intdigest(t.encode()) for t in docs["text"].to_pylist()], np.uint64)
-    docs = docs.take(pa.array(np.lexsort((hashes, known)))).combine_chunks()
+            bounds = byte_view(batch.column(1))[1]
+            i = 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + part_bytes - size, "right")) - 1)
+                j = min(j, batch.num_rows)
+                held.append(batch.slice(i, j - i))
+                size += int(bounds[j] - bounds[i]) + 16 * (j - i)
+                i = j
+                if size >= part_bytes or i < batch.num_rows:
+                    yield close()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield close()
+
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    many = max(1, -(-size // (8 * part_bytes)), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = docs.repartitionByRange(many, *order).sortWithinPartitions(*order)
+    out = ws.table(dealt.mapInArrow(pack, PARTS), "parts")
+    ws.release()
+    return out, size // 6
+
+
+def _opened(raw: bytes) -> tuple[pa.Array, pa.Array]:
+    """The doc_ids and texts of a part."""
+    docs = pa.Table.from_batches(list(pa.ipc.open_stream(raw))).combine_chunks()
     return docs["doc_id"].chunk(0), docs["text"].chunk(0)
 
 
 def runs(numbered: DataFrame, bits: int, key_bits: int, window: int, before: int = 0) -> DataFrame:
     """shard, run, n, keys: each part's run, numbered after `before`."""
 
-    def run(table: pa.Table) -> pa.Table:
-        number = table["part"][0].as_py() + before
-        part = Part(_ordered(table)[1], window, key_bits)
-        edges = part.shards(bits)
-        rows = [(s, number, int(b - a), _pack(part.high[a:b], part.low[a:b])) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["shard", "run", "n", "keys"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, docs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = Part(_opened(docs.as_buffer())[1], window, key_bits)
+                edges = part.shards(bits)
+                rows = [(s, number + before, int(b - a), _pack(part.high[a:b], part.low[a:b])) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["shard", "run", "n", "keys"])
 
-    return numbered.groupBy("part").applyInArrow(run, "shard bigint, run bigint, n bigint, keys binary")
+    return numbered.mapInArrow(run, "shard bigint, run bigint, n bigint, keys binary")
 
 
 def _merge(table: pa.Table) -> tuple[list[int], list[int], np.ndarray]:
@@ -201,7 +212,7 @@ RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, k
 
 def removed(numbered: DataFrame, told: DataFrame, bits: int, key_bits: int, window: int, before: int, with_text: bool) -> DataFrame:
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        ids, texts = _ordered(docs)
+        ids, texts = _opened(docs["docs"][0].as_py())
         part = Part(texts, window, key_bits)
         seen, edges = np.zeros(len(part.high), bool), part.shards(bits)
         for shard, raw in zip(replies["shard"].to_pylist(), replies["bits"].to_pylist(), strict=True):
@@ -232,7 +243,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False, index:
     With an index, windows of earlier batches count as earlier, and the batch's run is appended to it.
     """
     ws = Workspace(docs.sparkSession, "substrings")
-    numbered, windows = parts(docs)
+    numbered, windows = parts(docs, ws)
     bits = index.bits if index else shard_bits(windows)
     key_bits = 60 if index else max(bits + 8, min(60, windows.bit_length() + 20))
     before = index.next_run() if index else 0
