@@ -3,17 +3,22 @@
 Two generative models of hashed n-grams (words, runs of punctuation, and pairs of neighbours, in BUCKETS bins) are
 counted: one of the target, the labelled good texts, and one of the raw text, all documents. The weight of a document is
 the log ratio of its probability under both. Documents are sampled in proportion to it by Gumbel top-k: the k largest
-sums of weight and Gumbel noise, where the noise depends on doc_id alone. Their exact border is found by counting,
+sums of weight and Gumbel noise, where the noise depends on doc_id and text. Their exact border is found by counting,
 never by sorting in one place. Beside the sample, a document is rejected if its weight per n-gram falls below the
 border that separates labelled good from bad texts best.
 
+keep() resamples a corpus with truncated weights: a text at the border or over it has the log weight 0, one below it has as
+much less as its n-grams together lack. Gumbel top-k takes as many documents as lie at the border or over it, so all
+of these stand the same chance, and a text below enters in place of one only if it lacks a few nats at most.
+
 Counts of raw text cover every document. The labelled rows are a bounded sample: the LABELLED ids with the smallest
 hash; that is the only limit. A pair of equal words counts as one n-gram of its own, whatever the word, so that
 texts that repeat themselves differ from others.
 
 Null and empty texts hold no n-gram: weight 0, and they are rejected if bad labelled texts exist. Repeated rows are
-scored each; equal doc_ids get equal noise. Ties at the border of the sample fall in the order of doc_id. Without
-labels of both kinds nothing is rejected. An empty table gives no rows. Further columns are ignored by score() and kept
+scored each and get equal noise. Ties at the border of the sample fall in the order of doc_id, and rows that share that too
+in the order in which they are read, so score() samples as many as asked; keep() takes all repeats of the row at its border.
+Without labels of both kinds nothing is rejected. An empty table gives no rows. Further columns are ignored by score() and kept
 by keep().
 """
 
@@ -24,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,32 +132,63 @@ def border(rows: list[tuple[float, int, int]]) -> float | None:
     return at
 
 
-def score(docs: DataFrame, model: Model, share: float = SHARE, seed: int = 0, ws: Workspace | None = None) -> DataFrame:
-    """doc_id, log_weight, n_grams, mean_weight, accepted, sampled."""
-    ws = ws or Workspace(docs.sparkSession, "quality")
+NONE = -(2**63)
+KEYS = "doc_id bigint, row bigint, log_weight double, n_grams bigint, mean_weight double, accepted boolean, key double"
+
+
+def _keys(docs: DataFrame, model: Model, seed: int, truncated: bool) -> DataFrame:
+    """KEYS: row numbers those of a written table; key: weight (truncated: at the border) and noise."""
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 36
         for batch in batches:
-            w, n = model.weigh(text_array(batch))
-            ids = np.array([0 if d is None else d for d in batch.column(0).to_pylist()], np.int64)
-            u = ((mix(ids.view(np.uint64), seed + 1) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
-            ok = np.ones(len(w), bool) if model.border is None else (n > 0) & (w / np.maximum(n, 1) >= model.border)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w), pa.array(n), pa.array(w / np.maximum(n, 1)), pa.array(ok), pa.array(w - np.log(-np.log(u)))], names=["doc_id", "log_weight", "n_grams", "mean_weight", "accepted", "key"])
+            w, n, mean, ok, key = _sampled(batch, model, seed, truncated)
+            cols = [batch.column(0), pa.array(at + np.arange(len(w))), pa.array(w), pa.array(n), pa.array(mean), pa.array(ok), pa.array(key)]
+            at += len(w)
+            yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in KEYS.split(", ")])
+
+    return docs.select("doc_id", "text").mapInArrow(weigh, KEYS)
+
+
+def _sampled(batch: pa.RecordBatch, model: Model, seed: int, truncated: bool) -> tuple[np.ndarray, ...]:
+    """Log weight, n-grams, weight per n-gram, whether it is accepted, and the key of each row of doc_id and text."""
+    texts, names = text_array(batch), batch.column(batch.schema.get_field_index("doc_id"))
+    w, n = model.weigh(texts)
+    mean = w / np.maximum(n, 1)
+    ok = np.ones(len(w), bool) if model.border is None else (n > 0) & (mean >= model.border)
+    data, bounds = byte_view(texts)
+    ids = np.array([NONE if d is None else d for d in names.to_pylist()], np.int64).view(np.uint64)
+    noise = mix(mix(ids, seed + 1) ^ hash_spans(data, bounds[:-1], bounds[1:]), seed + 2)
+    u = ((noise >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+    weight = w
+    if truncated:
+        lack = np.zeros(len(w)) if model.border is None else np.where(n > 0, w - model.border * n, -np.inf)
+        weight = np.where(ok, 0.0, np.minimum(lack, 0.0))
+    return w, n, mean, ok, weight - np.log(-np.log(u))
 
-    schema = "doc_id bigint, log_weight double, n_grams bigint, mean_weight double, accepted boolean, key double"
-    rows = ws.table(docs.select("doc_id", "text").mapInArrow(weigh, schema), "weights")
-    key, doc = top_border(rows, share)
-    return rows.withColumn("sampled", (F.col("key") > key) | ((F.col("key") == key) & (F.coalesce("doc_id", F.lit(-(2**63))) <= doc))).drop("key")
+
+def score(docs: DataFrame, model: Model, share: float = SHARE, seed: int = 0, ws: Workspace | None = None) -> DataFrame:
+    """doc_id, log_weight, n_grams, mean_weight, accepted, sampled."""
+    rows = (ws or Workspace(docs.sparkSession, "quality")).table(_keys(docs, model, seed, False), "weights")
+    key, doc, row = top_border(rows, share)
+    name = F.coalesce("doc_id", F.lit(NONE))
+    tied = (name < doc) | (name == doc) & (F.col("row") <= row)
+    return rows.withColumn("sampled", (F.col("key") > key) | (F.col("key") == key) & tied).drop("key", "row")
 
 
-def top_border(rows: DataFrame, share: float) -> tuple[float, int]:
-    """The key and doc_id of the last row of the largest share of keys; counts of 4,096 ranges narrow it down."""
+def top_border(rows: DataFrame, share: float | None = None, want: int | None = None) -> tuple[float, int, int]:
+    """The key, doc_id and row of the last of the largest keys, a share or a number of them; counts of 4,096 ranges narrow it down."""
     stats = rows.agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).first()
-    want = int(round(stats.n * share))
+    want = int(round(stats.n * share)) if want is None else want
     if not want:
-        return float("inf"), -(2**63)
-    lo, hi, above = stats.lo, stats.hi, 0  # above: rows with a key over hi
-    for _ in range(8):
+        return float("inf"), NONE, 0
+    if want >= stats.n:
+        return float("-inf"), 2**63 - 1, 2**63 - 1
+    finite = rows.where(F.col("key") > float("-inf"))
+    lo, hi, above = finite.agg(F.min("key")).first()[0], stats.hi, 0  # above: rows with a key over hi
+    if lo is None:
+        lo = hi
+    for _ in range(12):
         if not hi > lo:
             break
         step = (hi - lo) / 4096
@@ -162,25 +199,34 @@ def top_border(rows: DataFrame, share: float) -> tuple[float, int]:
             if above + n >= want:
                 break
             above += n
-    # now one key is left (or keys as near as doubles get); its rows go in by doc_id
-    tied = rows.where(F.col("key") == hi).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"))
-    left, low, high = want - above, -(2**63), 2**63 - 1
-    if tied.count() <= left:
-        return hi, high
+        else:  # only rows of no weight at all are left
+            lo = hi = float("-inf")
+    tied = rows.where(F.col("key") == hi).select(F.coalesce("doc_id", F.lit(NONE)).alias("d"), "row")
+    doc, left = _nth(tied, "d", want - above)
+    return hi, doc, _nth(tied.where(F.col("d") == doc), "row", left)[0]
+
+
+def _nth(rows: DataFrame, column: str, n: int) -> tuple[int, int]:
+    """The n-th smallest value of a column, and its place among the rows that have it; by counting."""
+    stats = rows.agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).first()
+    low, high = stats.low, stats.high
     while low < high:
         mid = (low + high) // 2
-        low, high = (low, mid) if tied.where(F.col("d") <= mid).count() >= left else (mid + 1, high)
-    return hi, low
+        low, high = (low, mid) if rows.where(F.col(column) <= mid).count() >= n else (mid + 1, high)
+    return low, n - rows.where(F.col(column) < low).count()
 
 
-def keep(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows that are not rejected."""
+def keep(docs: DataFrame, model: Model, seed: int = 0) -> DataFrame:
+    """The rows that Gumbel top-k takes with truncated weights: as many as are not rejected (and repeats of the last one)."""
+    if model.border is None:
+        return docs
+    rows = Workspace(docs.sparkSession, "quality-keep").table(_keys(docs, model, seed, True), "keys")
+    key, doc, _ = top_border(rows, want=rows.where("accepted").count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if model.border is not None:
-                w, n = model.weigh(text_array(batch))
-                batch = batch.filter(pa.array((n > 0) & (w / np.maximum(n, 1) >= model.border)))
-            yield batch
+            own = _sampled(batch, model, seed, True)[-1]
+            ids = np.array([NONE if d is None else d for d in batch.column(batch.schema.get_field_index("doc_id")).to_pylist()], np.int64)
+            yield batch.filter(pa.array((own > key) | (own == key) & (ids <= doc)))
 
     return docs.mapInArrow(run, docs.schema)

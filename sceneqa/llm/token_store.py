@@ -7,7 +7,9 @@ fingerprint of the key, by which most foreign keys are refused at once, and the
 decides. Looking up a key takes constant time on average and reads nothing else of the shard.
 
 Shards are rows of a table that Spark writes, so they reach any store that Spark reaches. Rows are dealt by ranges of
-doc_id, so shard numbers follow doc_id; the driver keeps one total for each range.
+doc_id, so shard numbers follow doc_id; the driver keeps one total for each range. read_store() returns every document,
+each fetched by its key through its shard's index; lookup() finds the shards of any keys by the ranges of their doc_ids and
+asks each for its keys alone.
 
 Null and empty texts consist of the end id alone. Rows that repeat a doc_id stand next to each other in the order of
 their ids' bytes; a lookup finds all of them. Rows without a doc_id stand before all others, in the order of a hash of
@@ -186,29 +188,75 @@ def write_store(docs: DataFrame, ws: Workspace, path: str, keeps_blanks: bool, e
     return out
 
 
+READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
+FOUND = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
+
+
+def _bases(shards: DataFrame) -> dict[int, int]:
+    """The ids before each range: one number for each."""
+    return sum_to_base({r.part: r.n for r in shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()})
+
+
+def _rows(shard: Shard, keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(key, row) of every row of the keys that the shard has."""
+    for key, row in zip(keys.tolist(), shard.rows_of(keys).tolist(), strict=True):
+        while 0 <= row < len(shard.keys) and shard.keys[row] == key:
+            yield key, row
+            row += 1
+
+
 def read_store(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every stored document, each fetched by its key through the index."""
-    rows = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()  # one number for each range
-    base = sum_to_base({r.part: r.n for r in rows})
+    base = _bases(shards)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, image in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shard = Shard(image.as_buffer())
-                out: list[tuple] = []
-
-                def add(key: int | None, row: int, part: int = part, shard: Shard = shard, out: list[tuple] = out) -> None:
+                keys = shard.keys[shard.none :]
+                out = []
+                for key, row in (*((None, row) for row in range(shard.none)), *_rows(shard, keys[first_rows(keys)])):
                     ids = shard.ids(row)
                     out.append((key, base[part] + shard.before(row), len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=[c.split()[0] for c in READ.split(", ")])
 
-                for row in range(shard.none):
-                    add(None, row)
-                keys = shard.keys[shard.none :]
-                for row in shard.rows_of(keys[first_rows(keys)]).tolist():
-                    key = shard.keys[row]
-                    while row < len(shard.keys) and shard.keys[row] == key:
-                        add(int(key), row)
-                        row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return shards.select("part", "image").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return shards.select("part", "image").mapInArrow(read, READ)
+
+
+def lookup(shards: DataFrame, keys: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids (little-endian, as wide as the shard stores them) of every row of the keys (column doc_id);
+    keys that the store lacks give no row, repeated ones count once, and a null key stands for the rows without a doc_id.
+
+    A key is led to the range, then to the shards, whose doc_ids span it, by a join on the range; only these shards' images
+    are read. The driver keeps two numbers for each range.
+    """
+    base = _bases(shards)
+    spans_ = shards.where("last_id is not null").groupBy("part").agg(F.min(F.coalesce("first_id", F.lit(-(2**63)))).alias("low"), F.max("last_id").alias("high")).collect()
+    spans_ = sorted((r.low, r.high, r.part) for r in spans_)
+    lows, highs, parts = (np.array([s[i] for s in spans_], np.int64) for i in range(3))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.column(0).to_numpy()
+            at = np.searchsorted(lows, wanted, "right") - 1
+            ok = (at >= 0) & (wanted <= highs[at] if len(highs) else False)
+            yield pa.RecordBatch.from_arrays([pa.array(parts[at[ok]]), pa.array(wanted[ok])], names=["part", "key"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, image, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                shard = Shard(image.as_buffer())
+                known = wanted.values.drop_null().to_numpy() if wanted.is_valid else np.zeros(0, np.int64)
+                none = range(shard.none) if wanted.is_valid and wanted.values.null_count else ()
+                out = [(key, base[part] + shard.before(row), int(shard.ids(row).size), shard.ids(row).tobytes()) for key, row in (*((None, row) for row in none), *_rows(shard, known))]
+                kinds = [pa.int64()] * 3 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in FOUND.split(", ")])
+
+    asked = keys.select("doc_id").distinct()
+    routed = asked.where("doc_id is not null").mapInArrow(route, "part bigint, key bigint")
+    bounds = shards.select("part", "shard", F.coalesce("first_id", F.lit(-(2**63))).alias("first"), "last_id")
+    of = routed.join(bounds, "part").where(F.col("key").between(F.col("first"), F.col("last_id"))).select("part", "shard", "key")
+    if not asked.where("doc_id is null").isEmpty():
+        of = of.union(shards.where("first_id is null").select("part", "shard", F.lit(None).cast("bigint").alias("key")))
+    wanted = of.groupBy("part", "shard").agg(F.collect_list(F.struct("key")).alias("k")).select("part", "shard", F.transform("k", lambda x: x["key"]).alias("keys"))
+    return shards.join(wanted, ["part", "shard"]).select("part", "image", "keys").mapInArrow(read, FOUND)

@@ -7,8 +7,11 @@ random ones, robust pruning keeps those that no kept one makes needless. The adj
 cells are united. A cell then searches for each of its vectors from its medoid, greedily with a beam, and from all found within
 the range goes on to their neighbours until no new one lies within. Pairs are verified in double precision.
 
-A pair that several cells find counts in one of them. Groups leave a cell as stars, and components are joined from
-these. A sample of vectors is held against all classes; if recall falls short, everything is repeated with more overlap.
+A pair that several cells find counts in one of them, and a pair that is found from one side counts on both. Groups leave
+a cell as stars, and components are joined from these. A sample of the vectors whose id is divisible by 50 is held against
+all classes: recall is the lesser of the share of their links that were found and of the mean share of each vector. If it
+falls short, everything is repeated with more overlap, and after the last try all pieces of all vectors meet each other
+and are compared in full, block by block, so the result is then exact. cluster() reports the recall that it measured.
 
 The centres are fitted by the driver on at most SAMPLE classes, in single precision; every vector is indexed and
 searched for.
@@ -21,6 +24,7 @@ gives no rows. Further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +35,8 @@ from pyspark.sql import functions as F
 from sceneqa.llm.common import Workspace
 from sceneqa.llm.components import components, local_components
 
+log = logging.getLogger(__name__)
+
 THRESHOLD = 0.95
 #: Classes that the centres are fitted on at most, and for each centre; classes per centre; centres at most.
 SAMPLE, PER_SAMPLE, PER_CENTRE, CENTRES = 200_000, 40, 100, 10_000
@@ -40,8 +46,8 @@ PIECE = 1_500
 CANDIDATES, DEGREE, ALPHA, RANDOM, BEAM = 40, 20, 1.2, 4, 40
 #: Shards of a vector at most, and degrees by which they may lie further than the nearest, try by try.
 OVERLAP = ((4, 10.0), (8, 20.0), (16, 40.0))
-#: Vectors of the audit, and the recall that ends it.
-AUDIT, RECALL = 200, 0.97
+#: Vectors of the audit, the ids that they come from, and the recall that ends it.
+AUDIT, EVERY, RECALL = 1_000, 50, 0.99
 
 
 def _rows(table: DataFrame) -> DataFrame:
@@ -94,11 +100,13 @@ def assign(classes: DataFrame, centre: dict[int, np.ndarray], most: int, degrees
                 at = [i for i, r in enumerate(raws) if len(r) == width]
                 x = unit([raws[i] for i in at])
                 c = centre.get(width, np.zeros((1, x.shape[1])))
-                angle = np.degrees(np.arccos(np.clip(x @ c.T, -1, 1)))
-                order = np.argsort(angle, 1, kind="stable")[:, :most]
-                near = np.take_along_axis(angle, order, 1)
-                for i, o, a in zip(at, order, near, strict=True):
-                    shards[i] = sorted((width << 20) + int(s) for s in o[a <= a[0] + degrees])
+                for lo in range(0, len(at), 256):
+                    cosine = x[lo : lo + 256] @ c.T
+                    k = min(most, cosine.shape[1])
+                    order = np.argpartition(-cosine, k - 1, 1)[:, :k]
+                    angle = np.degrees(np.arccos(np.clip(np.take_along_axis(cosine, order, 1), -1, 1)))
+                    for i, o, a in zip(at[lo : lo + 256], order, angle, strict=True):
+                        shards[i] = sorted((width << 20) + int(s) for s in o[a <= a.min() + degrees])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shards, pa.list_(pa.int64()))], names=["rep", "n", "vec", "shards"])
 
     return classes.select("rep", "n", "vec").mapInArrow(run, "rep bigint, n bigint, vec binary, shards array<bigint>")
@@ -236,7 +244,12 @@ def _graphs(dealt: DataFrame) -> DataFrame:
 FOUND = "u bigint, v bigint, links bigint"
 
 
-def _found(dealt: DataFrame, threshold: float) -> DataFrame:
+def _in_full(x: np.ndarray, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """What search() finds, by comparing all pairs."""
+    return np.nonzero(x[queries] @ x.T >= threshold)
+
+
+def _found(dealt: DataFrame, threshold: float, exact: bool = False) -> DataFrame:
     """u, links: the vectors that cells count for a class; u, v: stars of the groups in a cell (links 0)."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -256,11 +269,9 @@ def _found(dealt: DataFrame, threshold: float) -> DataFrame:
             shards[i, : len(s)], pieces[i, : len(s)] = s, p
         links = np.zeros(len(reps), np.int64)
         label = np.arange(len(reps))
-        for lo in range(0, len(reps), 256):
-            queries = np.arange(lo, min(lo + 256, len(reps)))
-            q, v = search(fast, graph, queries, threshold - 1e-4)
-            q = queries[q]
-            q, v = q[q != v], v[q != v]
+
+        def count(q: np.ndarray, v: np.ndarray) -> None:
+            nonlocal label
             good = np.concatenate([np.einsum("kd,kd->k", x[q[k : k + 100_000]], x[v[k : k + 100_000]]) >= threshold for k in range(0, len(q), 100_000)] or [np.zeros(0, bool)])
             q, v = q[good], v[good]
             for k in range(0, len(q), 200_000):
@@ -274,6 +285,17 @@ def _found(dealt: DataFrame, threshold: float) -> DataFrame:
                 own = (shards[a, i] == cell[0]) & (np.minimum(p, r) == cell[1]) & (np.maximum(p, r) == cell[2]) & both.reshape(len(a), -1)[rows, at]
                 np.add.at(links, a[own], n[b[own]])
             label = np.minimum(label, local_components(len(reps), np.r_[q, np.arange(len(reps))], np.r_[v, label]))
+
+        seen = np.zeros((len(reps), len(reps)), bool)  # a cell holds two pieces at most
+        for lo in range(0, len(reps), 256):
+            queries = np.arange(lo, min(lo + 256, len(reps)))
+            q, v = _in_full(fast, queries, threshold - 1e-4) if exact else search(fast, graph, queries, threshold - 1e-4)
+            seen[queries[q], v] = True
+        seen |= seen.T
+        np.fill_diagonal(seen, False)
+        for lo in range(0, len(reps), 256):
+            q, v = np.nonzero(seen[lo : lo + 256])
+            count(q + lo, v)
         other = label != np.arange(len(reps))
         u = np.concatenate([reps, reps[other]])
         v = np.concatenate([reps, reps[label[other]]])
@@ -302,8 +324,31 @@ def _audit(classes: DataFrame, queries: list[tuple[int, bytes]], threshold: floa
     return {r.rep: r.links for r in out.collect()}  # AUDIT rows
 
 
-def cluster(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of vec_id, embedding."""
+def _searched(assigned: DataFrame, ws: Workspace, threshold: float, name: str, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What cells find (u, v, links), and u, links summed."""
+    # one number for each shard, of which there are CENTRES at most for each length
+    sizes = {r.s: r["count"] for r in assigned.select(F.explode("shards").alias("s")).groupBy("s").count().collect()}
+    dealt = cells(assigned, sizes)
+    if exact:
+        united = assigned.select("rep", F.expr("cast(array() as array<bigint>)").alias("near"))
+    else:
+        united = _graphs(dealt).groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    united = ws.table(united, f"graph-{name}")
+    found = ws.table(_found(dealt.join(united, "rep"), threshold, exact), f"found-{name}")
+    return found, ws.table(found.groupBy("u").agg(F.sum("links").alias("links")), f"links-{name}")
+
+
+def _recall(true: dict[int, int], got: dict[int, int]) -> float:
+    """The lesser of the share of all links and the mean share of each vector that has any."""
+    each = [min(got.get(q, 0), k) / k for q, k in true.items() if k]
+    return min(sum(min(got.get(q, 0), k) for q, k in true.items()) / sum(true.values()), sum(each) / len(each)) if each else 1.0
+
+
+def cluster(table: DataFrame, threshold: float = THRESHOLD, report: dict | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row of vec_id, embedding. report: gets the audit's recall of each try, the
+    number of its vectors and links, and whether the result is exact.
+    """
+    report = {} if report is None else report
     ws = Workspace(table.sparkSession, "vectors")
     rows = ws.table(_rows(table), "rows")
     classes = ws.table(rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec")), "classes")
@@ -312,22 +357,22 @@ def cluster(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sample = classes.orderBy(F.xxhash64("key")).limit(min(SAMPLE, PER_SAMPLE * many)).select("rep", "vec").collect()
     widths = {len(r.vec) for r in sample}
     centre = {w: centres(unit([r.vec for r in sample if len(r.vec) == w]).astype(np.float32), many) for w in widths}
-    queries = [(r.rep, bytes(r.vec)) for r in sample[:: max(1, len(sample) // AUDIT)]]
+    audited = classes.where(F.col("rep") % EVERY == 0).orderBy(F.xxhash64("key")).limit(AUDIT).select("rep", "vec").collect()
+    queries = [(r.rep, bytes(r.vec)) for r in audited]
     true = _audit(classes, queries, threshold) if queries else {}
+    report |= {"vectors": len(queries), "links": sum(true.values()), "recall": [], "exact": False}
     for attempt, (most, degrees) in enumerate(OVERLAP):
         assigned = ws.table(assign(classes, centre, most, degrees), f"assigned-{attempt}")
-        # one number for each shard, of which there are CENTRES at most for each length
-        sizes = {r.s: r["count"] for r in assigned.select(F.explode("shards").alias("s")).groupBy("s").count().collect()}
-        dealt = cells(assigned, sizes)
-        united = ws.table(_graphs(dealt).groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), f"graph-{attempt}")
-        found = ws.table(_found(dealt.join(united, "rep"), threshold), f"found-{attempt}")
-        links = ws.table(found.groupBy("u").agg(F.sum("links").alias("links")), f"links-{attempt}")
-        if queries:
-            got = {r.u: r.links for r in links.where(F.col("u").isin([q for q, _ in queries])).collect()}
-            total = sum(true.values())
-            recall = sum(min(got.get(q, 0), k) for q, k in true.items()) / total if total else 1.0
-            if recall >= RECALL or attempt == len(OVERLAP) - 1:
-                break
+        found, links = _searched(assigned, ws, threshold, str(attempt))
+        got = {r.u: r.links for r in links.where(F.col("u").isin([q for q, _ in queries])).collect()} if queries else {}
+        report["recall"].append(_recall(true, got))
+        if report["recall"][-1] >= RECALL:
+            break
+    else:
+        report["exact"] = True
+        whole = classes.withColumn("shards", F.array((F.length("vec").cast("bigint") * (1 << 20))))
+        found, links = _searched(ws.table(whole, "assigned-all"), ws, threshold, "all", exact=True)
+    log.info("audit of %d vectors with %d links: recall %s%s", report["vectors"], report["links"], report["recall"], ", then compared in full" if report["exact"] else "")
     roots = ws.table(components(found.where("u <> v"), ws), "roots")
     named = classes.join(links, classes.rep == links.u, "left").select("key", "rep", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     named = named.join(roots, named.rep == roots.node, "left").select("key", "n_links", F.coalesce("root", "rep").alias("component"))

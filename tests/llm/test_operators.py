@@ -173,15 +173,16 @@ def test_token_store_round_trip(docs, spark, tokenizers_dir):
 
     path = tokenizers_dir.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    store = token_store.write_store(docs.where("doc_id is not null"), Workspace(spark, "t"), path, False, 1, shard_bytes=2000)
+    store = token_store.write_store(docs, Workspace(spark, "t"), path, False, 1, shard_bytes=2000)
     assert store.count() > 3
-    encoded = sorted((i, np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], "<u2").tobytes()) for i, t in DOCS if i is not None)
+    encoded = sorted(((i, np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], "<u2").tobytes()) for i, t in DOCS), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert sum(i is None for i, _ in encoded) == 1
     start, want = 0, []
     for i, raw in encoded:
         ids = np.frombuffer(raw, "<u2")
         want.append((i, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
         start += len(ids)
-    assert sorted(map(tuple, token_store.read_store(store).collect())) == sorted(want)
+    assert rows(token_store.read_store(store)) == sorted(want, key=str)
 
 
 def test_token_store_keeps_rows_without_id(docs, spark, tokenizers_dir):
@@ -206,6 +207,24 @@ def test_token_store_keeps_rows_without_id(docs, spark, tokenizers_dir):
     assert sum(len(token_store.Shard(r.image).get(0)) for r in shards) == 1
 
 
+def test_token_store_looks_keys_up(docs, spark, tokenizers_dir):
+    from tokenizers import Tokenizer
+
+    path = tokenizers_dir.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    table = docs.select("doc_id", "text").union(spark.createDataFrame([(k, f"text {k}") for k in range(100, 400)] + [(-5, "least"), (150, "again")], "doc_id bigint, text string"))
+    store = Workspace(spark, "t").table(token_store.write_store(table.repartition(7), Workspace(spark, "t"), path, False, 1, shard_bytes=200), "store")
+    assert store.count() > 20
+    keys = [None, -5, 150, 150, 151, 399, 5000, -9, 3, 12345678901234]
+    got = token_store.lookup(store, spark.createDataFrame([(k,) for k in keys], "doc_id bigint")).collect()
+    want = [(i, np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], "<u2").tobytes()) for i, t in table.collect() if i in keys]
+    assert sorted(((r.doc_id, bytes(r.ids)) for r in got), key=str) == sorted(want, key=str)
+    starts = {(r.doc_id, r.start) for r in token_store.read_store(store).collect()}
+    assert all((r.doc_id, r.start) in starts and 2 * r.n_tokens == len(r.ids) for r in got)
+    assert token_store.lookup(store, spark.createDataFrame([], "doc_id bigint")).count() == 0
+    assert token_store.lookup(store.limit(0), spark.createDataFrame([(1,)], "doc_id bigint")).count() == 0
+
+
 def test_perfect_hash_is_minimal_and_refuses_strangers():
     keys = np.unique(np.random.default_rng(0).integers(-(2**62), 2**62, 5000))
     image = token_store.write_shard(keys.tolist(), [bytes([k % 251, 0]) for k in range(len(keys))], 7)
@@ -236,15 +255,59 @@ def test_quality_separates_and_samples(spark):
 
 def test_gumbel_border_is_exact(spark):
     rng = np.random.default_rng(0)
-    keys = [float(x) for x in rng.normal(size=300)] + [0.5] * 50
-    df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "doc_id bigint, key double")
-    for share in (0.0, 0.1, 0.37, 1.0):
-        key, doc = quality.top_border(df, share)
-        taken = {i for i, k in enumerate(keys) if k > key or k == key and i <= doc}
-        want = {i for _, i in sorted((-k, i) for i, k in enumerate(keys))[: round(share * len(keys))]}
+    keys = [float(x) for x in rng.normal(size=200)] + [0.5] * 50 + [float("-inf")] * 9
+    rows_ = [(i // 3, i, k) for i, k in enumerate(keys)]  # three rows a doc_id
+    df = spark.createDataFrame(rows_, "doc_id bigint, row bigint, key double").repartition(4).cache()
+    for share in (0.0, 0.1, 0.37, 0.99, 1.0):
+        key, doc, row = quality.top_border(df, share)
+        taken = {r for d, r, k in rows_ if k > key or k == key and (d, r) <= (doc, row)}
+        want = {r for _, _, r in sorted((-k, d, r) for d, r, k in rows_)[: round(share * len(rows_))]}
         assert taken == want
 
 
+def test_importance_weights_match_a_plain_count(spark):
+    """The log ratio of two counted models over the bins of words, marks and pairs, and the sample they give."""
+    texts = [prose(i, 25) + ("" if i % 3 else " !!! so so so") for i in range(40)] + ["", None, "one"] + [prose(3, 25)] * 10
+    table = spark.createDataFrame([(i if i < 43 else 3, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    good = set(range(0, 40, 2)) | {42}
+    labels = spark.createDataFrame([(i, int(i in good)) for i in range(43)], "doc_id bigint, quality int")
+
+    def bins(text):
+        h = []
+        for w in re.findall(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]+", text or ""):
+            data = np.frombuffer(w.encode(), np.uint8)
+            h.append(int(quality.hash_spans(data, np.array([0]), np.array([len(data)]))[0]))
+        m = quality.BUCKETS - 1
+        pair = lambda a, b: m if a == b else int(quality.mix(np.array([(a * 3 + b) % 2**64], np.uint64), 5)[0]) % m
+        return [x % m for x in h] + [pair(a, b) for a, b in zip(h, h[1:], strict=False)]
+
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t in enumerate(texts):
+        raw.update(bins(t))
+        if i in good:
+            target.update(bins(t))
+    p = lambda c, b: np.log((c[b] + 1) / (c.total() + quality.BUCKETS))
+    model = quality.fit(table, labels, Workspace(spark, "t"))
+    got = quality.score(table, model, share=0.5).collect()
+    want = sorted(sum(p(target, b) - p(raw, b) for b in bins(t)) for t in texts)
+    assert sorted(r.log_weight for r in got) == pytest.approx(want, abs=1e-8)
+    assert sum(r.sampled for r in got) == round(0.5 * len(texts))
+    keys = quality._keys(table, model, 0, False).collect()
+    noise = [np.exp(-np.exp(-(r.key - r.log_weight))) for r in keys]
+    assert 0 < min(noise) < 0.2 and 0.8 < max(noise) < 1
+    least = sorted((r.key for r in keys), reverse=True)[round(0.5 * len(texts)) - 1]
+    assert {r.doc_id for r in got if r.sampled} <= {r.doc_id for r in keys if r.key >= least}
+
+
+def test_gumbel_top_k_keeps_what_is_not_rejected(spark):
+    good = [(i, prose(i, 80)) for i in range(300)]
+    bad = [(1000 + i, " ".join(w + "###" for w in prose(i, 60).split())) for i in range(100)]
+    table = spark.createDataFrame(good + bad + [(None, ""), (2000, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(100)] + [(1000 + i, 0) for i in range(40)], "doc_id bigint, quality int")
+    model = quality.fit(table, labels, Workspace(spark, "t"))
+    assert sorted(r.doc_id for r in quality.keep(table, model).collect()) == list(range(300))
+
+
 def test_quality_without_labels_rejects_nothing(docs, spark):
     model = quality.fit(docs, spark.createDataFrame([], "doc_id bigint, quality int"), Workspace(spark, "t"))
     assert quality.keep(docs, model).count() == docs.count()
@@ -387,13 +450,14 @@ def edits(a, b):
     return d[len(a) - 1, len(b) - 1]
 
 
-def test_levenshtein_trie_equals_brute_force():
-    terms = ["idiot", "worthless", "moron", "clown"]
-    trie = toxicity.Trie(terms)
+@pytest.mark.parametrize("most", [1, 2])
+def test_levenshtein_trie_equals_brute_force(most):
+    terms = ["idiot", "worthless", "moron", "clown", "scum", "idiots", "x" * 60]
+    trie = toxicity.Trie(terms, frozenset({"clowns"}))
     rng = np.random.default_rng(0)
     letters = "abcdeilmnorstw"
     for _ in range(3000):
-        w = list(terms[rng.integers(4)])
+        w = list(terms[rng.integers(len(terms))])
         for _ in range(rng.integers(0, 3)):
             k, c = rng.integers(len(w)), letters[rng.integers(len(letters))]
             match rng.integers(4):
@@ -406,11 +470,51 @@ def test_levenshtein_trie_equals_brute_force():
                 case _ if k + 1 < len(w):
                     w[k], w[k + 1] = w[k + 1], w[k]
         word = "".join(w)
-        near = min(edits(word, t) for t in terms)
-        got = trie.match(word)
-        assert (got is not None) == (near <= 1 and len(word) >= 4), word
-        if got:
-            assert edits(word, terms[got[0]]) == near
+        near = [edits(word, t) for t in terms]
+        assert trie.misspelt(word, most) == (near.index(min(near)) if min(near) <= most else -1), word
+        if most == 1:
+            got = trie.match(word)
+            assert (got is not None) == (min(near) <= 1 and word != "clowns"), word
+            assert got is None or got[1] == (0 if min(near) == 0 else 2 if len(terms[got[0]]) >= 5 else 3)
+    assert trie.match("scun") == (4, 3) and trie.match("y" * 10**6) is None
+
+
+def test_quotes_hold_whatever_stands_between():
+    long = ' "' + " ".join(["word"] * 60) + ' idiot" idiot „so» idiot “ end «a "b» idiot'
+    words = toxicity.words_of(long)
+    at = [i for i, w in enumerate(words) if w == "idiot"]
+    assert [toxicity.quoted_places(words)[i] for i in at] == [True, False, True, False]
+
+
+def test_toxicity_features_match_a_plain_count(spark):
+    """Every sum that a score is made of, for whole texts, and the score of the features."""
+    model = toxicity.Model(["idiot", "worth*", "scum"], [1.0, 0.5, 0.25], -1.0, np.arange(1.0, 10.0) / 10, frozenset({"idiom"}))
+    texts = [prose(i, 30) + " " + x for i, x in enumerate(["you idiot", 'he said "idiot"', "idoit and worthless scun", "an idiom", "SCUM! scum?", ""])] + ["", "idiot " * 3000]
+    terms = {"idiot": 1.0, "scum": 0.25}
+    for t, row in zip(texts, toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).orderBy("doc_id").collect(), strict=True):
+        words = toxicity.words_of(t)
+        direct = quoted = addressed = most = 0.0
+        kinds = [0] * 4
+        for i, w in enumerate(words):
+            near = min(terms, key=lambda x: edits(w, x)) if w else ""
+            if w in terms:
+                kind, weight = 0, terms[w]
+            elif len(w) > 5 and w.startswith("worth"):
+                kind, weight = 1, 0.5 * 0.9
+            elif w not in ("idiom", "") and edits(w, near) == 1 and len(w) >= 2:
+                kind, weight = (2, terms[near] * 0.8) if len(near) >= 5 else (3, 0.0)
+            else:
+                continue
+            kinds[kind] += 1
+            around = words[max(0, i - 6) : i + 7]
+            most = max(most, weight)
+            if words[:i].count('"') % 2 or set(around) & toxicity.SAYING:
+                quoted += weight
+            else:
+                direct += weight
+                addressed += weight > 0 and bool(set(around) & toxicity.ADDRESS)
+        f = [np.log1p(direct), np.log1p(quoted), np.log1p(addressed), most, *np.log1p(kinds), min(1.0, 10 * sum(kinds[:3]) / max(1, len(words)))] if sum(kinds) else [0.0] * 9
+        assert row.score == pytest.approx(1 / (1 + np.exp(-(np.dot(f, model.coefficients) - 1.0)))) and row.hits == sum(kinds), t
 
 
 def test_quotation_weighs_less_than_abuse():
@@ -561,23 +665,44 @@ def embeddings(spark):
     return rows_, spark.createDataFrame(rows_, "vec_id bigint, embedding array<float>, key string, n int")
 
 
-@pytest.mark.parametrize("piece", [60, 1500])
-def test_vectors(embeddings, monkeypatch, piece):
-    monkeypatch.setattr(vectors, "PIECE", piece)
-    rows_, df = embeddings
+def plain_links(rows_):
     x = np.array([r[1] for r in rows_[:400]], np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     linked = x @ x.T >= 0.95
     np.fill_diagonal(linked, False)
     names = smallest_reachable(list(range(400)), lambda i, j: linked[i, j])
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.cluster(df).collect()}
-    want = {i: (int(linked[i].sum()), names[i], names[i] == i) for i in range(400)}
+    return {i: (int(linked[i].sum()), names[i], names[i] == i) for i in range(400)}
+
+
+@pytest.mark.parametrize("piece", [60, 1500])
+def test_vectors(embeddings, monkeypatch, piece):
+    monkeypatch.setattr(vectors, "PIECE", piece)
+    rows_, df = embeddings
+    report = {}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.cluster(df, report=report).collect()}
+    want = plain_links(rows_)
     assert all(got[i][0] <= want[i][0] for i in want)
-    assert sum(got[i][0] for i in want) >= 0.97 * sum(v[0] for v in want.values())
+    assert sum(got[i][0] for i in want) >= 0.99 * sum(v[0] for v in want.values())
     assert sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
+    assert report["vectors"] == 8 and report["links"] == sum(want[i][0] for i in range(0, 400, 50)) - 2 and (report["exact"] or report["recall"][-1] >= 0.99)
     assert all(got[i] == (0, i, True) for i in range(500, 506)) and got[None] == (0, None, False)
 
 
+def test_vectors_are_compared_in_full_if_recall_falls_short(embeddings, monkeypatch):
+    monkeypatch.setattr(vectors, "PIECE", 60)
+    monkeypatch.setattr(vectors, "OVERLAP", ((1, 0.0),))
+    monkeypatch.setattr(vectors, "RECALL", 1.1)
+    rows_, df = embeddings
+    report = {}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.cluster(df, report=report).collect()}
+    assert report["exact"] and {i: got[i] for i in range(400)} == plain_links(rows_)
+
+
+def test_recall_is_judged_by_vector_too():
+    assert vectors._recall({1: 1000, 2: 1, 3: 0}, {1: 1000}) == 0.5
+    assert vectors._recall({1: 0}, {}) == 1.0
+
+
 # all
 
 
