@@ -1,12 +1,17 @@
 """PII: format-preserving Feistel pseudonyms.
 
-Values are found by pattern and validated (card numbers by their check digit, addresses by range, dates by calendar,
-account numbers by their remainder). A value that passes is replaced by a keyed permutation of the values of its
+Values are found by pattern and validated (card numbers by their check digit, addresses by range, dates by calendar in
+either order of day and month, account numbers by their remainder, telephone numbers by their number of digits). A value that passes is replaced by a keyed permutation of the values of its
 format: its digits or letters form a mixed-radix number, a Feistel network with keyed rounds permutes these numbers,
 and the result is shifted by one inside that permutation, so no value stands for itself. What makes the format stays:
-separators, case, a country code, a card's first digit, the mail host; check digits are computed anew. The same value
-gives the same pseudonym everywhere, however it is spaced, so equal values stay linked across documents, and the key's
-holder can reverse it.
+separators, case, a country code, a card's first digit, the mail host, a key's known beginning; check digits are computed
+anew. The same value gives the same pseudonym everywhere, however it is spaced or written (a date in another order, a
+number of ten digits with or without the code +1), so equal values stay linked across documents, and the key's holder can
+reverse it.
+
+Digits that could be anything else stay: numbers that fail their check digit, versions, dates that no calendar has in any
+order, telephone numbers without separators, brackets or a plus, words of fewer than 20 letters and digits that are no
+known kind of key.
 
 Null texts stay null. Empty texts, repeated rows and further columns pass unchanged. An empty table gives no rows.
 """
@@ -14,6 +19,7 @@ Null texts stay null. Empty texts, repeated rows and further columns pass unchan
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
@@ -31,15 +37,19 @@ ROUNDS = 10
 DEMO_KEY = b"demonstration key"
 KINDS = ("email", "date", "ip", "iban", "phone", "ssn", "card", "secret")
 
+#: Beginnings of keys that services hand out (fixed values).
+KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "sk-", "sk_live_", "sk_test_", "pk_live_", "rk_live_", "xoxb-", "xoxp-", "xoxa-", "AIza", "hf_", "npm_", "pypi-", "SG.")
+_PREFIX = "|".join(map(re.escape, KEY_PREFIXES))
+
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
-    r"|(?P<date>(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\d/-]|\.\d))"
-    r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))"
+    rf"|(?P<secret>(?<![\w-])(?:{_PREFIX})[A-Za-z0-9_-]{{16,200}}(?![\w-])|(?<!\w)[0-9A-Fa-f]{{32,128}}(?!\w))"
+    r"|(?P<date>(?<![\d./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}[./-]\d{1,2}[./-]\d{4})(?![\d/-]|\.\d))"
+    r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)|(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,6}(?![\w:]))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b)"
-    r"|(?P<phone>(?<![\d+])(?:\+\d{1,3}[ -]?)?\(\d{3}\)[ -]?\d{3}-\d{4}(?!\d)|(?<![\d+])\+\d{1,3}[ -]\d{3}[ -]\d{3}[ -]\d{4}(?!\d)|(?<![\d+-])\d{3}-\d{3}-\d{4}(?![\d-]))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<card>(?<![\w.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\w|\.\d))"
-    r"|(?P<secret>(?<!\w)[0-9A-Fa-f]{32,128}(?!\w))"
+    r"|(?P<card>(?<![\w.+])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w|\.\d))"
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?![\w-]|\.\d)|(?<![\w+)])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?![\w-])|(?<![\w+.-])\d{3}([.-])\d{3}\g<-1>\d{4}(?![\w-]|\.\d))".replace(r"\g<-1>", r"(?P=sep)").replace("([.-])", "(?P<sep>[.-])")
 )
 
 
@@ -111,27 +121,55 @@ def _email(v: str, key: bytes, back: bool) -> str | None:
     return move_text(name, key + host.lower().encode(), back=back) + "@" + host
 
 
+#: The days from 1900 to 2099 and the halves of their network, two more than the days together.
+_FIRST, _DAYS, _HALVES = date(1900, 1, 1), 73_049, (11, 6641)
+
+
+def _day(year: int, month: int, day: int) -> int | None:
+    """The number of a day; None outside of the calendar or the range."""
+    try:
+        n = (date(year, month, day) - _FIRST).days
+    except ValueError:
+        return None
+    return n if 0 <= n < _DAYS else None
+
+
 def _date(v: str, key: bytes, back: bool) -> str | None:
+    """The year stands first or last. Day and month: with slashes either order that the calendar allows, the day first if both
+    do; the pseudonym is written in the same order, padded as the value is, and reads in the same way.
+    """
     sep = next(c for c in v if not c.isdigit())
     parts = v.split(sep)
-    if len(parts) != 3:
-        return None
-    year, month, day = map(int, parts if len(parts[0]) == 4 else reversed(parts))
-    first, days = date(1900, 1, 1), 73_049
-    try:
-        n = (date(year, month, day) - first).days
-    except ValueError:
+    if len(parts) != 3 or sum(len(p) == 4 for p in parts) != 1:
         return None
-    if not 0 <= n < days:
+    year_first = len(parts[0]) == 4
+    year, a, b = (int(p) for p in (parts if year_first else (parts[2], parts[1], parts[0])))  # a, b: month, day as usual
+    n, swapped = _day(year, a, b), False
+    if n is None and not year_first:
+        n, swapped = _day(year, b, a), True
+    if n is None:
         return None
-    d = first + timedelta(moved(n, 11, 6641, key, back) if n < 73_051 - 2 else n)
-    if not 0 <= (d - first).days < days:  # 11 * 6641 is two more than the days: walk on
-        d = first + timedelta(moved((d - first).days, 11, 6641, key, back))
-    iso = d.isoformat().split("-")
-    return sep.join(iso if len(parts[0]) == 4 else reversed(iso))
+    rest = [p for p in parts if len(p) != 4]
+    padded = all(len(p) == 2 for p in rest)
+    late = (_FIRST + timedelta(n)).day > 12
+    while True:  # walks until inside the range, and to a date that is as free to be read in another order as this one
+        n = moved(n, *_HALVES, key, back)
+        if n < _DAYS and ((d := _FIRST + timedelta(n)).day > 12) == late:
+            break
+    low, high = (d.day, d.month) if swapped else (d.month, d.day)
+    texts = [f"{x:02d}" if padded else str(x) for x in (low, high)]
+    return sep.join([f"{d.year}", *texts] if year_first else [*reversed(texts), f"{d.year}"])
 
 
 def _ip(v: str, key: bytes, back: bool) -> str | None:
+    if ":" in v:
+        try:
+            n = int(ipaddress.IPv6Address(v))
+        except ValueError:
+            return None
+        if v.count(":") < 7 and "::" not in v:
+            return None
+        return str(ipaddress.IPv6Address(moved(n, 1 << 64, 1 << 64, key, back)))
     parts = [int(p) for p in v.split(".")]
     if max(parts) > 255 or any(len(p) > 1 and p[0] == "0" for p in v.split(".")):
         return None
@@ -149,9 +187,17 @@ def _iban(v: str, key: bytes, back: bool) -> str | None:
 
 
 def _phone(v: str, key: bytes, back: bool) -> str | None:
+    """The code after a plus stays: its digits up to the first separator, or else all before the last ten or seven digits."""
     digits = re.sub(r"\D", "", v)
-    code, rest = digits[:-10], digits[-10:]
-    return _refill(v, code + move_text(rest, key + code.encode(), back=back))
+    code = ""
+    if v[0] == "+":
+        code = re.match(r"\+(\d{1,3})(?!\d)", v)
+        code = code[1] if code else digits[: max(1, len(digits) - 10)]
+    rest = digits[len(code) :]
+    if not 7 <= len(digits) <= 15 or len(rest) < 6:
+        return None
+    same = "" if code == "1" and len(rest) == 10 else code  # such numbers are the same with and without the code
+    return _refill(v, code + move_text(rest, key + same.encode(), back=back))
 
 
 def _ssn(v: str, key: bytes, back: bool) -> str | None:
@@ -176,6 +222,8 @@ def _card(v: str, key: bytes, back: bool) -> str | None:
 
 
 def _secret(v: str, key: bytes, back: bool) -> str | None:
+    if prefix := next((p for p in KEY_PREFIXES if v.startswith(p)), ""):
+        return prefix + move_text(v[len(prefix) :], key + prefix.encode(), back=back) if any(c.isalnum() for c in v[len(prefix) :]) else None
     upper = any(c in "ABCDEF" for c in v)
     if upper and any(c in "abcdef" for c in v) or not any(c.isdigit() for c in v):
         return None
@@ -195,21 +243,22 @@ def replace(text: str, key: bytes, counts: dict[str, int] | None = None) -> str:
     """The text with pseudonyms; counts: gets the number of values of each kind."""
 
     def of(m: re.Match) -> str:
-        new = pseudonym(m.lastgroup, m[0], key)
+        kind = next(k for k in KINDS if m[k] is not None)
+        new = pseudonym(kind, m[0], key)
         if new is None:
             return m[0]
         if counts is not None:
-            counts[m.lastgroup] = counts.get(m.lastgroup, 0) + 1
+            counts[kind] = counts.get(kind, 0) + 1
         return new
 
     return PATTERN.sub(of, text)
 
 
-_DIGIT_OR_AT = np.array([48 <= b <= 57 or b == 64 for b in range(256)], bool)
+_DIGIT_OR_AT = np.array([48 <= b <= 57 or b in b"@_-:" for b in range(256)], bool)
 
 
 def suspects(texts: pa.Array) -> np.ndarray:
-    """Whether a text has a digit or an at sign, without which it holds no value."""
+    """Whether a text has a digit, an at sign or what joins a key's parts, without which it holds no value."""
     raw, at = byte_view(texts)
     before = np.zeros(len(raw) + 1, np.int64)
     np.cumsum(_DIGIT_OR_AT[raw], out=before[1:])
