@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from sceneqa.operators import matching as M
 from sceneqa.plans.label import complete
 from sceneqa.queries.registry import query
 from sceneqa.sources.tables import table
-from sceneqa.streaming.resume import append_once, hourly_counts, read_new
+from sceneqa.streaming.resume import append_once, hourly_counts, read_new, shared_dir
 
 
 def _boxes(spark, sf):
@@ -61,8 +60,7 @@ def hourly_windows(spark, sf):
 
 @query("select event_id, user_id, event_type from events")
 def stream_resume(spark, sf):
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sceneqa-stream-")
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     table(spark, sf, "events").select("event_id", "user_id", "event_type").repartition(4, "event_id").write.parquet(f"{base}/in")
     for _ in range(2):  # the second run finds nothing new
         append_once(read_new(spark, f"{base}/in", "event_id bigint, user_id bigint, event_type string"), f"{base}/out", f"{base}/state", ["event_id"])
