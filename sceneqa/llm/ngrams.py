@@ -13,6 +13,9 @@ large the corpus is.
 
 Keys of n-grams have 20 bits more than their number needs, keys of words all 64 bits of their hashes.
 
+train() stores a model: the distinct n-grams of training texts with their counts, shard by shard. score() with such a model
+learns nothing from its documents; the model's shards answer their requests as the chunks of a corpus would.
+
 Null and empty texts consist of the end token. Repeated rows are scored, and counted if they are for training, each time they
 stand. A row without doc_id is not for training. Without any training text all counts are 0. An empty table gives no rows.
 Further columns are ignored.
@@ -162,6 +165,9 @@ def _uncounted(raw: bytes, n: int) -> np.ndarray:
     return out
 
 
+REQUESTS = "shard bigint, n bigint, chunk bigint, keys binary, counts binary"
+
+
 def requests(table: DataFrame, bits: int, key_bits: int) -> DataFrame:
     """shard, n (order), chunk, keys, counts."""
 
@@ -175,7 +181,7 @@ def requests(table: DataFrame, bits: int, key_bits: int) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["shard", "n", "chunk", "keys", "counts"])
 
-    return table.mapInArrow(run, "shard bigint, n bigint, chunk bigint, keys binary, counts binary")
+    return table.mapInArrow(run, REQUESTS)
 
 
 def answers(asked: DataFrame) -> DataFrame:
@@ -195,7 +201,7 @@ def answers(asked: DataFrame) -> DataFrame:
         total = np.empty(len(flat), np.int64)
         total[order] = np.repeat(sums, np.diff(np.r_[first, len(flat)]))
         ends = np.cumsum(sizes)
-        out = [(c, n, shard, _counts(total[e - k : e]), 0) for c, k, e in zip(table["chunk"].to_pylist(), sizes, ends.tolist(), strict=True)]
+        out = [(c, n, shard, _counts(total[e - k : e]), 0) for c, k, e in zip(table["chunk"].to_pylist(), sizes, ends.tolist(), strict=True) if c >= 0]
         if n == 1:
             out.append((-1, n, shard, b"", int((sums > 0).sum())))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
@@ -305,9 +311,47 @@ def scored(table: DataFrame, told: DataFrame, bits: int, key_bits: int, total: i
     return table.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, RESULT)
 
 
-def score(docs: DataFrame, held_out, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row. held_out: a boolean Column."""
+#: The chunk that a stored model's rows have.
+MODEL = -2
+
+
+def train(docs: DataFrame, path: str, held_out=None, bits: int = 8, key_bits: int = 60) -> None:
+    """Stores the model of the rows that aren't held out under a folder that all executors share: grams (the shards' distinct
+    n-grams and their counts) and totals, one row. bits: of the number of shards.
+    """
+    ws = Workspace(docs.sparkSession, "ngrams-train")
+    table = ws.table(chunks(docs, F.lit(False) if held_out is None else held_out), "chunks")
+
+    def run(table: pa.Table) -> pa.Table:
+        n, shard = table["n"][0].as_py(), table["shard"][0].as_py()
+        keys = [unpack_sorted(x) for x in table["keys"].to_pylist()]
+        counts = np.concatenate([_uncounted(x, len(k)) for x, k in zip(table["counts"].to_pylist(), keys, strict=True)])
+        kinds, back = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.bincount(back, counts, len(kinds)).astype(np.int64)
+        row = {"shard": shard, "n": n, "chunk": MODEL, "keys": pack_sorted(kinds[sums > 0]), "counts": _counts(sums[sums > 0]), "distinct": int((sums > 0).sum())}
+        return pa.Table.from_pylist([row], pa.schema([(k, pa.binary() if k in ("keys", "counts") else pa.int64()) for k in row]))
+
+    merged = requests(table, bits, key_bits).groupBy("n", "shard").applyInArrow(run, f"{REQUESTS}, distinct bigint")
+    merged.write.option("compression", "zstd").parquet(f"{path}/grams")
+    grams = docs.sparkSession.read.schema(f"{REQUESTS}, distinct bigint").parquet(f"{path}/grams")
+    types = grams.where("n = 1").agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("types"))
+    total = table.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)).alias("tokens"))
+    total.join(F.broadcast(types)).withColumns({"bits": F.lit(bits), "key_bits": F.lit(key_bits)}).write.parquet(f"{path}/totals")
+
+
+def score(docs: DataFrame, held_out, weights: tuple[float, ...] = WEIGHTS, model: str | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row. held_out: a boolean Column.
+
+    model: the folder of a stored model, which then is all there is to learn from; every row counts as held out.
+    """
     ws = Workspace(docs.sparkSession, "ngrams")
+    if model:
+        known = docs.sparkSession.read.parquet(f"{model}/totals").first()
+        grams = docs.sparkSession.read.schema(REQUESTS).parquet(f"{model}/grams")
+        table = ws.table(chunks(docs, F.lit(True)), "chunks")
+        told = ws.table(answers(requests(table, known.bits, known.key_bits).union(grams)).where("chunk >= 0"), "told")
+        ws.release()
+        return scored(table, told, known.bits, known.key_bits, known.tokens, known.types, weights)
     table = ws.table(chunks(docs, held_out), "chunks")
     sums = table.agg(F.sum("n_tokens").alias("n"), F.sum("train_tokens").alias("train")).first()
     n = max(1, sums.n or 0)

@@ -142,6 +142,18 @@ def test_lm_scores_match_a_plain_model(docs):
         assert a[6] == pytest.approx(b[6], abs=3e-4 * b[2])
 
 
+def test_a_stored_model_scores_further_texts(docs, spark, tmp_path):
+    """Texts scored by a stored model get what they get where the training texts stand beside them."""
+    later = [(500 + i, prose(i, 30) + " unseen words") for i in range(6)] + [(600, None)]
+    batch = spark.createDataFrame(later, "doc_id bigint, text string")
+    ngrams.train(docs.where("doc_id is not null"), f"file://{tmp_path}/model", bits=3)
+    got = rows(ngrams.score(batch, F.lit(False), model=f"file://{tmp_path}/model"))
+    both = docs.where("doc_id is not null").select("doc_id", "text").union(batch)
+    want = rows(ngrams.score(both, F.col("doc_id") >= 500).where("doc_id >= 500"))
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert [x for r in got for x in r[5:]] == pytest.approx([x for r in want for x in r[5:]], abs=1e-9)
+
+
 def test_model_is_a_distribution():
     """The probabilities of all continuations of a context sum to one."""
     words = np.sort(ngrams.mix(np.arange(6, dtype=np.uint64)))
