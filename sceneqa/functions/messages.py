@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sceneqa.functions.text import parse_refs, strip
+from sceneqa.functions.text_udf import math_value
 
 GROUNDING = "struct<reasoning:string,grounding:array<struct<image_idx:int,camera:string,ref:string>>,answer:string>"
 LABELLED_BOX = r"([A-Za-z][\w \-]*?)\s*\(Image (\d+)(?:\s*\([^)]*\))?\s*bbox\[(-?\d+),\s*(-?\d+),\s*(-?\d+),\s*(-?\d+)\]\)"
@@ -71,9 +72,12 @@ def mcq_rewrite(options: Column, answer: Column) -> tuple[Column, Column]:
 
 
 def math_equal(a: Column, b: Column, tolerance: float = 1e-6) -> Column:
-    """Equal as text, or as numbers within a tolerance; nothing is evaluated."""
-    x, y = F.trim(a).try_cast("double"), F.trim(b).try_cast("double")
-    return F.coalesce((F.trim(a) == F.trim(b)) | (F.abs(x - y) < tolerance), F.lit(False))
+    """Equal as text whatever the case, or as numbers within a tolerance; plain numbers natively, expressions by math_value()."""
+    p, q = (F.lower(strip(x)) for x in (a, b))
+    plain = (p == q) | (F.abs(p.try_cast("double") - q.try_cast("double")) < tolerance)
+    unsure = ~F.coalesce(plain, F.lit(False)) & p.isNotNull() & q.isNotNull() & (p.try_cast("double").isNull() | q.try_cast("double").isNull())
+    x, y = (math_value(F.when(unsure, strip(v))) for v in (a, b))
+    return F.coalesce(plain | (F.abs(x - y) < tolerance), F.abs(x - y) < tolerance, F.lit(False))
 
 
 def swap_words(text: Column, a: str, b: str) -> Column:

@@ -5,7 +5,10 @@ Each is guarded by a native test first, so rows that hold nothing to edit never
 
 from __future__ import annotations
 
+import ast
 import json
+import math
+import operator
 import re
 
 import pandas as pd
@@ -206,28 +209,58 @@ def token_roles(start: int, end: int, answer: list[int], quote: int):
     return roles
 
 
-def first_contact(gap, horizon: float = 10.0, step: float = 0.05, fine: float = 1e-3) -> float | None:
-    """The first time at which gap(t) <= 0: steps, then halving of the step in which it happens."""
-    if gap(0.0) <= 0:
-        return 0.0
-    t = 0.0
-    while t < horizon:
-        later = min(t + step, horizon)
-        if gap(later) <= 0:
-            lo, hi = t, later
-            while hi - lo > fine:
-                mid = (lo + hi) / 2
-                lo, hi = (lo, mid) if gap(mid) <= 0 else (mid, hi)
-            return hi
-        t = later
-    return None
+_SIGNS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Mod: operator.mod, ast.FloorDiv: operator.floordiv, ast.USub: operator.neg, ast.UAdd: operator.pos}
+_CALLS = {"sqrt": math.sqrt, "sin": math.sin, "cos": math.cos, "tan": math.tan, "log": math.log10, "ln": math.log, "exp": math.exp, "abs": abs}
+#: LaTeX and how Python writes it, in order.
+_LATEX = [
+    (r"\\left|\\right|\\!|\\,|\\;|\\ |\$|\^\s*\{?\\circ\}?|\\%", ""), (r"\\text\s*\{[^{}]*\}", ""), (r"\\[dt]frac", r"\\frac"), (r"\\frac\s*(\d)\s*(\d)", r"((\1)/(\2))"),
+    (r"\\(?:cdot|times)", "*"), (r"\\div", "/"), (r"\\pi|π", "(pi)"), (r"\\(sin|cos|tan|log|ln|exp)", r"\1"), (r"−", "-"),
+]
 
 
-@pandas_udf(DoubleType())
-def ttc_quadratic(px: pd.Series, py: pd.Series, vx: pd.Series, vy: pd.Series, ax: pd.Series, ay: pd.Series, rx: pd.Series, ry: pd.Series) -> pd.Series:
-    """Time to contact of boxes in accelerated relative motion; null without one."""
+def number(text: str | None) -> float | None:
+    """The value of an arithmetic expression, in Python's or LaTeX's notation; null if it is none, or too large. Nothing else is evaluated."""
+    if text is None or len(text) > 500:
+        return None
+    for pattern, new in _LATEX:
+        text = re.sub(pattern, new, text)
+    before = None
+    while before != text:  # from the inside out
+        before = text
+        text = re.sub(r"\\frac\s*\{([^{}]*)\}\s*\{([^{}]*)\}", r"((\1)/(\2))", text)
+        text = re.sub(r"\\sqrt\s*\[([^][]*)\]\s*\{([^{}]*)\}", r"((\2)**(1/(\1)))", text)
+        text = re.sub(r"\\sqrt\s*(?:\{([^{}]*)\}|(\d))", lambda m: f"sqrt({m[1] or m[2]})", text)
+        text = re.sub(r"\^\s*\{([^{}]*)\}", r"**(\1)", text)
+    text = text.replace("^", "**").replace("{", "(").replace("}", ")")
+    text = re.sub(r"(?<=[\d)])\s*(?=\(|[a-z])", "*", re.sub(r"(?<=\d),(?=\d{3}\b)", "", text))
+
+    def of(node: ast.AST) -> float:
+        match node:
+            case ast.Expression(body=body):
+                return of(body)
+            case ast.Constant(value=int() | float()):
+                return node.value
+            case ast.Name(id="pi"):
+                return math.pi
+            case ast.Name(id="e"):
+                return math.e
+            case ast.UnaryOp(op=op, operand=x) if type(op) in _SIGNS:
+                return _SIGNS[type(op)](of(x))
+            case ast.BinOp(left=x, op=ast.Pow(), right=y):
+                return float(of(x)) ** float(of(y))
+            case ast.BinOp(left=x, op=op, right=y) if type(op) in _SIGNS:
+                return _SIGNS[type(op)](of(x), of(y))
+            case ast.Call(func=ast.Name(id=name), args=[x], keywords=[]) if name in _CALLS:
+                return _CALLS[name](of(x))
+        raise ValueError("not arithmetic")
+
+    try:
+        value = of(ast.parse(text.strip(), mode="eval"))
+        return float(value) if not isinstance(value, complex) and math.isfinite(value) else None
+    except (SyntaxError, ValueError, ArithmeticError, TypeError, RecursionError, MemoryError):
+        return None
 
-    def one(px, py, vx, vy, ax, ay, rx, ry):
-        return first_contact(lambda t: max(abs(px + vx * t + ax * t * t / 2) - rx, abs(py + vy * t + ay * t * t / 2) - ry))
 
-    return pd.Series([one(*r) for r in zip(px, py, vx, vy, ax, ay, rx, ry, strict=True)], dtype="float64")
+@pandas_udf(DoubleType())
+def math_value(text: pd.Series) -> pd.Series:
+    return pd.Series([number(t) for t in text], dtype="float64")

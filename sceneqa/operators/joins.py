@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sceneqa.operators.windows import last_write
@@ -51,7 +51,8 @@ def batch_lookup(wanted: DataFrame, table: DataFrame, key: str, order: str) -> D
 
 def instantiate(templates: DataFrame, values: list[DataFrame], seed: str, most: int, template_key: str) -> DataFrame:
     """The first `most` combinations of values for each template in the order of a hash. Values are dimensions of a few
-    rows by contract (placeholders of a question template), which is what makes one array of each safe.
+    rows by contract (placeholders of a question template), which is what makes one array of each safe. Combinations are
+    ranked where they arise, and no more than `most` of a template leave a task.
     """
     # the values travel as one array each, so a template multiplies within its own row
     rows, names = templates, [v.columns[0] for v in values]
@@ -59,5 +60,5 @@ def instantiate(templates: DataFrame, values: list[DataFrame], seed: str, most:
         lists = v.agg(F.collect_set(name).alias(f"_{name}"))
         rows = rows.crossJoin(F.broadcast(lists)).withColumn(name, F.explode(f"_{name}")).drop(f"_{name}")
     rank = F.md5(F.concat_ws("|", F.lit(seed), template_key, *names).cast("binary"))
-    picked = rows.withColumn("_rank", rank).groupBy(template_key).agg(F.slice(F.array_sort(F.collect_list(F.struct("_rank", *names))), 1, most).alias("_p"))
-    return picked.select(template_key, F.posexplode("_p").alias("ord", "_c")).select(template_key, "ord", *[f"_c.{n}" for n in names])
+    ord_ = F.row_number().over(Window.partitionBy(template_key).orderBy(rank, *names))
+    return rows.withColumn("ord", ord_).where(F.col("ord") <= most).select(template_key, (F.col("ord") - 1).alias("ord"), *names)

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sceneqa.functions.geometry import rigid_inverse
+from sceneqa.operators.sampling import uniform
 from sceneqa.operators.windows import last_write
 
+#: The cameras of a sample, which it must have (fixed values).
+CAMERAS = ["CAM_FRONT_LEFT", "CAM_FRONT", "CAM_FRONT_RIGHT", "CAM_BACK_LEFT", "CAM_BACK", "CAM_BACK_RIGHT"]
+
 
 def point_lookup(df: DataFrame, key: str, value: int) -> DataFrame:
     """The row of a key; fails on reading if there is none."""
@@ -16,6 +21,20 @@ def point_lookup(df: DataFrame, key: str, value: int) -> DataFrame:
     return checked.join(found, F.col("_k") == F.col(key), "left").drop("_k")
 
 
+def camera_records(samples: DataFrame, cameras: str = "cameras") -> DataFrame:
+    """Each camera with the transform from the vehicle to it (ego2sensor_rotation, a matrix, and ego2sensor_translation) beside its
+    own rotation (a quaternion) and translation. Reading a sample that lacks one of the six fails.
+    """
+
+    def whole(name: str) -> Column:
+        cam = F.try_element_at(cameras, F.lit(name))
+        cam = F.when(cam.isNull(), F.raise_error(F.concat(F.lit(f"camera {name} not found in sample "), F.col("sample_idx").cast("string"))).cast(samples.schema[cameras].dataType.valueType)).otherwise(cam)
+        rotation, translation = rigid_inverse(cam["rotation"], cam["translation"])
+        return cam.withField("ego2sensor_rotation", rotation).withField("ego2sensor_translation", translation)
+
+    return samples.withColumn(cameras, F.create_map(*[x for name in CAMERAS for x in (F.lit(name), whole(name))]))
+
+
 def scene_filter(df: DataFrame, token: str, column: str = "scene_token") -> DataFrame:
     if not token:
         raise ValueError("empty scene token")
@@ -68,24 +87,24 @@ def level_histogram(df: DataFrame, key: str, level: str, levels: list[str]) -> D
 
 def three_stage_draw(buckets: DataFrame, weights: dict[int, float], draws: int, seed: int) -> DataFrame:
     """draw, view, category, row: a view by weight, a category of it uniformly, a row of that uniformly. buckets: view, category, n."""
-    spark = buckets.sparkSession
-    upto, rows = 0.0, []
+    upto, total, bounds = 0.0, sum(weights.values()), []
     for view, w in sorted(weights.items()):
-        rows.append((view, upto, upto + w / sum(weights.values())))
-        upto = rows[-1][2]
-    views = spark.createDataFrame(rows, "view bigint, lo double, hi double")
+        upto += w
+        bounds.append((view, upto / total))
+    place = F.lit(bounds[-1][0])  # whatever rounding leaves over
+    for view, high in reversed(bounds[:-1]):
+        place = F.when(uniform(seed, F.col("id"), "view") < high, view).otherwise(place)
     w = Window.partitionBy("view")
     dim = buckets.withColumn("_k", F.row_number().over(w.orderBy("category")) - 1).withColumn("_m", F.count("*").over(w))
-    base = spark.range(draws).select(F.col("id").alias("draw"), F.rand(seed).alias("_u"), F.rand(seed + 1).alias("_v"), F.rand(seed + 2).alias("_w"))
-    placed = base.join(F.broadcast(views), (F.col("_u") >= F.col("lo")) & (F.col("_u") < F.col("hi"))).select("draw", "view", "_v", "_w")
-    sized = placed.join(F.broadcast(dim.select("view", "_m").distinct()), "view").withColumn("_k", F.floor(F.col("_v") * F.col("_m")).cast("int"))
-    return sized.join(F.broadcast(dim.drop("_m")), ["view", "_k"]).select("draw", "view", "category", F.floor(F.col("_w") * F.col("n")).cast("bigint").alias("row"))
+    placed = buckets.sparkSession.range(draws).select(F.col("id").alias("draw"), place.cast("bigint").alias("view"))
+    sized = placed.join(F.broadcast(dim.select("view", "_m").distinct()), "view").withColumn("_k", F.floor(uniform(seed, F.col("draw"), "category") * F.col("_m")).cast("int"))
+    return sized.join(F.broadcast(dim.drop("_m")), ["view", "_k"]).select("draw", "view", "category", F.floor(uniform(seed, F.col("draw"), "row") * F.col("n")).cast("bigint").alias("row"))
 
 
-def composite_pool(df: DataFrame, p_replay: float, floor: float | None, seed: int) -> DataFrame:
-    """pool of each draw: replay with p; else the grounded floor with its own probability; else current."""
-    rest = F.when(F.rand(seed + 1) < floor, "global").otherwise("current") if floor else F.lit("current")
-    return df.withColumn("pool", F.when(F.rand(seed) < p_replay, "prior").otherwise(rest))
+def composite_pool(df: DataFrame, key: str, p_replay: float, floor: float | None, seed: int) -> DataFrame:
+    """pool of each draw: replay with p; else the grounded floor with its own probability; else current. key: names a draw."""
+    rest = F.when(uniform(seed, F.col(key), "floor") < floor, "global").otherwise("current") if floor else F.lit("current")
+    return df.withColumn("pool", F.when(uniform(seed, F.col(key), "replay") < p_replay, "prior").otherwise(rest))
 
 
 def expected_pools(p_replay: float, floor: float | None) -> dict[str, float]:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,12 @@ def hash_order(seed: str, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys]).cast("binary"))
 
 
+def uniform(seed: int, *keys: Column | str) -> Column:
+    """A number in [0, 1) from 32 bits of a hash of the seed and the keys."""
+    named = [F.lit(k) if isinstance(k, str) else k.cast("string") for k in keys]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *named).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
 def stratified(df: DataFrame, by: str, key: str, n: int, seed: str) -> DataFrame:
     """n rows of each stratum (all of a smaller one)."""
     w = Window.partitionBy(by).orderBy(hash_order(seed, by, key), key)
@@ -19,10 +27,12 @@ def stratified(df: DataFrame, by: str, key: str, n: int, seed: str) -> DataFrame
 
 
 def train_val(df: DataFrame, by: str, key: str, cap: int, seed: str) -> DataFrame:
-    """split = val for the first min(cap, n // 5) rows of each group in hash order, else train."""
-    w = Window.partitionBy(by)
-    r = F.row_number().over(w.orderBy(hash_order(seed, by, key), key))
-    return df.withColumn("split", F.when(r <= F.least(F.lit(cap), F.floor(F.count("*").over(w) / 5)), "val").otherwise("train"))
+    """split = val for the first min(cap, n // 5) rows of each group in hash order, else train. Only cap rows of a group are ranked."""
+    w = Window.partitionBy(by).orderBy(hash_order(seed, by, key), key)
+    first = df.select(by, key).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap)  # the limit goes before the shuffle
+    sizes = df.groupBy(by).agg(F.floor(F.count("*") / 5).alias("_most"))
+    val = first.join(sizes, by).where(F.col("_r") <= F.col("_most")).select(by, key, F.lit(True).alias("_val")).dropDuplicates([by, key])
+    return df.join(val, [by, key], "left").withColumn("split", F.when(F.col("_val"), "val").otherwise("train")).drop("_val").select(*df.columns, "split")
 
 
 def percent(df: DataFrame, key: str, pct: int, seed: str, buckets: int = 1024) -> DataFrame:
@@ -76,37 +86,47 @@ def capped_weights(weights: list[float], cap: float) -> list[float]:
 
 def two_stage_draw(plan: DataFrame, draws: int, seed: int) -> DataFrame:
     """draws rows of (draw, category, row): a category uniformly, then one of its rows, with replacement."""
-    spark = plan.sparkSession
-    dim = plan.withColumn("_k", F.row_number().over(Window.orderBy("category")) - 1).withColumn("_m", F.count("*").over(Window.partitionBy()))
-    base = spark.range(draws).select(F.col("id").alias("draw"), F.rand(seed).alias("_u"), F.rand(seed + 1).alias("_v"))
-    many = dim.agg(F.max("_m").alias("many"))
-    placed = base.crossJoin(F.broadcast(many)).withColumn("_k", F.floor(F.col("_u") * F.col("many")).cast("int"))
-    return placed.join(F.broadcast(dim), "_k").select("draw", "category", F.floor(F.col("_v") * F.col("n")).cast("bigint").alias("row"))
+    dim = plan.withColumn("_k", F.row_number().over(Window.orderBy("category")) - 1)  # a row for each category
+    many = plan.count()
+    base = plan.sparkSession.range(draws).select(F.col("id").alias("draw"), F.floor(uniform(seed, F.col("id"), "category") * many).cast("int").alias("_k"))
+    return base.join(F.broadcast(dim), "_k").select("draw", "category", F.floor(uniform(seed, F.col("draw"), "row") * F.col("n")).cast("bigint").alias("row"))
+
+
+PACKED = "batch bigint, bin bigint, key bigint, size bigint"
 
 
 def bin_pack(df: DataFrame, key: str, size: str, capacity: int, batch: int = 256) -> DataFrame:
     """batch, bin, key, size: first fit by falling size within batches of so many rows in key order.
 
-    A batch is one group of bounded size, so packing never gathers more than that; larger rows get a bin of their own.
+    Rows are sorted over range partitions, and each partition is cut into batches of `batch` rows as it streams by, the last
+    one shorter; so sparse and repeated keys fill batches like any other. Larger rows than the capacity get a bin of their own.
     """
-    numbered = df.select(F.col(key).alias("key"), F.col(size).cast("bigint").alias("size")).withColumn("batch", F.floor(F.col("key") / batch).cast("bigint"))
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "key"], ascending=[False, True])
+    def pack(rows: list[tuple[int, int]], number: int) -> pa.RecordBatch:
+        rows = sorted(rows, key=lambda r: (-r[1], r[0]))
         room: list[int] = []
         bins = []
-        for s in rows["size"]:
-            for i, left in enumerate(room):
-                if s <= left:
-                    room[i] -= s
-                    break
-            else:
-                i = len(room)
-                room.append(max(0, capacity - s))
+        for _, s in rows:
+            i = next((i for i, left in enumerate(room) if s <= left), len(room))
+            if i == len(room):
+                room.append(max(capacity, s))
+            room[i] -= s
             bins.append(i)
-        return rows.assign(bin=bins)[["batch", "bin", "key", "size"]]
+        columns = [[number] * len(rows), bins, [k for k, _ in rows], [s for _, s in rows]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in PACKED.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, number = [], TaskContext.get().partitionId() << 32
+        for rows in batches:
+            held += zip(*(c.to_pylist() for c in rows.columns), strict=True)
+            while len(held) >= batch:
+                yield pack(held[:batch], number)
+                held, number = held[batch:], number + 1
+        if held:
+            yield pack(held, number)
 
-    return numbered.groupBy("batch").applyInPandas(pack, "batch bigint, bin bigint, key bigint, size bigint")
+    rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(size).cast("bigint").alias("size"))
+    return rows.repartitionByRange("key", "size").sortWithinPartitions("key", "size").mapInArrow(run, PACKED)
 
 
 def assert_shares(observed: DataFrame, expected: DataFrame, key: str, tolerance: float = 0.02) -> DataFrame:
@@ -114,5 +134,3 @@ def assert_shares(observed: DataFrame, expected: DataFrame, key: str, tolerance:
     both = observed.join(expected, key, "full")
     both = both.select(key, F.coalesce("observed", F.lit(0.0)).alias("observed"), F.coalesce("expected", F.lit(0.0)).alias("expected"))
     return both.withColumn("ok", F.abs(F.col("observed") - F.col("expected")) <= tolerance)
-
-

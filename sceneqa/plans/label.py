@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: prompt, attempt -> answer
 Completer = Callable[[str, int], str]
+#: Seconds that back-off waits at most (fixed value).
+LONGEST_WAIT = 10.0
 
 
-def complete(df: DataFrame, key: str, prompt: str, make: Callable[[], Completer], valid: Callable[[str], bool], tries: int = 3) -> DataFrame:
+def complete(df: DataFrame, key: str, prompt: str, make: Callable[[], Completer], valid: Callable[[str], bool], tries: int = 3, wait: float = 0.0) -> DataFrame:
     """key, answer, attempts, error for each row. `make` builds the client once per task, on the executor.
 
-    A row whose call raises keeps the message as error; one without a valid answer after all tries has error `invalid`.
+    An answer that isn't valid and a call that raises are tried again, the latter after wait * 2 ** attempt seconds (LONGEST_WAIT
+    at most). A row without a valid answer after all tries keeps the last error: its message, or `invalid`.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -28,7 +33,9 @@ def complete(df: DataFrame, key: str, prompt: str, make: Callable[[], Completer]
                         got = client(p, n)
                     except Exception as e:  # noqa: BLE001 - any failure of a client becomes the row's error
                         error = str(e)
-                        break
+                        if n < tries and wait:
+                            time.sleep(min(wait * 2 ** (n - 1), LONGEST_WAIT))
+                        continue
                     if valid(got):
                         answer, error = got, None
                         break
@@ -37,3 +44,22 @@ def complete(df: DataFrame, key: str, prompt: str, make: Callable[[], Completer]
             yield pd.DataFrame(out, columns=[key, "answer", "attempts", "error"])
 
     return df.select(key, prompt).mapInPandas(run, f"{key} bigint, answer string, attempts int, error string")
+
+
+def judged(df: DataFrame, key: str, rule: Column, prompt: str, make: Callable[[], Completer], valid: Callable[[str], bool], tries: int = 5, wait: float = 0.0) -> DataFrame:
+    """key, answer, source, extracted: the answer that a rule finds, else a judge's.
+
+    Only rows of which the rule says nothing (null) go to the judge, who is asked up to `tries` times, the attempt telling it how
+    freely to answer. A rule's `Z` is an answer, but counts as not extracted, as does an empty one of a judge who failed.
+    """
+    ruled = df.withColumn("_rule", rule)
+    asked = complete(ruled.where("_rule is null"), key, prompt, make, valid, tries, wait)
+    by_rule = ruled.where("_rule is not null").select(key, F.col("_rule").alias("answer"), F.lit("rule").alias("source"))
+    by_judge = asked.select(key, F.coalesce("answer", F.lit("")).alias("answer"), F.lit("judge").alias("source"))
+    return by_rule.union(by_judge).withColumn("extracted", ~F.col("answer").isin("", "Z"))
+
+
+def equal_by_judge(df: DataFrame, key: str, rule: Column, prompt: str, make: Callable[[], Completer], tries: int = 5) -> DataFrame:
+    """key, correct: what a rule says (true), else whether a judge answers yes."""
+    out = judged(df, key, F.when(rule, F.lit("yes")), prompt, make, lambda a: a.strip().lower()[:2] in ("ye", "no"), tries)
+    return out.select(key, F.lower(F.trim("answer")).startswith("ye").alias("correct"))

@@ -1,13 +1,14 @@
-"""Queries that SQL can't state: matching, average precision, model calls, streams."""
+"""Order-dependent matching, average precision, model calls, streams."""
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sceneqa.operators import matching as M
-from sceneqa.plans.label import complete
+from sceneqa.plans.label import complete, judged
 from sceneqa.queries.registry import query
 from sceneqa.sources.tables import table
 from sceneqa.streaming.resume import append_once, hourly_counts, read_new, shared_dir
@@ -15,21 +16,39 @@ from sceneqa.streaming.resume import append_once, hourly_counts, read_new, share
 
 def _boxes(spark, sf):
     """Line items as true boxes, and shifted ones as predictions, one sample an order."""
-    li = table(spark, sf, "lineitem").where("l_linenumber <= 7")
+    idx = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice"))
+    li = table(spark, sf, "lineitem").withColumn("idx", idx)
     q, n, s = F.col("l_quantity").cast("double"), F.col("l_linenumber"), F.col("l_suppkey")
-    base = [F.col("l_orderkey").alias("sample"), n.cast("int").alias("idx"), (s % 6 + 1).cast("int").alias("view"), F.col("l_returnflag").alias("label")]
+    base = [F.col("l_orderkey").alias("sample"), F.col("idx"), (s % 6 + 1).cast("int").alias("view"), F.col("l_returnflag").alias("label")]
     gt = li.select(*base, F.lit("gt").alias("side"), F.lit(1.0).alias("score"), q.alias("x1"), (n * 3.0).alias("y1"), (q + 20).alias("x2"), (n * 3.0 + 15).alias("y2"))
     d = (s % 9).cast("double")
     pred = li.where(s % 5 != 0).select(*base, F.lit("pred").alias("side"), F.lit(1.0).alias("score"), (q + d).alias("x1"), (n * 3.0).alias("y1"), (q + d + 20).alias("x2"), (n * 3.0 + 15).alias("y2"))
     return gt.union(pred)
 
 
-@query()
+_BOXES = """
+b as (select l_orderkey sample, (row_number() over (partition by l_orderkey order by l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice))::int idx, (l_suppkey % 6 + 1)::int v, l_returnflag f, l_quantity::double q, (l_suppkey % 9)::double d, l_linenumber * 3.0::double n, l_suppkey % 5 <> 0 seen from lineitem),
+g as (select *, row_number() over (partition by sample order by idx) k from b)"""
+#: True boxes in their order, each with the best predicted box of its label (and view) that none before it has.
+_GREEDY = """
+with recursive {boxes},
+c as (select g.sample, g.idx, g.v, g.k, list({{'p': p.idx, 'v': p.v, 'i': x / (600 - x)}} order by x / (600 - x) desc, p.idx) filter (p.idx is not null) as best from g
+ left join (select * from b where seen) p on p.sample = g.sample and p.f = g.f {view},
+ lateral (select greatest(0.0, least(g.q + 20, p.q + p.d + 20) - greatest(g.q, p.q + p.d)) * greatest(0.0, least(g.n, p.n) + 15 - greatest(g.n, p.n)) as x) group by all),
+m as (select sample, 0::bigint k, [0]::int[] used, 0 gt, 0 pred, 0.0::double iou, 0 vg, 0 vp from (select distinct sample from b)
+ union all select sample, k, case when w is null then used else list_append(used, w.p) end, idx, coalesce(w.p, -1), coalesce(w.i, 0), v, coalesce(w.v, -1)
+ from (select m.sample, c.k, m.used, c.idx, c.v, list_filter(c.best, lambda x: not list_contains(m.used, x.p))[1] w from m join c on c.sample = m.sample and c.k = m.k + 1)),
+r as (select sample, gt, pred, iou, vg view_gt, vp view_pred from m where k > 0
+ union all select b.sample, -1, b.idx, 0.0, -1, b.v from b where seen and not exists (select 1 from m where m.sample = b.sample and m.pred = b.idx and m.k > 0))
+"""
+
+
+@query(_GREEDY.format(boxes=_BOXES, view="and p.v = g.v") + "select sample, gt, pred, round(iou, 9) iou, view_gt, view_pred from r")
 def greedy_match(spark, sf):
-    return M.greedy_match(_boxes(spark, sf))
+    return M.greedy_match(_boxes(spark, sf)).withColumn("iou", F.round("iou", 9))
 
 
-@query()
+@query(_GREEDY.format(boxes=_BOXES, view="") + "select view_gt, " + ", ".join(f"count(*) filter (view_pred = {v}) pred_{v}" for v in range(1, 7)) + " from r where gt >= 0 and pred >= 0 group by 1")
 def view_confusion(spark, sf):
     return M.view_confusion(M.greedy_match(_boxes(spark, sf), by_view=False), [1, 2, 3, 4, 5, 6])
 
@@ -39,7 +58,9 @@ def map_eval(spark, sf):
     return M.detection_map(_boxes(spark, sf), (0.5, 0.75, 0.9))
 
 
-@query()
+@query("""
+with c as (select conv_id * 1000 + turn id, length(text) n from conversations where role = 'user')
+select id, case when n % 11 <> 0 then 'Yes' end as answer, (case when n % 11 = 0 then 3 else n % 3 + 1 end)::int attempts, case when n % 11 = 0 then 'stub failure' end as error from c""")
 def llm_stub_pipeline(spark, sf):
     def stub():
         def answer(prompt: str, attempt: int) -> str:
@@ -53,6 +74,21 @@ def llm_stub_pipeline(spark, sf):
     return complete(c, "id", "text", stub, bool)
 
 
+@query("""
+with c as (select conv_id * 1000 + turn id, length(text) n from conversations where role = 'user')
+select id, case when n % 2 = 0 then 'A' when n % 5 = 0 then 'Z' when n % 3 < 2 then 'B' else '' end as answer, case when n % 2 = 0 or n % 5 = 0 then 'rule' else 'judge' end as source,
+ n % 2 = 0 or n % 5 <> 0 and n % 3 < 2 as extracted from c""")
+def judge_after_rules(spark, sf):
+    """Rules first; a judge for the rest, who fails on some whatever the attempt."""
+
+    def judge():
+        return lambda prompt, attempt: "B" if len(prompt) % 3 < min(attempt, 2) else ""
+
+    c = table(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    n = F.length("text")
+    return judged(c, "id", F.when(n % 2 == 0, "A").when(n % 5 == 0, "Z"), "text", judge, bool, tries=3)
+
+
 @query("select time_bucket(interval 1 hour, ts)::varchar as hour, event_type, count(*) n from events group by 1, 2")
 def hourly_windows(spark, sf):
     return hourly_counts(table(spark, sf, "events"), "ts").select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n")

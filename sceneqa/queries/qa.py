@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sceneqa.functions import geometry as G
+from sceneqa.functions import messages as M
 from sceneqa.functions import text_udf as U
 from sceneqa.operators import qa as Q
 from sceneqa.queries.registry import query
@@ -125,9 +127,40 @@ def motion_edits(spark, sf):
     return li.select("l_orderkey", "l_linenumber", edited.alias("e")).select("l_orderkey", "l_linenumber", F.col("e.text").alias("edited"), "e.n")
 
 
-@query()
+@query("""
+with p as (select p_partkey, p_size - 25 - 1.65::double x, (p_partkey % 21 - 10)::double y, radians((p_partkey % 90)::double) t, (p_partkey % 7 - 3)::double vx, (p_size % 5 - 2)::double vy, (p_partkey % 3 - 1)::double / 2 ax from part),
+a as (select *, [{'u': 1.0::double, 'v': 0.0::double, 'r': 2.35 + 2 * abs(cos(t)) + abs(sin(t))}, {'u': 0.0, 'v': 1.0, 'r': 0.95 + 2 * abs(sin(t)) + abs(cos(t))},
+ {'u': cos(t), 'v': sin(t), 'r': 2 + 2.35 * abs(cos(t)) + 0.95 * abs(sin(t))}, {'u': -sin(t), 'v': cos(t), 'r': 1 + 2.35 * abs(sin(t)) + 0.95 * abs(cos(t))}] n from p),
+s as (select a.*, k * 0.05::double / 64 m, k from a, range(0, 12801) r(k)),
+o as (select p_partkey, k, len(list_filter(n, lambda q: abs((x + vx * m + ax / 2 * m * m) * q.u + (y + vy * m) * q.v) > q.r + 0)) = 0 hit from s),
+f as (select p_partkey, min(k) filter (hit and k % 64 = 0 and k > 0) k, bool_or(hit and k = 0) now from o group by 1)
+select p_partkey, case when now then 0 when vx = 0 and vy = 0 and ax = 0 then null else (select min(o.k) from o where o.p_partkey = f.p_partkey and o.hit and o.k > f.k - 64 and o.k <= f.k) end::bigint steps from f join a using (p_partkey)""")
 def ttc_accelerated(spark, sf):
+    """Contact of turned boxes in accelerated motion, in steps of 1/1280 s."""
     d = lambda c: c.cast("double")
-    p = table(spark, sf, "part")
-    args = [d(F.col("p_size") - 25), d(F.col("p_partkey") % 21 - 10), d(F.col("p_partkey") % 7 - 3), d(F.col("p_size") % 5 - 2), d(F.col("p_partkey") % 3 - 1) / 2, F.lit(0.0), F.lit(4.0), F.lit(2.0)]
-    return p.select("p_partkey", F.round(U.ttc_quadratic(*args), 2).alias("ttc"))
+    ego = [F.lit(x) for x in (1.65, 0.0, 0.0, 2.35, 0.95)]
+    other = [d(F.col("p_size") - 25), d(F.col("p_partkey") % 21 - 10), F.radians(d(F.col("p_partkey") % 90)), F.lit(2.0), F.lit(1.0)]
+    v, a = [d(F.col("p_partkey") % 7 - 3), d(F.col("p_size") % 5 - 2)], [d(F.col("p_partkey") % 3 - 1) / 2, F.lit(0.0)]
+    return table(spark, sf, "part").select("p_partkey", F.round(G.ttc_obb(ego, other, v, a) * 1280).cast("bigint").alias("steps"))
+
+
+@query(r"""
+with v as (select l_orderkey, l_linenumber, l_quantity::int q, l_linenumber % 5 k from lineitem)
+select l_orderkey, l_linenumber, k = 0 or k = 1 or k = 2 and q % 2 = 0 or k = 3 as same from v""")
+def math_equality(spark, sf):
+    """Fractions, roots and powers in LaTeX or Python against plain numbers."""
+    q, k = F.col("l_quantity").cast("int"), F.col("l_linenumber") % 5
+    a = F.when(k == 0, F.format_string("\\frac{%d}{4}", q)).when(k == 1, F.format_string("%d**2", q)).when(k == 2, F.format_string("%d", q)).when(k == 3, F.format_string("\\sqrt{%d}", q * q)).otherwise("x + 1")
+    b = F.when(k == 0, (q / 4).cast("string")).when(k == 1, (q * q).cast("string")).when(k == 2, F.format_string("2 \\times %d", F.floor(q / 2).cast("int"))).when(k == 3, q.cast("string")).otherwise("1")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", M.math_equal(a, b).alias("same"))
+
+
+@query("""
+with p as (select p_partkey, p_size % 10 s, (p_partkey % 21 - 10)::double x, (p_size - 25)::double y from part),
+d as (select s, p_partkey, sqrt(x * x + y * y) d, unnest(list_filter([case when x > 2 then 'ahead' when x < -2 then 'behind' end, case when y > 1 then 'left' when y < -1 then 'right' end], lambda z: z is not null)) direction from p)
+select s, direction, arg_min(p_partkey, (d, p_partkey)) nearest from d group by all""")
+def closest_per_direction(spark, sf):
+    """The nearest object of each direction that its label names; one ahead and to the left stands for both."""
+    x, y = (F.col("p_partkey") % 21 - 10).cast("double"), (F.col("p_size") - 25).cast("double")
+    p = table(spark, sf, "part").select((F.col("p_size") % 10).alias("s"), "p_partkey", F.sqrt(x * x + y * y).alias("d"), F.explode(G.directions(G.relative_label(x, y))).alias("direction"))
+    return p.groupBy("s", "direction").agg(F.min(F.struct("d", "p_partkey")).alias("m")).select("s", "direction", F.col("m.p_partkey").alias("nearest"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sceneqa.operators import records as R
 from sceneqa.operators import sampling as S
 from sceneqa.queries.registry import query
 from sceneqa.sources.tables import table
@@ -55,13 +56,33 @@ def view_buckets(spark, sf):
     return S.view_buckets(table(spark, sf, "documents"), views, "lang", 20)
 
 
-@query(None)
+def _uniform(seed: int, key: str, what: str) -> str:
+    return f"('0x' || left(md5('{seed}|' || {key} || '|{what}'), 8))::ubigint::double / 4294967296"
+
+
+@query(f"""
+with p as (select lang category, count(*) n, row_number() over (order by lang) - 1 k, count(*) over () m from documents group by 1),
+d as (select i draw, floor({_uniform(11, "i", "category")} * (select max(m) from p))::int k, {_uniform(11, "i", "row")} v from range(20000) r(i))
+select draw, category, floor(v * n)::bigint as "row" from d join p using (k)""")
 def two_stage_draw(spark, sf):
     plan = table(spark, sf, "documents").groupBy(F.col("lang").alias("category")).agg(F.count("*").alias("n"))
-    drawn = S.two_stage_draw(plan, 20_000, 11)
-    observed = drawn.groupBy("category").agg((F.count("*") / F.lit(20_000.0)).alias("observed"))
-    expected = plan.select("category", (F.lit(1.0) / F.lit(4.0)).alias("expected"))
-    return S.assert_shares(observed, expected, "category")
+    return S.two_stage_draw(plan, 20_000, 11)
+
+
+@query(f"""
+with b as (select ("view" % 3)::bigint v, lang category, count(*) n from (select doc_id % 6 + 1 as "view", lang from documents) group by all),
+p as (select *, row_number() over (partition by v order by category) - 1 k, count(*) over (partition by v) m from b),
+d as (select i draw, case when {_uniform(5, "i", "view")} < 0.2 then 0 when {_uniform(5, "i", "view")} < 0.5 then 1 else 2 end v, {_uniform(5, "i", "category")} c, {_uniform(5, "i", "row")} r from range(8000) t(i))
+select draw, v as "view", category, floor(r * n)::bigint as "row" from d join p using (v) where p.k = floor(c * m)::int""")
+def three_stage_draw(spark, sf):
+    buckets = table(spark, sf, "documents").groupBy(((F.col("doc_id") % 6 + 1) % 3).cast("bigint").alias("view"), F.col("lang").alias("category")).agg(F.count("*").alias("n"))
+    return R.three_stage_draw(buckets, {0: 2.0, 1: 3.0, 2: 5.0}, 8_000, 5)
+
+
+@query(f"""
+select doc_id, case when {_uniform(3, "doc_id", "replay")} < 0.3 then 'prior' when {_uniform(3, "doc_id", "floor")} < 0.25 then 'global' else 'current' end pool from documents""")
+def composite_pool(spark, sf):
+    return R.composite_pool(table(spark, sf, "documents").select("doc_id"), "doc_id", 0.3, 0.25, 3)
 
 
 @query(None)

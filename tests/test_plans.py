@@ -1,13 +1,16 @@
 """Plans and callback edits on fixtures made here."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
+from sceneqa.functions import geometry as G
 from sceneqa.functions import text_udf as U
 from sceneqa.operators import joins, qa, windows
 from sceneqa.operators import matching as M
 from sceneqa.plans import evaluate, scenes
-from sceneqa.plans.label import complete
+from sceneqa.plans.label import complete, equal_by_judge, judged
 
 
 def test_references_expand_by_map():
@@ -46,10 +49,16 @@ def test_token_roles():
     assert U.role_masks([1, 7, 5, 6, 8, 3, 4, 9, 2, 1], 7, 8, [3, 4], 2) == [0, 0, 1, 1, 0, 0, 0, 2, 0, 0]
 
 
-def test_first_contact():
-    assert U.first_contact(lambda t: 1 - t) == pytest.approx(1.0, abs=2e-3)
-    assert U.first_contact(lambda t: -1) == 0.0
-    assert U.first_contact(lambda t: 1.0) is None
+def test_contact_of_turned_boxes(spark):
+    def ttc(other, v, a=(0.0, 0.0)):
+        lit = lambda xs: [F.lit(float(x)) for x in xs]
+        return spark.range(1).select(G.ttc_obb(lit((0, 0, 0, 2, 1)), lit(other), lit(v), lit(a)).alias("t")).first().t
+
+    assert ttc((3, 0, 0, 1, 1), (0, 0)) == 0.0
+    assert ttc((13, 0, 0, 1, 1), (-5, 0)) == pytest.approx(2.0, abs=1e-3)
+    assert ttc((13, 0, 0, 1, 1), (0, 0), (-5, 0)) == pytest.approx(2.0, abs=1e-3)
+    assert ttc((13, 0, math.pi / 2, 1, 3), (-5, 0)) == pytest.approx(1.6, abs=1e-3)
+    assert ttc((13, 9, 0, 1, 1), (-5, 0)) is None and ttc((13, 0, 0, 1, 1), (0.05, 0)) is None and ttc((13, 0, 0, 1, 1), (5, 0)) is None
 
 
 def test_traps_and_skips(spark):
@@ -120,4 +129,22 @@ def test_calls_keep_errors_in_rows(spark):
 
     df = spark.createDataFrame([(1, "a"), (2, "bad")], "id bigint, p string")
     got = {r.id: (r.answer, r.attempts, r.error) for r in complete(df, "id", "p", make, bool).collect()}
-    assert got == {1: ("ok", 2, None), 2: (None, 1, "down")}
+    assert got == {1: ("ok", 2, None), 2: (None, 3, "down")}
+
+
+def test_back_off_and_judges(spark):
+    def flaky():
+        def client(prompt, attempt):
+            if attempt < 3:
+                raise RuntimeError("busy")
+            return "yes it is" if prompt == "good" else "no"
+
+        return client
+
+    df = spark.createDataFrame([(1, "good", "x", "x"), (2, "bad", "x", "y"), (3, "good", "x", "y")], "id bigint, p string, a string, b string")
+    got = {r.id: (r.answer, r.attempts) for r in complete(df, "id", "p", flaky, bool, wait=0.01).collect()}
+    assert got == {1: ("yes it is", 3), 2: ("no", 3), 3: ("yes it is", 3)}
+    same = equal_by_judge(df, "id", F.col("a") == F.col("b"), "p", flaky)
+    assert {r.id: r.correct for r in same.collect()} == {1: True, 2: False, 3: True}
+    source = judged(df, "id", F.when(F.col("id") == 1, "Z"), "p", flaky, bool, tries=2)
+    assert {r.id: (r.answer, r.source, r.extracted) for r in source.collect()} == {1: ("Z", "rule", False), 2: ("", "judge", False), 3: ("", "judge", False)}
