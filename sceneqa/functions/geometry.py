@@ -274,10 +274,10 @@ def sector(x: Column, y: Column) -> Column:
 
 
 def relative_label(x: Column, y: Column, lon: float = 2.0, lat: float = 1.0) -> Column:
-    """ahead / behind / beside, and left / right beyond the lateral margin."""
-    a = F.when(x > lon, "ahead").when(x < -lon, "behind")
-    b = F.when(y > lat, "left").when(y < -lat, "right")
-    return F.coalesce(F.nullif(F.concat_ws("-", a, b), F.lit("")), F.lit("beside"))
+    """ahead, behind or beside, and left, right or center, as in `ahead-left`."""
+    a = F.when(x > lon, "ahead").when(x < -lon, "behind").otherwise("beside")
+    b = F.when(y > lat, "left").when(y < -lat, "right").otherwise("center")
+    return F.concat_ws("-", a, b)
 
 
 def smart_resize(height: Column, width: Column, factor: int = 28, least: int = 3136, most: int = 1_003_520) -> Column:

@@ -25,14 +25,21 @@ EGO = (2.35, 0.95, 1.65)
 
 
 def ego_states(frames: DataFrame) -> DataFrame:
-    """sample_idx, velocity ahead (0 at a scene's end), speed, km/h, band, yaw, command."""
+    """sample_idx, velocity to the next frame (0 at a scene's end), acceleration (0 at both ends), speed, km/h, band, yaw, command
+    (its name with a capital).
+    """
     w = Window.partitionBy("scene_token").orderBy("sample_idx")
     dt = (F.lead("timestamp").over(w) - F.col("timestamp")) / 1e6
-    v = [F.coalesce(F.when(dt > 0, (F.get(F.lead("translation").over(w), i) - F.get("translation", i)) / dt), F.lit(0.0)) for i in range(2)]
+    before = (F.col("timestamp") - F.lag("timestamp").over(w)) / 1e6
+    ahead = [F.when(dt > 0, (F.get(F.lead("translation").over(w), i) - F.get("translation", i)) / dt) for i in range(2)]
+    behind = [F.when(before > 0, (F.get("translation", i) - F.get(F.lag("translation").over(w), i)) / before) for i in range(2)]
+    v = [F.coalesce(x, F.lit(0.0)) for x in ahead]
+    a = [F.coalesce((x - y) / ((dt + before) / 2), F.lit(0.0)) for x, y in zip(ahead, behind, strict=True)]
     names = F.create_map(*[F.lit(x) for kv in COMMANDS.items() for x in kv])
     speed = F.sqrt(v[0] * v[0] + v[1] * v[1])
-    command = F.coalesce(F.try_element_at(names, F.coalesce("navigation", "planning")), F.lit("Unknown"))
-    out = frames.select("sample_idx", "scene_token", G.quat_yaw(F.col("rotation")).alias("yaw"), v[0].alias("vx"), v[1].alias("vy"), speed.alias("speed"), command.alias("command"))
+    name = F.try_element_at(names, F.coalesce("navigation", "planning"))
+    command = F.coalesce(F.concat(F.upper(F.left(name, F.lit(1))), F.substring(name, 2, 100)), F.lit("Unknown"))
+    out = frames.select("sample_idx", "scene_token", G.quat_yaw(F.col("rotation")).alias("yaw"), v[0].alias("vx"), v[1].alias("vy"), a[0].alias("ax"), a[1].alias("ay"), speed.alias("speed"), command.alias("command"))
     return out.withColumn("kmh", F.col("speed") * 3.6).withColumn("motion", G.motion_band(F.col("speed")))
 
 
@@ -51,11 +58,21 @@ def objects(frames: DataFrame, reach: float = 50.0, rear: float | None = None) -
 
 
 def contacts(objects_: DataFrame, ego: DataFrame) -> DataFrame:
-    """Time to contact and risk of each object, its motion taken relative to the own vehicle's speed ahead."""
-    both = objects_.join(ego.select("sample_idx", F.col("speed").alias("own")), "sample_idx")
+    """Time to contact, risk and closing speed of each object. Objects stand in the frame of the own vehicle, into which its velocity and
+    acceleration are turned; boxes keep their headings.
+    """
+    own = [F.col(f"own.{c}") for c in ("yaw", "vx", "vy", "ax", "ay")]
+    both = objects_.join(ego.select("sample_idx", F.struct("yaw", "vx", "vy", "ax", "ay").alias("own")), "sample_idx")
+    c, s = F.cos(own[0]), F.sin(own[0])
+    turned = [[c * x + s * y, c * y - s * x] for x, y in (own[1:3], own[3:5])]
     half_l, half_w, lead = EGO
-    ttc = G.ttc_boxes(F.col("x") - lead, F.col("y"), F.col("vx") - F.col("own"), F.col("vy"), F.get("box", 3) / 2 + half_l, F.get("box", 4) / 2 + half_w)
-    return both.withColumn("ttc", ttc).withColumn("risk", G.risk_band(F.col("ttc"))).drop("own")
+    place = [F.col("x") - lead, F.col("y")]
+    v, a = [F.col("vx") - turned[0][0], F.col("vy") - turned[0][1]], [-x for x in turned[1]]
+    zero = F.lit(0.0)
+    ttc = G.ttc_obb([zero, zero, zero, F.lit(half_l), F.lit(half_w)], [*place, F.get("box", 6), F.get("box", 3) / 2, F.get("box", 4) / 2], v, a)
+    closing = F.coalesce(G.closing_speed(*place, *v), zero)
+    out = both.withColumn("closing", closing).withColumn("ttc", ttc)
+    return out.withColumn("risk", G.risk_band(F.col("ttc"))).drop("own")
 
 
 def scene_summary(objects_: DataFrame) -> DataFrame:

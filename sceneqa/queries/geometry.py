@@ -130,8 +130,8 @@ def motion_bands(spark, sf):
 
 
 @query("""
-select p_partkey, case when x > 2 then case when y > 1 then 'ahead-left' when y < -1 then 'ahead-right' else 'ahead' end when x < -2 then case when y > 1 then 'behind-left' when y < -1 then 'behind-right' else 'behind' end
- else case when y > 1 then 'left' when y < -1 then 'right' else 'beside' end end label from (select p_partkey, p_size - 25 as x, p_partkey % 21 - 10 as y from part)""")
+with p as (select p_partkey, p_size - 25 x, p_partkey % 21 - 10 y from part)
+select p_partkey, case when x > 2 then 'ahead' when x < -2 then 'behind' else 'beside' end || '-' || case when y > 1 then 'left' when y < -1 then 'right' else 'center' end as label from p""")
 def relative_position(spark, sf):
     return table(spark, sf, "part").select("p_partkey", G.relative_label(F.col("p_size") - 25, F.col("p_partkey") % 21 - 10).alias("label"))
 

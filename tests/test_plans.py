@@ -9,7 +9,7 @@ from sceneqa.functions import geometry as G
 from sceneqa.functions import text_udf as U
 from sceneqa.operators import joins, qa, windows
 from sceneqa.operators import matching as M
-from sceneqa.plans import evaluate, scenes
+from sceneqa.plans import evaluate, priors, scenes
 from sceneqa.plans.label import complete, equal_by_judge, judged
 
 
@@ -77,19 +77,47 @@ def test_result_contract(spark):
 
 def test_scene(spark):
     unit = [1.0, 0.0, 0.0, 0.0]
+    left = [math.sqrt(0.5), 0.0, 0.0, math.sqrt(0.5)]  # the vehicle looks along y
     obj = [("car", [10.0, 0.0, 0.0, 4.0, 2.0, 1.5, 0.0], [float("nan"), 0.0]), ("adult", [-30.0, 1.0, 0.0, 1.0, 1.0, 1.8, 0.0], [0.0, 0.0]), ("car", [400.0, 0.0, 0.0, 4.0, 2.0, 1.5, 0.0], [0.0, 0.0])]
-    frames = spark.createDataFrame([(0, "s", 0, [0.0, 0.0, 0.0], unit, None, 2, obj), (1, "s", 1_000_000, [3.0, 4.0, 0.0], unit, 9, 1, []), (2, "t", 2_000_000, [0.0, 0.0, 0.0], unit, 0, 1, [])], scenes.FRAMES)
+    frames = spark.createDataFrame([(0, "s", 0, [0.0, 0.0, 0.0], left, None, 2, obj), (1, "s", 1_000_000, [0.0, 5.0, 0.0], left, 9, 1, []), (2, "s", 2_000_000, [0.0, 12.0, 0.0], left, 6, 1, []), (3, "t", 0, [0.0, 0.0, 0.0], unit, 0, 1, [])], scenes.FRAMES)
     ego = {r.sample_idx: r for r in scenes.ego_states(frames).collect()}
-    assert (ego[0].speed, ego[0].motion, ego[0].command) == (5.0, "moderate", "go straight")
-    assert (ego[1].speed, ego[1].command, ego[2].command) == (0.0, "Unknown", "turn left")
+    assert (ego[0].speed, ego[0].motion, ego[0].command) == (5.0, "moderate", "Go straight")
+    assert (ego[1].speed, ego[1].command, ego[2].command, ego[3].command) == (7.0, "Unknown", "U-Turn", "Turn left")
+    assert (ego[0].ay, ego[1].ay, ego[2].ay) == (0.0, 2.0, 0.0)
     o = scenes.objects(frames, rear=20.0)
-    assert [(r.number, r.name, r.vx, r.place) for r in o.collect()] == [(1, "car", 0.0, "ahead")]
+    assert [(r.number, r.name, r.vx, r.place) for r in o.collect()] == [(1, "car", 0.0, "ahead-center")]
     assert scenes.objects(frames).count() == 2
     hit = scenes.contacts(o, scenes.ego_states(frames)).first()
-    assert hit.ttc == pytest.approx((10 - 1.65 - 4.35) / 5) and hit.risk == "HIGH"
+    assert hit.ttc == pytest.approx((10 - 1.65 - 4.35) / 5, abs=1e-3) and hit.risk == "HIGH" and hit.closing == pytest.approx(5.0)
     assert scenes.scene_summary(o).first().class_counts == {"car": 1}
 
 
+def test_priors(spark):
+    car = ("car", 12.34, 12.0, 3.0, 1.0, 0.0, 1.0, "moving", [2, 3], "ahead-left", 1.5, "HIGH", 0.7)
+    cone = ("traffic_cone", 20.0, -20.0, 0.0, 0.0, 0.0, 0.0, "stationary", [5], "behind-center", None, "NONE", 0.0)
+    kind = f"sample_idx bigint, objects array<{priors.OBJECT}>, ego {priors.EGO}, location string, description string, risk {priors.RISK}"
+    rows = [(1, [car, cone], ("slow", 4.0, 14.4, "Go straight"), "town", "rain", ("Low", None)), (2, [], ("stationary", 0.0, 0.0, "Unknown"), None, None, None)]
+    got = {(r.sample_idx, r.category): r.prior.split("\n") for r in priors.prior_texts(spark.createDataFrame(rows, kind)).collect()}
+    assert len(got) == 20
+    lines = got[1, "Observation"]
+    assert "  OBJ 1: car at distance=12.3m (ahead-left) visible in Image 2 (Front), Image 3 (Front-right)" in lines and lines[-1] == "** Total Objects in Scene: 2 **"
+    assert "  - Image 5 (Rear): 1 objects (traffic_cone)" in lines and "  - Image 1 (Front-left): No objects" in lines and "  - car: 1" in lines
+    assert got[2, "Observation"].count("  - No objects detected") == 2
+    lines = got[1, "Spatial_Relationships_and_Occlusion"]
+    assert lines[-6:-2] == ["  - Ahead: OBJ 1 (car) at 12.3m", "  - Behind: OBJ 2 (traffic_cone) at 20.0m", "  - Left: OBJ 1 (car) at 12.3m", "  - Right: Clear"]
+    assert "  OBJ 2: traffic_cone, distance=20.0m, position=[x=-20.0m behind, y=0.0m right], visible in Image 5 (Rear)" in lines
+    assert "  OBJ 2: traffic_cone at distance=20.0m, visible in Image 5 (Rear)" in got[1, "Traffic_Signs_and_Signals"] and "** No traffic-related objects in 3D annotations **" in got[2, "Traffic_Signs_and_Signals"]
+    lines = got[1, "Dynamic_Agents_and_Risk_Assessment"]
+    assert "    distance=20.0m, velocity=[vx=0.00, vy=0.00] m/s, TTC=∞, Risk=NONE, closing_speed=0.00m/s" in lines
+    assert lines[-7:] == ["** Risk Level Distribution **", "  - HIGH: 1 objects", "  - NONE: 1 objects", "", "** Previous VQA Risk Analysis Summary **", "  - Overall Risk Level: Low", "  - Scene: N/A"]
+    assert got[2, "Dynamic_Agents_and_Risk_Assessment"][-2:] == ["** Risk Level Distribution **", ""]
+    assert [x for x in got[1, "Right_of_Way_and_Planning"] if "OBJ" in x] == ["  OBJ 1: car at distance=12.3m (ahead-left), TTC=1.50s, visible in Image 2 (Front), Image 3 (Front-right)"]
+    assert "  - Speed: 4.00 m/s (14.4 km/h)" in got[1, "Attributes_and_States"] and "  - Motion: SLOW" in got[1, "Attributes_and_States"]
+    lines = got[1, "Causal_and_Hypothetical_Reasoning"]
+    assert "  OBJ 1: car at distance=12.3m, speed=1.00m/s, heading toward, visible in Image 2 (Front), Image 3 (Front-right)" in lines and "  - Estimated stopping distance (comfortable): 2.3m" in lines
+    assert "  - No moving objects detected" in got[2, "Causal_and_Hypothetical_Reasoning"] and "  - Location: None" in got[2, "Environmental_and_Sensor_Conditions"]
+
+
 def test_metrics_keep_failed_samples_in_the_base(spark):
     boxes = spark.createDataFrame([(1, "gt", 0, 1, "a", 0.0, 0.0, 9.0, 9.0), (1, "pred", 0, 1, "a", 0.0, 0.0, 9.0, 9.0), (2, "gt", 0, 1, "a", 0.0, 0.0, 9.0, 9.0), (3, "pred", 0, 1, "a", 0.0, 0.0, 9.0, 9.0)], "sample bigint, side string, idx int, view int, label string, x1 double, y1 double, x2 double, y2 double")
     samples = spark.createDataFrame([(1, "C", True, True), (2, "C", False, False), (3, "C", True, True)], "sample bigint, category string, correct boolean, parsed boolean")
