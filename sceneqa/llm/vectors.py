@@ -370,7 +370,7 @@ def cluster(table: DataFrame, threshold: float = THRESHOLD, report: dict | None
             break
     else:
         report["exact"] = True
-        whole = classes.withColumn("shards", F.array((F.length("vec").cast("bigint") * (1 << 20))))
+        whole = classes.select("rep", "n", "vec", F.array(F.length("vec").cast("bigint") * (1 << 20)).alias("shards"))
         found, links = _searched(ws.table(whole, "assigned-all"), ws, threshold, "all", exact=True)
     log.info("audit of %d vectors with %d links: recall %s%s", report["vectors"], report["links"], report["recall"], ", then compared in full" if report["exact"] else "")
     roots = ws.table(components(found.where("u <> v"), ws), "roots")
