@@ -16,7 +16,9 @@ META_KEYWORDS = [
     "spatial data", "OBJ IDs", "OBJ ids", "OBJ ID", "OBJ id", "object lists", "object list", "does not list", "pre-computed",
     "precomputed", "prior knowledge", "3D detection", "3D object detection", "provided object data", "object detection data",
 ]
-META = r"(?i)[^.!?\n]*\b(?:" + "|".join(META_KEYWORDS) + r")\b[^.!?\n]*[.!?]?\s*"
+#: Where a sentence can begin: a search that starts there alone takes a long sentence once, not once for each of its places.
+BEGIN = r"(?:(?<![^.!?\n])|\G)"
+META = rf"(?i){BEGIN}[^.!?\n]*\b(?:" + "|".join(META_KEYWORDS) + r")\b[^.!?\n]*[.!?]?\s*"
 #: Phrases and what stands for them, in order (fixed values).
 PHRASES = [
     (r"(?i)no objects? with (?:a 3D position or )?OBJ IDs?", "no object"),
@@ -204,7 +206,7 @@ def parse_refs(value: Column) -> Column:
 
 def mask_near(text: Column, word: str, replacement: str) -> Column:
     """Sentences that hold a word give way to a replacement."""
-    return F.regexp_replace(text, rf"(?i)[^.!?\n]*\b{word}\b[^.!?\n]*[.!?]?", replacement)
+    return F.regexp_replace(text, rf"(?i){BEGIN}[^.!?\n]*\b{word}\b[^.!?\n]*[.!?]?", replacement)
 
 
 def task_question(prompt: Column) -> Column:

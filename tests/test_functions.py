@@ -115,6 +115,20 @@ def test_cleansing(spark):
     assert got == [("", 0, 1, 0), ("One.Two!", 0, 1, 0), ("scenes", 0, 0, 1), (None, None, None, None)]
 
 
+def test_sentences_go_as_a_plain_search_takes_them(spark):
+    """The anchored pattern against the plain one, over texts with every kind of border."""
+    import random
+    import re
+
+    rng = random.Random(5)
+    parts = ["object list", "prior knowledge", "spatial data", "a b", "x", ".", "!", "?", "\n", " ", "  ", "\n\n", "Object lists"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(12))) for _ in range(400)] + ["word " * 30_000 + "spatial data"]
+    plain = re.compile(T.META.replace(T.BEGIN, "").replace("(?i)", "(?i)", 1))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [tuple(r) for r in df.select(F.regexp_replace("t", T.META, "#"), F.regexp_count("t", F.lit(T.META))).collect()]
+    assert got[:-1] == [plain.subn("#", t) for t in texts[:-1]] and got[-1] == ("#", 1)
+
+
 def test_greedy_order_and_zero_overlap(spark):
     rows = [
         (1, "gt", 0, 1, "Car ", 0.0, 0.0, 10.0, 10.0),
