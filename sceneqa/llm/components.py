@@ -2,7 +2,8 @@
 
 Each partition first contracts its own edges to stars, so a dense group counts once per partition and member. Each
 step groups with partial aggregation and joins the minimum back as a plain join of two written tables, which Spark
-splits where a node has many edges. The driver sees one count and one checksum a round.
+splits where a node has many edges. The driver sees one count and one checksum a round. Once SMALL edges or fewer are left,
+one task joins them.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ class Forest:
         return nodes, [self.root(x) for x in nodes]
 
 
-#: Edges that a task contracts at once.
-FOREST = 1_000_000
+#: Edges that a task contracts at once, and those that one task joins to the end.
+FOREST, SMALL = 1_000_000, 250_000
 
 
 def contract(edges: DataFrame) -> DataFrame:
@@ -76,6 +77,9 @@ def components(edges: DataFrame, ws: Workspace, name: str = "components") -> Dat
     now = ws.table(contract(edges).distinct(), f"{name}-0")
     check: tuple = ()
     for k in range(1, 64):
+        if now.count() <= SMALL:
+            now = ws.table(contract(now.coalesce(1)), f"{name}-last")
+            break
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = ws.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-{k}-a")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -93,6 +97,8 @@ def components(edges: DataFrame, ws: Workspace, name: str = "components") -> Dat
         if got == check:
             break
         check = got
+    else:
+        raise RuntimeError("components have not settled")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sceneqa.llm import decontaminate, eliasfano, ngrams, packing, pii, quality, simhash, substrings, token_store, toxicity, vectors
+from sceneqa.llm import components, decontaminate, eliasfano, ngrams, packing, pii, quality, simhash, substrings, token_store, toxicity, vectors
 from sceneqa.llm.common import Workspace, crc_column
 
 from .conftest import DOCS, prose
@@ -85,6 +85,18 @@ def test_simhash_hot_buckets_lose_no_link(spark, monkeypatch, bucket):
     assert got == names
 
 
+@pytest.mark.parametrize("small", [0, 250_000])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
+    rng = np.random.default_rng(4)
+    pairs = rng.integers(-150, 150, (120, 2)).tolist() + [[900 + k, 901 + k] for k in range(40)] + [[7, 7], [2**62, -(2**62)]]
+    edges = spark.createDataFrame([tuple(p) for p in pairs], "u bigint, v bigint").repartition(6)
+    got = {r.node: r.root for r in components.components(edges, Workspace(spark, "t")).collect()}
+    nodes = sorted({x for p in pairs for x in p if p[0] != p[1]})
+    linked = {frozenset(p) for p in pairs}
+    assert got == dict(zip(nodes, smallest_reachable(nodes, lambda i, j: frozenset((nodes[i], nodes[j])) in linked), strict=True))
+
+
 def test_near_dedup_keeps_one_of_each_group(docs):
     kept = [r.doc_id for r in simhash.dedup(docs).collect()]
     want = {i for i, n in {r.doc_id: r.component_id for r in simhash.cluster(docs).collect()}.items() if i == n}
