@@ -96,10 +96,12 @@ def islands(ids: np.ndarray, q: int, least: int) -> list[tuple[int, int]]:
 
 def find_runs(ids: np.ndarray, sizes: np.ndarray) -> list[list[tuple[int, int, int]]]:
     """start, length, period of the runs of each document, by start, then period."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in sizes]
+    if not len(ids):
+        return out
     counts, first = lag_counts(ids, sizes)
     q = np.arange(len(counts)) - np.repeat(first[:-1], np.diff(first))
     ready = np.flatnonzero((q > 0) & (counts >= least_matches(q)))
-    out: list[list[tuple[int, int, int]]] = [[] for _ in sizes]
     starts = np.concatenate(([0], np.cumsum(sizes)))
     seen: dict[tuple[int, int, int], None] = {}
     for d, lag in zip((np.searchsorted(first, ready, "right") - 1).tolist(), q[ready].tolist(), strict=True):  # lags rise within a document
