@@ -13,6 +13,7 @@ doesn't fail. An empty table gives no rows.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
 from itertools import permutations
 
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from sceneqa.llm.common import Workspace
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: A text with over 1 / HEAVY of all rows is a heavy one; there are fewer than HEAVY of them.
+HEAVY = 1000
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -47,9 +50,15 @@ def flagged(docs: DataFrame, labels: DataFrame, ws: Workspace, part: str = "lang
     text = F.coalesce("text", F.lit(""))
     read = docs.select("doc_id", F.coalesce(F.col(part), F.lit("")).alias("part"), text.alias("text")).withColumn("words", F.regexp_extract_all("text", F.lit(WORD), 0))
     rows = ws.table(read.select("doc_id", "part", F.unhex(F.sha2("text", 256)).alias("digest"), *[c.alias(f) for f, c in text_failures().items()]), "rows")
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    border = max(1, rows.count() // HEAVY)
+    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    heavy = first.where(F.col("n") > border).select("digest", F.col("first").alias("heavy"))
+    light = first.where(F.col("n") <= border).select(F.col("digest").alias("key"), "first")
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("marked")).agg(*[F.max(F.coalesce(F.col(c) == 1, F.lit(False))).alias(name) for c, name in (("quality", "good"), ("toxic", "toxic"))])
-    both = rows.join(first, "digest", "left").join(marks, F.col("doc_id") == F.col("marked"), "left")
+    # rows of heavy texts find theirs in a broadcast and are then dealt by a key of their own that no digest equals
+    near = rows.join(F.broadcast(heavy), "digest", "left")
+    near = near.withColumn("key", F.when(F.col("heavy").isNull(), F.col("digest")).otherwise(F.monotonically_increasing_id().cast("string").cast("binary")))
+    both = near.join(light, "key", "left").withColumn("first", F.coalesce("heavy", "first")).join(marks, F.col("doc_id") == F.col("marked"), "left")
     fails = {**{f: F.col(f) for f in text_failures()}, "E": F.col("doc_id") > F.col("first"), "good": F.col("good"), "toxic": F.col("toxic")}
     return both.select("part", *[F.coalesce(c, F.lit(False)).alias(f) for f, c in fails.items()])
 
@@ -58,7 +67,7 @@ def edges(rows: DataFrame, filters: Sequence[str], losses: Sequence[str], ws: Wo
     """state (its filters, in order), filter, part, n (survivors of the state), removed, and of these <loss>_lost: a row for each
     part with survivors.
     """
-    path, seen = f"{ws.root}/edges", set()
+    path, seen = f"{ws.root}/edges-{uuid.uuid4().hex}", set()
 
     def visit(survivors: DataFrame, state: frozenset[str]) -> None:
         if state in seen or len(state) == len(filters):
