@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sceneqa.functions.text import contract_reason, strip
+from sceneqa.operators import ordered
 
 #: Bounds of the number of reasoning steps by category, for other categories, and of an absent premise (fixed values).
 BANDS = {
@@ -146,10 +147,10 @@ def drop_reason(score: Column, floor: float, kind: Column, rear: Column) -> Colu
     return F.when(score < floor, "score").when(kind == "not_a_signal", "not_a_signal").when(rear, "rear")
 
 
-def preceding_tag(df: DataFrame, by: str, order: str, tag: str, out: str) -> DataFrame:
-    """The last tag at or before each row of a group."""
-    from pyspark.sql import Window
-
+def preceding_tag(df: DataFrame, by: str | None, order: str, tag: str, out: str) -> DataFrame:
+    """The last tag at or before each row of a group, or without `by` of the whole table."""
+    if by is None:
+        return ordered.locate(df, [order], F.col(tag), out)
     return df.withColumn(out, F.last(tag, True).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 

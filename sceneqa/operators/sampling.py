@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sceneqa.operators import ordered
+from sceneqa.operators.matching import per_key
+
 
 def hash_order(seed: str, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys]).cast("binary"))
@@ -96,37 +95,27 @@ PACKED = "batch bigint, bin bigint, key bigint, size bigint"
 
 
 def bin_pack(df: DataFrame, key: str, size: str, capacity: int, batch: int = 256) -> DataFrame:
-    """batch, bin, key, size: first fit by falling size within batches of so many rows in key order.
+    """batch, bin, key, size: first fit by falling size (ties by key) within batches of so many rows in the order of (key, size).
 
-    Rows are sorted over range partitions, and each partition is cut into batches of `batch` rows as it streams by, the last
-    one shorter; so sparse and repeated keys fill batches like any other. Larger rows than the capacity get a bin of their own.
+    Batches are cut by the running number of a row in the whole table, so they are the same however the table is partitioned.
+    A row larger than the capacity, or of null size, has a bin of its own. Rows of a null key stand first.
     """
 
-    def pack(rows: list[tuple[int, int]], number: int) -> pa.RecordBatch:
-        rows = sorted(rows, key=lambda r: (-r[1], r[0]))
+    def pack(number: int, rows: list[dict]) -> list[tuple]:
         room: list[int] = []
-        bins = []
-        for _, s in rows:
-            i = next((i for i, left in enumerate(room) if s <= left), len(room))
+        out = []
+        for r in rows:
+            s = r["size"]
+            i = len(room) if s is None else next((i for i, left in enumerate(room) if s <= left), len(room))
             if i == len(room):
-                room.append(max(capacity, s))
-            room[i] -= s
-            bins.append(i)
-        columns = [[number] * len(rows), bins, [k for k, _ in rows], [s for _, s in rows]]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in PACKED.split(", ")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, number = [], TaskContext.get().partitionId() << 32
-        for rows in batches:
-            held += zip(*(c.to_pylist() for c in rows.columns), strict=True)
-            while len(held) >= batch:
-                yield pack(held[:batch], number)
-                held, number = held[batch:], number + 1
-        if held:
-            yield pack(held, number)
+                room.append(0 if s is None else max(capacity, s))
+            room[i] -= s or 0
+            out.append((number, i, r["key"], s))
+        return out
 
     rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(size).cast("bigint").alias("size"))
-    return rows.repartitionByRange("key", "size").sortWithinPartitions("key", "size").mapInArrow(run, PACKED)
+    cut = ordered.batches(rows, ["key", "size"], batch).withColumn("falling", -F.col("size"))  # nulls first
+    return per_key(cut, "batch", ["falling", "key"], pack, PACKED)
 
 
 def assert_shares(observed: DataFrame, expected: DataFrame, key: str, tolerance: float = 0.02) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sceneqa.operators import ordered
+
 
 def _w(by: list[str], order: list[str]):
     return Window.partitionBy(*by).orderBy(*order)
@@ -27,14 +29,14 @@ def centred_acceleration(df: DataFrame, by: str, order: str, time_us: str, value
 
 
 def islands(df: DataFrame, order: str, key: str, by: list[str] | None = None) -> DataFrame:
-    """Runs of equal keys in order: island, key, first, last, n. by: runs within these columns alone.
-
-    Without `by` one window holds all rows, as the order of the whole table is asked for.
+    """Runs of equal keys in order: island, key, first, last, n. by: runs within these columns alone, whose groups fit a task;
+    ordered.islands() is for groups that don't, as is the whole table without `by`.
     """
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order)
-    change = F.coalesce((F.col(key) != F.lag(key).over(w)).cast("int"), F.lit(1))
-    numbered = df.withColumn("_change", change).withColumn("island", F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*(by or []), "island", key).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
+    if not by:
+        return ordered.islands(df, order, key)
+    w = Window.partitionBy(*by).orderBy(order)
+    numbered = df.withColumn("_change", F.when(F.col(key) == F.lag(key).over(w), 0).otherwise(1)).withColumn("island", F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*by, "island", key).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
 
 
 def keyframes(df: DataFrame, by: str, order: str, every: int, chunk: int, *token: str) -> DataFrame:
@@ -87,5 +89,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: str, time: str, value: s
 
 
 def running_offset(df: DataFrame, by: list[str], order: list[str], size: str, out: str) -> DataFrame:
-    """The sum of the sizes before each row."""
+    """The sum of the sizes before each row, in each group or, without `by`, in the whole table."""
+    if not by:
+        return ordered.running_offset(df, order, size, out)
     return df.withColumn(out, F.coalesce(F.sum(size).over(_w(by, order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

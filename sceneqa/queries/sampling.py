@@ -85,7 +85,13 @@ def composite_pool(spark, sf):
     return R.composite_pool(table(spark, sf, "documents").select("doc_id"), "doc_id", 0.3, 0.25, 3)
 
 
-@query(None)
+@query("""
+with recursive d as (select doc_id key, n_chars size, (row_number() over (order by doc_id nulls first, n_chars nulls first) - 1) // 256 batch from documents),
+o as (select *, row_number() over (partition by batch order by size desc nulls first, key nulls first) k from d),
+p as (select distinct batch, 0::bigint k, []::bigint[] room, 0::bigint bin, 0::bigint key, 0::bigint size from o union all
+ select batch, k, case when b > 0 then list_concat(list_append(room[:b - 1], room[b] - size), room[b + 1:]) else list_append(room, case when size is null then 0 else greatest(4096, size) - size end) end, case when b > 0 then b - 1 else len(room) end, key, size
+ from (select o.batch, o.k, p.room, o.key, o.size, coalesce(list_position(list_transform(p.room, lambda r: coalesce(r >= o.size, false)), true), 0) b from p join o on o.batch = p.batch and o.k = p.k + 1))
+select batch, bin, key, size from p where k > 0""")
 def bin_pack(spark, sf):
     return S.bin_pack(table(spark, sf, "documents"), "doc_id", "n_chars", 4096)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sceneqa.functions import geometry as G
+from sceneqa.operators import ordered as O
 from sceneqa.operators import windows as W
 from sceneqa.queries.registry import query
 from sceneqa.sources.tables import micros, table
@@ -107,3 +108,46 @@ select e.event_id, e.user_id, max(s.start) scene from e left join s on e.user_id
 def range_locate(spark, sf):
     w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
     return table(spark, sf, "events").select("event_id", "user_id", F.last(F.when(F.col("event_type") == "login", F.col("event_id")), True).over(w).alias("scene"))
+
+
+@query("""
+with d as (select event_id, event_type, case when event_type = lag(event_type) over (order by event_id) then 0 else 1 end chg from events),
+r as (select *, sum(chg) over (order by event_id) island from d)
+select island::bigint island, event_type, min(event_id) "first", max(event_id) "last", count(*) n from r group by 1, 2""")
+def global_islands(spark, sf):
+    """Scenes of the whole log, as a frame list without a scene column gives them."""
+    return W.islands(table(spark, sf, "events"), "event_id", "event_type")
+
+
+@query("select event_id, coalesce(max(case when event_type = 'login' then event_id end) over (order by event_id), -1) scene from events")
+def global_locate(spark, sf):
+    mark = F.when(F.col("event_type") == "login", F.col("event_id"))
+    return O.locate(table(spark, sf, "events").select("event_id", "event_type"), ["event_id"], mark, "scene").select("event_id", F.coalesce("scene", F.lit(-1)).alias("scene"))
+
+
+@query("select doc_id, coalesce(sum(n_chars) over (order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as \"offset\" from documents")
+def global_offsets(spark, sf):
+    return W.running_offset(table(spark, sf, "documents").select("doc_id", "n_chars"), [], ["doc_id"], "n_chars", "offset").select("doc_id", "offset")
+
+
+@query("""
+with d as (select d.doc_id, d.source, l.quality from documents d left join labels l using (doc_id)),
+k as (select source, doc_id kid, quality kq from d where quality is not null)
+select d.doc_id, d.source, arg_min(k.kq, (abs(d.doc_id - k.kid), k.kid)) filled from d left join k on d.source = k.source group by 1, 2""")
+def fill_hot_groups(spark, sf):
+    """nearest_labelled_fill for groups of any size: a source is cut into ranges of doc_id."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return O.nearest_fill(d.select("doc_id", "source", "quality"), "doc_id", "quality", "filled", ["source"]).select("doc_id", "source", "filled")
+
+
+@query("""
+with a as (select event_id, epoch_us(ts) us from events where event_type = 'purchase'),
+b as (select epoch_us(ts) us, max(event_id) eid from events where event_type = 'view' group by 1),
+n as (select a.event_id, a.us, (select max(us) from b where b.us <= a.us) lo, (select min(us) from b where b.us >= a.us) hi from a),
+p as (select event_id, case when us - lo <= 60000000 and (hi is null or us - lo <= hi - us) then lo when hi - us <= 60000000 then hi end us from n)
+select event_id, eid nearest from p left join b on b.us = p.us""")
+def asof_one_key(spark, sf):
+    """The nearest view of any user: all rows have one key."""
+    e = _events(spark, sf)
+    right = e.where("event_type = 'view'").select("us", F.col("event_id").alias("eid"))
+    return O.asof_nearest(e.where("event_type = 'purchase'").select("event_id", "us"), right, "us", "eid", 60_000_000, "nearest").select("event_id", "nearest")
