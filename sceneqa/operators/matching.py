@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MATCH = "sample bigint, gt int, pred int, iou double, view_gt int, view_pred int"
 
 
 def _iou(a, b) -> float:
+    if None in a or None in b:
+        return 0.0
     w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
     common = max(0.0, w) * max(0.0, h)
     union = max(0.0, a[2] - a[0]) * max(0.0, a[3] - a[1]) + max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1]) - common
@@ -51,7 +52,7 @@ def greedy_match(boxes: DataFrame, by_view: bool = True) -> DataFrame:
     """Rows (sample, side 'gt' or 'pred', idx, view, label, x1, y1, x2, y2) to matches.
 
     True boxes in their order each take the best unused predicted box with the same label (and view), even without overlap;
-    equal ones go to the first. gt is -1 for predictions left over, pred is -1 for true boxes without a match.
+    equal ones go to the first. A box with a null coordinate overlaps nothing, a null label is an empty one. gt is -1 for predictions left over, pred is -1 for true boxes without a match.
     """
 
     def match(sample: int, rows: list[dict]) -> list[tuple]:
@@ -83,59 +84,3 @@ def recall_by_view(matches: DataFrame, threshold: float) -> DataFrame:
     """Per true view: boxes, boxes matched with an overlap of the threshold or more, recall."""
     g = matches.where("gt >= 0").groupBy("view_gt").agg(F.count("*").alias("n"), F.count_if((F.col("pred") >= 0) & (F.col("iou") >= threshold)).alias("hit"))
     return g.withColumn("recall", F.col("hit") / F.greatest(F.col("n"), F.lit(1)))
-
-
-#: Ranges of scores within which detections are ranked.
-RANGES = 1024
-
-
-def average_precision(found: DataFrame, by: list[str]) -> DataFrame:
-    """by..., ap, n_gt of rows (by..., score in 0..1, sample, pos, hit, n_gt): the area under the precision-recall steps, precision made
-    monotone, read at 101 recalls. n_gt adds up over all rows; rows with a null score count for that alone. Null without n_gt.
-
-    The order of scores is found within ranges of them; what stands before a range is a sum over the ranges.
-    """
-    total = found.groupBy(*by).agg(F.sum("n_gt").alias("n_gt"))
-    ranged = found.where("score is not null").withColumn("_r", F.floor((1 - F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))) * RANGES))
-    before = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
-    sums = ranged.groupBy(*by, "_r").agg(F.count("*").alias("_n"), F.count_if("hit").alias("_h"))
-    sums = sums.select(*by, "_r", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_n", "_h")])
-    inside = Window.partitionBy(*by, "_r").orderBy(F.desc("score"), "sample", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ranged.select(*by, "_r", F.count("*").over(inside).alias("_k"), F.count_if("hit").over(inside).alias("_t")).join(sums, [*by, "_r"])
-    points = ranked.select(*by, (F.col("_k") + F.col("_n")).alias("_k"), (F.col("_t") + F.col("_h")).alias("_t")).join(total, by)
-    # a detection holds for the recalls up to its own, in hundredths
-    level = F.floor(F.try_divide(100 * F.col("_t"), F.col("n_gt"))).cast("int")
-    best = points.groupBy(*by, level.alias("_l")).agg(F.max(F.col("_t") / F.col("_k")).alias("_p"))  # 101 rows at most
-    upper = Window.partitionBy(*by).orderBy(F.desc("_l")).rowsBetween(Window.unboundedPreceding, 0)
-    lower = F.coalesce(F.lead("_l").over(Window.partitionBy(*by).orderBy(F.desc("_l"))), F.lit(-1))
-    area = best.select(*by, (F.max("_p").over(upper) * (F.col("_l") - lower)).alias("_a")).groupBy(*by).agg((F.sum("_a") / 101).alias("ap"))
-    return total.join(area, by, "left").select(*by, F.when(F.col("n_gt") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"), "n_gt")
-
-
-def detection_map(boxes: DataFrame, thresholds: tuple[float, ...] = tuple(np.round(np.arange(0.5, 1.0, 0.05), 2)), most: int = 100) -> DataFrame:
-    """label, threshold, ap, n_gt over rows (sample, side, idx, label, score, x1..y2); at most so many detections a sample.
-
-    Matching goes sample by sample; see average_precision() for the rest.
-    """
-
-    def hits(sample: int, rows: list[dict]) -> list[tuple]:
-        out = []
-        for label in sorted({r["label"] for r in rows}):
-            part = [r for r in rows if r["label"] == label]
-            gt = [(r["x1"], r["y1"], r["x2"], r["y2"]) for r in part if r["side"] == "gt"]
-            pred = sorted((r for r in part if r["side"] == "pred"), key=lambda r: (-r["score"], r["idx"]))[:most]
-            for t in thresholds:
-                free = set(range(len(gt)))
-                for pos, r in enumerate(pred):
-                    best, at = t - 1e-12, -1
-                    for g in sorted(free):
-                        v = _iou(gt[g], (r["x1"], r["y1"], r["x2"], r["y2"]))
-                        if v > best:
-                            best, at = v, g
-                    free.discard(at)
-                    out.append((label, float(t), r["score"], sample, pos, at >= 0, 0))
-                out.append((label, float(t), None, sample, -1, False, len(gt)))
-        return out
-
-    pairs = per_key(boxes, "sample", ["side", "idx"], hits, "label string, threshold double, score double, sample bigint, pos int, hit boolean, n_gt int")
-    return average_precision(pairs, ["label", "threshold"])

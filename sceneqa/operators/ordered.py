@@ -1,14 +1,14 @@
 """Values that depend on the order of a whole table, or of a hot group, without a window that holds it.
 
-The key of the order is cut into ranges at splitters taken from a sample: they decide the balance of the tasks, never a
-value. Each range is sorted and scanned by itself. A summary of each range (sums, last and first values: whatever joins
-associatively) is scanned over the ranges alone, and what stands before a range is carried into it. With `by` values
-start anew in each group; only a group that holds a splitter reaches over a border, so the carried rows are at most two
-for each range, whatever the number of groups.
+The table is range-partitioned by its order and written once with the number of each row's range, so that every later pass sees
+the same ranges, also where an executor was lost. Each range is sorted and scanned by itself. A summary of each range (sums, last and first values:
+whatever joins associatively) is scanned over the ranges alone, and what stands before a range is carried into it. With `by` values
+start anew in each group; only a group that ends one range and begins another reaches over a border, so the carried rows are at most two for
+each range, whatever the number of groups. Ranges decide the balance of the tasks, never a value.
 
 The order is ascending, nulls first. It should be total: rows that are equal in all of it stand in any order, in one range.
 Sums are exact for integers and decimals. A null of `by` is a group. An empty table stays empty. The columns `_range` and
-those that a scan adds must not be in the input.
+those that a scan adds must not be in the input, of which only the columns needed should be given.
 """
 
 from __future__ import annotations
@@ -19,8 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Keys sampled for each range; the driver holds so many times the number of ranges.
-SAMPLED = 32
+from sceneqa.sources.scratch import written
 
 
 def _cols(names: Sequence[str | Column]) -> list[Column]:
@@ -33,30 +32,21 @@ class Ranges:
     """
 
     def __init__(self, df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), parts: int | None = None):
-        spark = df.sparkSession
         self.by, self.order = list(by), _cols(order)
-        parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        named = [c.alias(f"k{i}") for i, c in enumerate([*_cols(self.by), *self.order])]
-        keys = df.select(*named)
-        rows = keys.count()
-        self.splitters: list[tuple] = []
-        if rows and parts > 1:
-            drawn = keys.sample(False, min(1.0, SAMPLED * parts / rows), 17).distinct().orderBy(*keys.columns).collect()
-            self.splitters = [tuple(drawn[len(drawn) * i // parts]) for i in range(1, parts)] if len(drawn) > parts else [tuple(r) for r in drawn[1:]]
-            self.splitters = list(dict.fromkeys(self.splitters))
-        self.groups = spark.createDataFrame(list(dict.fromkeys(s[: len(self.by)] for s in self.splitters)), T.StructType([T.StructField(f"_b{i}", f.dataType) for i, f in enumerate(keys.schema.fields[: len(self.by)])])) if self.by else None
-        self.df = self._ranged(df, keys.schema, F.struct(*named))
-
-    def _ranged(self, df: DataFrame, schema: T.StructType, key: Column) -> DataFrame:
-        """_range is the number of splitters that are not above the key, by bisection."""
-        many = len(self.splitters)
-        if not many:
-            return df.withColumn("_range", F.lit(0))
-        kind = T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
-        held = df.sparkSession.createDataFrame([(self.splitters,)], T.StructType([T.StructField("s", T.ArrayType(kind))])).scalar()
-        steps = F.array(*[F.lit(1 << b) for b in reversed(range(many.bit_length()))])
-        place = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= many) & (F.get("_splitters", at + s - 1) <= key), at + s).otherwise(at))
-        return df.withColumn("_splitters", held).withColumn("_range", place).drop("_splitters")
+        parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranged = df.repartitionByRange(parts, *_cols(self.by), *self.order).withColumn("_range", F.spark_partition_id())
+        self.df = written(ranged, "ranges")
+        self.groups = self._groups()
+
+    def _groups(self) -> DataFrame | None:
+        """The groups that may reach over a border: at most one for each range."""
+        if not self.by:
+            return None
+        group = F.struct(*[F.col(b).alias(f"_b{i}") for i, b in enumerate(self.by)])
+        ends = self.df.groupBy("_range").agg(F.min(group).alias("first"), F.max(group).alias("last")).orderBy("_range").collect()
+        reach = [tuple(r.last) for r, then in zip(ends, ends[1:], strict=False) if r.last == then.first]
+        kind = T.StructType([T.StructField(f"_b{i}", self.df.schema[b].dataType) for i, b in enumerate(self.by)])
+        return self.df.sparkSession.createDataFrame(list(dict.fromkeys(reach)), kind)
 
     def scan(self, df: DataFrame | None = None, sums: dict[str, str | Column] | None = None, lasts: dict[str, str | Column] | None = None, nexts: dict[str, str | Column] | None = None, lags: dict[str, str | Column] | None = None) -> DataFrame:
         """Adds by name: the sum of the rows up to and with each row; the last value that isn't null up to it; the first one from it

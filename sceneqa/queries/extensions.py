@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sceneqa.operators import coco
 from sceneqa.operators import matching as M
 from sceneqa.plans.label import complete, judged
 from sceneqa.queries.registry import query
+from sceneqa.sources.scratch import shared_dir
 from sceneqa.sources.tables import table
-from sceneqa.streaming.resume import append_once, hourly_counts, read_new, shared_dir
+from sceneqa.streaming.resume import append_once, hourly_counts, read_new
 
 
 def _boxes(spark, sf):
@@ -53,9 +55,63 @@ def view_confusion(spark, sf):
     return M.view_confusion(M.greedy_match(_boxes(spark, sf), by_view=False), [1, 2, 3, 4, 5, 6])
 
 
-@query()
+def _scored(spark, sf):
+    """Line items as true boxes of many sizes, some of them crowds; shifted ones as predictions with ten scores, so with many ties."""
+    idx = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice"))
+    li = table(spark, sf, "lineitem").withColumn("idx", idx)
+    p, s, x, y = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity").cast("double"), F.col("l_linenumber") * 3.0
+    w, h, d = 8 + p % 13 * 9, 6 + s % 11 * 12, s % 9
+    base = [F.concat(F.lit("d"), F.col("l_orderkey") % 4).alias("dataset"), F.col("l_orderkey").alias("sample"), F.col("idx"), F.col("l_returnflag").alias("label")]
+    box = lambda dx: [(x + dx).alias("x1"), y.alias("y1"), (x + dx + w).alias("x2"), (y + h).alias("y2")]
+    gt = li.select(*base, F.lit("gt").alias("side"), F.lit(None).cast("double").alias("score"), (p % 29 == 0).alias("crowd"), *box(F.lit(0)))
+    pred = li.where(s % 5 != 0).select(*base, F.lit("pred").alias("side"), ((p * 7 + F.col("l_linenumber") * 13) % 10 / 10.0).alias("score"), F.lit(False).alias("crowd"), *box(d))
+    return gt.union(pred)
+
+
+#: Predictions by falling score each take, per area a and threshold t, the first of their candidates (those that count first, then by overlap,
+#: then the later one) that none before has; then precision over all samples.
+_COCO = """
+with recursive b as (select {dataset} ds, l_orderkey sample, (row_number() over (partition by l_orderkey order by l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice))::int idx, l_returnflag f, l_quantity::double x,
+ l_linenumber * 3.0::double y, (8 + l_partkey % 13 * 9)::double w, (6 + l_suppkey % 11 * 12)::double h, (l_suppkey % 9)::double d, l_suppkey % 5 <> 0 seen, ((l_partkey * 7 + l_linenumber * 13) % 10) / 10.0::double score, l_partkey % 29 = 0 crowd from lineitem),
+ar as (select * from (values {areas}) t(a, lo, hi)), th as (select unnest([{thresholds}])::double t), uses as (select * from (values {uses}) t(a, most)),
+p as (select *, row_number() over (partition by sample, f order by score desc, idx) r from b where seen),
+pairs as (select p.sample, p.f, p.r, g.idx g, g.crowd, g.w * g.h area, c / case when g.crowd then p.w * p.h else p.w * p.h + g.w * g.h - c end i
+ from p join b g on g.sample = p.sample and g.f = p.f, lateral (select greatest(0.0, least(g.x + g.w, p.x + p.d + p.w) - greatest(g.x, p.x + p.d)) * greatest(0.0, least(g.y + g.h, p.y + p.h) - greatest(g.y, p.y)) c) where c > 0),
+cand as (select sample, f, r, a, list({{'g': g, 'i': i, 'crowd': crowd, 'ign': ign}} order by ign, i desc, g desc) best from (select *, crowd or area < lo or area > hi ign from pairs, ar) group by all),
+c as (select p.ds, p.sample, p.f, p.r, p.score, ar.a, p.w * p.h between lo and hi inside, coalesce(best, []) best from p cross join ar left join cand on cand.sample = p.sample and cand.f = p.f and cand.r = p.r and cand.a = ar.a),
+m as (select ds, sample, f, a, t, 0::bigint r, []::int[] used, 0.0::double score, null::boolean tp, null::boolean fp from (select distinct ds, sample, f, a from c), th
+ union all select ds, sample, f, a, t, r, case when w is null then used else list_append(used, w.g) end, score, w is not null and not w.ign, w is null and inside
+ from (select c.*, m.t, m.used, list_filter(c.best, lambda k: k.i >= m.t and (k.crowd or not list_contains(m.used, k.g)))[1] w from m join c on c.sample = m.sample and c.f = m.f and c.a = m.a and c.r = m.r + 1)),
+n as (select ds, f, a, count(*) n from b, ar where not crowd and w * h >= lo and w * h <= hi group by all),
+k as (select ds, f, m.a, most, t, tp, sum(tp::int) over o tps, count(*) over o seen from m join uses on uses.a = m.a and m.r <= most where m.r > 0 and (tp or fp) window o as (partition by ds, f, m.a, most, t order by score desc, sample, r)),
+l as (select ds, f, a, most, t, case when round_even(100 * (tps / n), 0) * 0.01::double <= tps / n then round_even(100 * (tps / n), 0) else round_even(100 * (tps / n), 0) - 1 end lv, max(tps / seen) p, max(tps) tps from k join n using (ds, f, a) where tp group by all),
+e as (select ds, f, a, most, t, sum(p) / 101 ap from (select ds, f, a, most, t, i, max(p) p from l, range(101) z(i) where lv >= i group by all) group by all),
+q as (select ds, f, a, most, t, max(tps) tps from l group by all),
+g as (select n.ds, n.f, n.a, most, t, n.n from n join uses on uses.a = n.a cross join th),
+cv as (select ds, f, a, most, t, coalesce(ap, 0) ap, coalesce(tps, 0) / n recall, n n_gt from g left join e using (ds, f, a, most, t) left join q using (ds, f, a, most, t))
+"""
+
+
+def _coco_sql(dataset: str, areas: dict, thresholds, uses, tail: str) -> str:
+    return _COCO.format(
+        dataset=dataset, areas=", ".join(f"('{a}', {lo!r}::double, {hi!r}::double)" for a, (lo, hi) in areas.items()), thresholds=", ".join(f"{t!r}e0" for t in thresholds), uses=", ".join(f"('{a}', {m})" for a, m in uses)
+    ) + tail
+
+
+@query(_coco_sql("''", {"all": coco.AREAS["all"]}, (0.5, 0.75, 0.9), [("all", 100)], "select f as label, t as threshold, round(ap, 9) ap, n_gt from cv"))
 def map_eval(spark, sf):
-    return M.detection_map(_boxes(spark, sf), (0.5, 0.75, 0.9))
+    return coco.detection_map(_scored(spark, sf), (0.5, 0.75, 0.9)).withColumn("ap", F.round("ap", 9))
+
+
+_METRIC = "coalesce(round_even(1000 * avg({what}) filter (a = '{a}' and most = {most}{t}), 0) / 1000, -1) {name}"
+
+
+@query(_coco_sql("'d' || (l_orderkey % 4)", coco.AREAS, coco.THRESHOLDS, dict.fromkeys((a, m) for a, m, _, _ in coco.METRICS.values()),
+ "select ds as dataset, " + ", ".join(_METRIC.format(what="recall" if r else "ap", a=a, most=m, t=f" and t = {t}" if t else "", name=name) for name, (a, m, t, r) in coco.METRICS.items()) + " from cv group by 1")
+)
+def coco_eval(spark, sf):
+    """Of each data set; the row of their means is left to the tests, as means of rounded values have no digits to compare."""
+    return coco.summary(_scored(spark, sf)).where("dataset <> 'Average'")
 
 
 @query("""

@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one where that is unset."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-    return tempfile.mkdtemp(prefix="sceneqa-stream-")
-
-
 def read_new(spark: SparkSession, folder: str, schema: str, min_age: str | None = None) -> DataFrame:
     """Files of a folder as a stream; the checkpoint remembers those read."""
     return spark.readStream.schema(schema).option("cleanSource", "off").parquet(folder)

@@ -143,24 +143,6 @@ def test_greedy_order_and_zero_overlap(spark):
     assert got == {(1, 0, 0): 1.0, (1, 1, 1): 0.0, (1, -1, 2): 0.0, (2, 0, -1): 0.0}
 
 
-def test_average_precision(spark):
-    """Against the plain definition: at each of 101 recalls the best precision of that recall or more."""
-    import random
-
-    rng = random.Random(1)
-    rows = [("a", rng.choice([rng.random(), 0.5, 0.25]), k, 0, rng.random() < 0.6, 0) for k in range(300)] + [("a", None, 0, -1, False, 400), ("b", None, 0, -1, False, 3), ("c", 0.4, 1, 0, False, 0), ("d", 0.9, 1, 0, True, 0), ("d", 0.8, 1, 1, True, 0), ("d", None, 1, -1, False, 2)]
-    df = spark.createDataFrame(rows, "label string, score double, sample bigint, pos int, hit boolean, n_gt int")
-    got = {r.label: (r.ap, r.n_gt) for r in M.average_precision(df, ["label"]).collect()}
-    found = sorted((r for r in rows if r[0] == "a" and r[1] is not None), key=lambda r: (-r[1], r[2], r[3]))
-    points, t = [], 0
-    for k, r in enumerate(found, 1):
-        t += r[4]
-        points.append((t, t / k))
-    ap = sum(max((p for t, p in points if 100 * t >= level * 400), default=0.0) for level in range(101)) / 101
-    assert got["a"] == (pytest.approx(ap), 400)
-    assert got["b"] == (0.0, 3) and got["c"] == (None, 0) and got["d"] == (pytest.approx(1.0), 2)
-
-
 def test_capped_weights():
     w = S.capped_weights([8, 1, 1], 0.5)
     assert sum(w) == pytest.approx(1) and max(w) <= 0.5 + 1e-9
