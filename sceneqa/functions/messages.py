@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sceneqa.functions.text import parse_refs, strip
+from sceneqa.functions.text import infer_choice, parse_refs, strip
 from sceneqa.functions.text_udf import math_value
 
 GROUNDING = "struct<reasoning:string,grounding:array<struct<image_idx:int,camera:string,ref:string>>,answer:string>"
@@ -80,6 +80,12 @@ def math_equal(a: Column, b: Column, tolerance: float = 1e-6) -> Column:
     return F.coalesce(plain | (F.abs(x - y) < tolerance), F.abs(x - y) < tolerance, F.lit(False))
 
 
+def post_check(response: Column, answer: Column, choices: Column) -> Column:
+    """Whether a response is right: with choices the one that it names, without any the response itself, against the answer."""
+    named = infer_choice(response, choices)
+    return F.when(F.size(choices) > 0, F.coalesce(math_equal(named, answer), F.lit(False))).otherwise(math_equal(response, answer))
+
+
 def swap_words(text: Column, a: str, b: str) -> Column:
     """Two phrases change places."""
     return F.replace(F.replace(F.replace(text, F.lit(a), F.lit("\u0000")), F.lit(b), F.lit(a)), F.lit("\u0000"), F.lit(b))
@@ -146,3 +152,26 @@ def frame_indices(n: Column, total: Column) -> Column:
 
 def object_line(number: Column, name: Column, x: Column, y: Column, distance: Column, ttc: Column) -> Column:
     return F.concat(F.format_string("OBJ %d: %s at (%.1f, %.1f), %.1f m", number, name, x, y, distance), F.when(ttc.isNotNull(), F.format_string(", contact in %.1f s", ttc)).otherwise(""))
+
+
+def camera_views(views: Column) -> Column:
+    """`Image 2 (Front) bbox[..], Image 1 (Front-left)` of an array of structs (image, camera, box), in the order of image numbers;
+    a view without a box is named only. Null without views.
+    """
+    one = lambda v: F.concat(F.format_string("Image %d (%s)", v["image"], v["camera"]), F.when(v["box"].isNotNull(), F.format_string(" bbox[%d,%d,%d,%d]", *[F.get(v["box"], i).cast("int") for i in range(4)])).otherwise(""))
+    named = F.array_join(F.transform(F.array_sort(F.transform(views, lambda v: F.struct(v["image"].alias("image"), one(v).alias("text")))), lambda v: v["text"]), ", ")
+    return F.when(F.size(views) > 0, named)
+
+
+def object_listing(objects: Column, most: float) -> Column:
+    """The listing of a sample's objects, structs (name, distance, vx, vy, ttc, risk, views): those that a camera sees within `most`
+    metres, numbered as they come, each with its cameras and boxes.
+    """
+    seen = F.filter(objects, lambda o: (o["distance"] <= most) & (F.size(o["views"]) > 0))
+    line = lambda o, i: F.concat(
+        F.format_string("OBJ %d: %s [%s]", i + 1, o["name"], camera_views(o["views"])),
+        F.format_string("\n%s at distance=%.1fm from the ego, moving with velocity [vx=%.2f, vy=%.2f] visible in %s", o["name"], o["distance"], o["vx"], o["vy"], camera_views(o["views"])),
+        F.when(o["risk"].isNotNull(), F.format_string("\n>> TTC = %s, Risk = %s", F.when(o["ttc"].isNotNull(), F.format_string("%.2fs", o["ttc"])).otherwise("\u221e"), o["risk"])).otherwise(""),
+    )
+    head = F.format_string("%d objects within %.1fm", F.size(seen), F.lit(float(most)))
+    return F.when(F.size(seen) > 0, F.concat_ws("\n", head, F.array_join(F.transform(seen, line), "\n"))).otherwise(F.format_string("No objects are visible within %.1fm.", F.lit(float(most))))

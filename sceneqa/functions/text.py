@@ -80,11 +80,33 @@ def strip_control(text: Column) -> Column:
     return F.regexp_replace(text, CONTROL, "")
 
 
+#: Repairs of broken tokens for display, in their order (patterns and values, fixed values).
+REPAIRS = [
+    (r"\uFFFD~[^\s]{1,20}", ""),
+    (r"::\n:\n", ":\n"),
+    (r"::", ":"),
+    (r"\bENUU+\b", "ENU"),
+    (r"\bENU\s*U\b", "ENU"),
+    (r"(?i)E\s*X+\s*X*\s*E\s*C\s*T\s*E\s*D", "EXPECTED"),
+    (r"(?i)SUPPLEMENT\s*T+\s*ARY", "SUPPLEMENTARY"),
+    (r"(?i)\bfeaturee\b", "feature"),
+    (r"(?i)\bobjectt\s*s\b", "objects"),
+    (r"\]\]\s*\n\s*m\b", "] m"),
+    (r"\]\]\s*m\b", "] m"),
+]
+
+
 def clean_display(text: Column) -> Column:
-    """Line ends unified, trailing blanks cut line by line, three and more line feeds made two."""
+    """Line ends unified, broken tokens repaired, three and more line feeds made two, trailing blanks cut line by line, ends stripped.
+
+    The repairs that would follow the first one's removals (of corrupted comparison signs) find nothing any more, so they are not here.
+    """
     text = F.regexp_replace(text, r"\r\n?", "\n")
-    text = F.regexp_replace(text, r"[ \t]+(?=\n|$)", "")
-    return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    for pattern, new in REPAIRS:
+        text = F.regexp_replace(text, pattern, new)
+    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
+    text = F.regexp_replace(text, r"[\x0B\x0C\x1C-\x1E\x85\u2028\u2029]", "\n")
+    return strip(F.regexp_replace(text, r"[^\S\n]+(?=\n|$)", ""))
 
 
 def split_answer(text: Column, bullet_limit: int = 400, sentence_limit: int = 200) -> Column:
@@ -119,17 +141,18 @@ REFUSALS = [
 ]
 
 
-def infer_option(answer: Column, options: list[str]) -> Column:
+def infer_option(answer: Column, options: list[str] | Column) -> Column:
     """The one option letter that stands alone in an answer; Z for a refusal, or a Z where no option stands; null if the call
-    failed, and if none or several stand.
+    failed, and if none or several stand. options: letters, or an array column of them.
 
     A stand-alone A in an answer of more than three tokens may be the article, which voids the result.
     """
     refused = F.lit(False)
     for r in REFUSALS:
         refused = refused | F.contains(answer, F.lit(r))
+    letters = options if isinstance(options, Column) else F.array(*[F.lit(o) for o in options])
     tokens = F.filter(F.split(F.regexp_replace(answer, r"[.()\[\],:;!*#{}]", " "), r"\s+"), lambda t: t != "")
-    found = F.array_distinct(F.filter(tokens, lambda t: t.isin(options)))
+    found = F.array_intersect(tokens, letters)
     article = F.array_contains(tokens, "A") & (F.size(tokens) > 3)
     one = F.when((F.size(found) == 1) & ~article, F.get(found, 0)).when((F.size(found) == 0) & F.array_contains(tokens, "Z"), "Z")
     return F.when(F.contains(answer, F.lit(FAILED)), None).when(refused, "Z").otherwise(one)
@@ -141,6 +164,13 @@ def infer_by_text(answer: Column, options: dict[str, Column]) -> Column:
     return F.when(F.size(found) == 1, F.get(found, 0))
 
 
+def infer_choice(answer: Column, choices: Column) -> Column:
+    """The letter of a choice that an answer names: by the letter, else by the one text among an array of choices that it contains."""
+    letters = F.transform(choices, lambda c, i: F.chr(i + 65))
+    held = F.filter(F.arrays_zip(letters.alias("l"), choices.alias("t")), lambda c: F.contains(F.lower(answer), F.lower(c["t"])))
+    return F.coalesce(infer_option(answer, letters), F.when(F.size(held) == 1, F.get(held, 0)["l"]))
+
+
 def contract_reason(answer_type: Column, answer: Column, options: Column) -> Column:
     """Why an answer breaks the rule of its type; null if it doesn't. options: a map, or null."""
     text = F.trim(answer)

@@ -117,6 +117,20 @@ def answer_key(answer: Column) -> Column:
     return F.lower(F.trim(answer))
 
 
+def nested_key(answer: Column) -> Column:
+    """The key by which answers of any shape (a VARIANT) compare, never null.
+
+    Objects compare whatever the order of their keys, at every depth: a VARIANT holds them sorted. Arrays keep their order, and a null
+    inside differs from a missing key. Strings compare as answer_key(), numbers by value (1 and 1.0 are equal), a number and its digits
+    as a string are equal, truth values are `True` and `False`, and a missing answer is as a null one, `None`; both differ from any
+    string, which is in small letters.
+    """
+    kind = F.schema_of_variant(answer)
+    text = F.try_variant_get(answer, "$", "string")
+    word = F.when(kind == "STRING", answer_key(strip(text))).when(kind == "BOOLEAN", F.initcap(text)).when(kind == "VOID", "None")
+    return F.coalesce(word, F.when(kind != "VOID", F.to_json(answer)), F.lit("None"))
+
+
 def comparable(answer: Column, answer_type: Column, options: Column) -> Column:
     """A letter's option text for multiple choice (null if it names none), null for open ends, else the trimmed answer."""
     return F.when(answer_type == "open_ended", F.lit(None)).when(answer_type == "mcq", F.lower(F.try_element_at(options, F.upper(F.trim(answer))))).otherwise(answer_key(answer))

@@ -13,7 +13,7 @@ from sceneqa.plans.label import complete, judged
 from sceneqa.queries.registry import query
 from sceneqa.sources.scratch import shared_dir
 from sceneqa.sources.tables import table
-from sceneqa.streaming.resume import append_once, hourly_counts, read_new
+from sceneqa.streaming.resume import append_once, hourly_counts, keep_last, last_rows, read_new
 
 
 def _boxes(spark, sf):
@@ -127,7 +127,7 @@ def llm_stub_pipeline(spark, sf):
         return answer
 
     c = table(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return complete(c, "id", "text", stub, bool)
+    return complete(c, "id", "text", stub, bool, inflight=8)
 
 
 @query("""
@@ -150,6 +150,18 @@ def hourly_windows(spark, sf):
     return hourly_counts(table(spark, sf, "events"), "ts").select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n")
 
 
+@query("select user_id, event_type, max(event_id) event_id, arg_max(value, event_id) as \"value\" from events group by 1, 2")
+def stream_last_rows(spark, sf):
+    """The last row of each key, from a stream whose second half brings rows that are early, late and repeated."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = table(spark, sf, "events").select("user_id", "event_type", "event_id", "value")
+    for rows in (events.where("event_id % 3 > 0"), events.where("event_id % 3 < 2")):
+        rows.write.mode("append").parquet(f"{base}/in")
+        stream = read_new(spark, f"{base}/in", "user_id bigint, event_type string, event_id bigint, value double")
+        keep_last(stream, f"{base}/log", f"{base}/state", ["user_id", "event_type"], ["event_id"])
+    return last_rows(spark.read.parquet(f"{base}/log"), ["user_id", "event_type"], ["event_id"])
+
+
 @query("select event_id, user_id, event_type from events")
 def stream_resume(spark, sf):
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"

@@ -164,3 +164,21 @@ def closest_per_direction(spark, sf):
     x, y = (F.col("p_partkey") % 21 - 10).cast("double"), (F.col("p_size") - 25).cast("double")
     p = table(spark, sf, "part").select((F.col("p_size") % 10).alias("s"), "p_partkey", F.sqrt(x * x + y * y).alias("d"), F.explode(G.directions(G.relative_label(x, y))).alias("direction"))
     return p.groupBy("s", "direction").agg(F.min(F.struct("d", "p_partkey")).alias("m")).select("s", "direction", F.col("m.p_partkey").alias("nearest"))
+
+
+@query("""
+with l as (select l_orderkey k, l_linenumber n, l_orderkey % 5 s from lineitem)
+select case s when 0 then '{"a":[' || n || ',{"x":null,"y":"Q"}],"b":' || k || '}' when 1 then case when n % 2 = 0 then '[1,2]' else '[2,1]' end when 2 then case when n % 2 = 0 then '{"a":null}' else '{}' end
+ when 3 then 'yes it is' else case n % 3 when 0 then 'None' when 1 then 'True' else '7' end end as "key", count(*) n from l group by 1""")
+def nested_answers(spark, sf):
+    """Answers of every shape, objects with their keys in either order, by the key they compare by."""
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"))
+    s, even = F.col("k") % 5, F.col("n") % 2 == 0
+    text = (
+        F.when((s == 0) & even, F.format_string('{"b": %d, "a": [%d, {"y": "Q", "x": null}]}', "k", "n"))
+        .when(s == 0, F.format_string('{"a": [%d, {"x": null, "y": "Q"}], "b": %d}', "n", "k"))
+        .when(s == 1, F.when(even, "[1, 2]").otherwise("[2, 1]")).when(s == 2, F.when(even, '{"a": null}').otherwise("{}"))
+        .when(s == 3, F.when(even, '"Yes it is "').otherwise('"yes IT is"'))
+        .when(F.col("n") % 3 == 0, F.when(even, "null")).when(F.col("n") % 3 == 1, "true").when(even, '"7"').otherwise("7.0")
+    )
+    return li.select(Q.nested_key(F.parse_json(text)).alias("key")).groupBy("key").agg(F.count("*").alias("n"))

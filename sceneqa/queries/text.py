@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sceneqa.functions import messages as M
 from sceneqa.functions import text as T
 from sceneqa.queries.registry import query
 from sceneqa.sources.tables import table
@@ -132,11 +133,33 @@ def path_normalize(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.normalize_path(raw, "root").alias("path"), F.regexp_extract("url", "://([^/]+)", 1).alias("host"))
 
 
+#: What display cleaning repairs, behind each text: no table has it.
+_BROKEN = "a\uFFFD~F~R b::\n:\nx::y ENUUU ENU U e xxected Supplement TARY Featuree objectt s 1.5]]\n m 2]] m  \r\n\n\n\nend \t"
+
+
 @query(r"""
-select doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', E'\n', 'g'), '(?m)[ \t]+$', '', 'g'), '\n{3,}', E'\n\n', 'g'), ' ')) h,
- md5(regexp_replace(text, '[\x00-\x08\x0B-\x0C\x0E-\x1F]', '', 'g')) safe from documents""")
+with t as (select doc_id, text, regexp_replace(text || ?, '\r\n?', E'\n', 'g') x from documents),
+a as (select *, replace(replace(regexp_replace(x, '\x{FFFD}~[^\s]{1,20}', '', 'g'), '::' || chr(10) || ':' || chr(10), ':' || chr(10)), '::', ':') y from t),
+b as (select *, regexp_replace(regexp_replace(y, '\bENUU+\b', 'ENU', 'g'), '\bENU\s*U\b', 'ENU', 'g') z from a),
+c as (select *, regexp_replace(regexp_replace(z, 'E\s*X+\s*X*\s*E\s*C\s*T\s*E\s*D', 'EXPECTED', 'gi'), 'SUPPLEMENT\s*T+\s*ARY', 'SUPPLEMENTARY', 'gi') v from b),
+d as (select *, regexp_replace(regexp_replace(v, '\bfeaturee\b', 'feature', 'gi'), '\bobjectt\s*s\b', 'objects', 'gi') w from c),
+e as (select *, regexp_replace(regexp_replace(regexp_replace(w, '\]\]\s*\n\s*m\b', '] m', 'g'), '\]\]\s*m\b', '] m', 'g'), '\n{3,}', E'\n\n', 'g') u from d)
+select doc_id, md5(regexp_replace(regexp_replace(u, '(?m)[ \t]+$', '', 'g'), '^\s+|\s+$', '', 'g')) h, md5(regexp_replace(text, '[\x00-\x08\x0B-\x0C\x0E-\x1F]', '', 'g')) safe from e""".replace("?,", "'" + _BROKEN.replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "',"))
 def clean_display(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.clean_display(F.col("text")).cast("binary")).alias("h"), F.md5(T.strip_control(F.col("text")).cast("binary")).alias("safe"))
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", F.md5(T.clean_display(F.concat("text", F.lit(_BROKEN))).cast("binary")).alias("h"), F.md5(T.strip_control(F.col("text")).cast("binary")).alias("safe"))
+
+
+@query("""
+select o_orderkey, case o_orderkey % 8 when 0 then o_orderkey % 3 = 1 when 1 then false when 2 then o_orderkey % 3 = 2 when 3 then false when 4 then false when 5 then true when 6 then false else o_orderkey % 3 = 0 end as correct from orders""")
+def post_check(spark, sf):
+    """Responses that name a letter, an article, a text, nothing or too much, and free ones, against their answers."""
+    o = table(spark, sf, "orders").select("o_orderkey")
+    k, third = F.col("o_orderkey") % 8, F.col("o_orderkey") % 3
+    said = F.when(k == 0, "It is (B).").when(k == 1, "A car is on the road").when(k == 2, "the GREEN truck, I think").when(k == 3, "Cannot determine the answer").when(k == 4, "red or blue").when(k == 5, "0.5").when(k == 6, "0.51").otherwise("A")
+    choices = F.when((k == 5) | (k == 6), F.array().cast("array<string>")).otherwise(F.array(F.lit("red"), F.lit("blue"), F.lit("green")))
+    right = F.when((k == 5) | (k == 6), "1/2").otherwise(F.chr(third + 65))
+    return o.select("o_orderkey", M.post_check(said, right, choices).alias("correct"))
 
 
 @query("""

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sceneqa.functions.text import strip_control
+from sceneqa.sources.scratch import delete
 
 
 def write_partitioned(df: DataFrame, path: str, by: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
@@ -22,9 +26,34 @@ def category_report(df: DataFrame, category: str, known: list[str]) -> DataFrame
     return out.select(category, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.round(F.try_divide(F.col("n") * 100.0, F.col("total")), 2), F.lit(0.0)).alias("pct"), "ord")
 
 
-def publish_once(df: DataFrame, path: str) -> None:
-    """Writes unless the output exists; Spark's commit protocol makes it appear as a whole."""
-    df.write.mode("ignore").parquet(path)
+def publish_once(df: DataFrame, path: str, single: bool = False) -> bool:
+    """Whether this call published the output at `path`: a Parquet folder, or with `single` one Parquet file (of a small result, made by one task).
+
+    It is written beside its place and renamed as a whole, so a reader sees all of it or nothing; where the place is taken, by then or in
+    the meantime, the rename fails and what was written is removed. Renames are atomic in HDFS and in local file systems, not in object stores.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(conf)
+    if fs.exists(place):
+        return False
+    beside = f"{path}.part-{uuid.uuid4().hex}"
+    try:
+        (df.coalesce(1) if single else df).write.parquet(beside)
+        made = jvm.org.apache.hadoop.fs.Path(beside)
+        if single:
+            made = next(f.getPath() for f in fs.listStatus(made) if f.getPath().getName().startswith("part-"))
+        try:
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+            context.rename(made, place, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in str(e.java_exception) and not fs.exists(place):
+                raise
+            return False
+        return True
+    finally:
+        delete(spark, beside)
 
 
 def scaled_once(df: DataFrame, factor: int, apply) -> DataFrame:
