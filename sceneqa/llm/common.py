@@ -9,14 +9,16 @@ the choice of the bases. Words of over LONG bytes are hashed one by one with XXH
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import hashlib
 import os
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +93,22 @@ class Workspace:
             return
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and at its end the memory that it freed goes back to the system: a worker is used again by the next stage."""
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # a C library without it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def texts(df: DataFrame, *extra: str) -> DataFrame:
     """doc_id, text and the columns named, in this order; whatever else the input has stays out."""
     return df.select("doc_id", "text", *extra)

@@ -37,7 +37,7 @@ def accepted(texts, labels):
     m = quality.BUCKETS - 1
 
     def bins(text):
-        h = [int(quality.hash_spans(d := np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(d)]))[0]) for w in re.findall(r"[A-Za-z0-9_]+|[^\\sA-Za-z0-9_]+", text or "")]
+        h = [int(quality.hash_spans(d := np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(d)]))[0]) for w in re.findall(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]+", text or "")]
         pair = lambda a, b: m if a == b else int(quality.mix(np.array([(a * 3 + b) % 2**64], np.uint64), 5)[0]) % m
         return [x % m for x in h] + [pair(a, b) for a, b in zip(h, h[1:], strict=False)]
 
