@@ -70,14 +70,15 @@ def late_header_csv(spark: SparkSession, path: str, first_column: str, value: st
     """CSV files whose header is the first line of each that begins with first_column: time, value * scale; bad rows go.
 
     A first pass finds the place of each file's header (its split and line) and the column named; then lines behind it are parsed where they
-    are read. Neither pass holds a file, so a large one is read by many tasks. A file without such a line gives no rows.
+    are read. Neither pass holds a file, so a large one is read by many tasks; places are a row for each file, whose list the driver has.
+    A file without such a line gives no rows.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
     lines = lines.withColumn("at", F.struct("split", "line"))  # lines of a split are numbered in their order
     cells = F.split("value", ",")
     heads = lines.where(F.trim(F.get(cells, 0)) == first_column).groupBy("file").agg(F.min("at").alias("head"), F.min_by("value", "at").alias("names"))
     place = heads.select("file", "head", (F.array_position(F.transform(F.split("names", ","), lambda x: F.trim(x)), F.lit(value)) - 1).cast("int").alias("column"))
-    rows = lines.join(place, "file").where(F.col("at") > F.col("head"))
+    rows = lines.join(F.broadcast(place), "file").where(F.col("at") > F.col("head"))
     out = rows.select(F.get(cells, 0).try_cast("double").alias("time"), (F.get(cells, F.col("column")).try_cast("double") * scale).alias("value"))
     return out.where("time is not null and value is not null")
 
