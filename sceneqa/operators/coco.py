@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sceneqa.functions.text import strip
 from sceneqa.operators.ordered import Ranges
 from sceneqa.sources.scratch import written
 
@@ -183,6 +184,24 @@ def summary(boxes: DataFrame) -> DataFrame:
     return each.unionByName(each.groupBy(F.lit("Average").alias("dataset")).agg(*[F.avg(name).alias(name) for name in METRICS]))
 
 
+def predictions(results: DataFrame, relative: bool = False) -> DataFrame:
+    """Rows for summary(), side `pred`, of generated answers (dataset, sample, answer, img_w, img_h, resized_w, resized_h, classes).
+
+    An answer is a list of objects with bbox_2d and label, perhaps fenced as JSON. Boxes are scaled from the resized image, or from
+    thousandths, to the image; every score is 1. A box that hasn't four coordinates goes, as does a label that is none of the
+    classes whatever its case; an answer that is no such list, or has a box without a label, gives nothing.
+    """
+    text = strip(F.replace(F.replace("answer", F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")))
+    items = F.from_json(F.when(F.startswith(text, F.lit("[")), text), "array<struct<bbox_2d: array<double>, label: string>>")
+    whole = lambda x: F.size(x["bbox_2d"]) == 4
+    listed = results.withColumn("_items", items).where(~F.exists("_items", lambda x: whole(x) & x["label"].isNull()))
+    known = F.transform("classes", lambda c: F.lower(c))
+    rows = listed.select("*", known.alias("_known"), F.posexplode("_items").alias("idx", "_x")).where(whole(F.col("_x")) & F.array_contains("_known", F.lower("_x.label")))
+    size = {"x": ("img_w", F.lit(1000) if relative else F.col("resized_w")), "y": ("img_h", F.lit(1000) if relative else F.col("resized_h"))}
+    scaled = [(F.get("_x.bbox_2d", F.lit(i)) / size[c[0]][1] * F.col(size[c[0]][0])).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))]
+    return rows.select("dataset", "sample", F.lit("pred").alias("side"), "idx", F.lower("_x.label").alias("label"), F.lit(1.0).alias("score"), *scaled)
+
+
 def detection_map(boxes: DataFrame, thresholds: Sequence[float] = THRESHOLDS, most: int = MOST[0]) -> DataFrame:
     """label, threshold, ap, n_gt over boxes of any area, at most so many detections of a label in a sample."""
     every = {"all": AREAS["all"]}

@@ -120,6 +120,19 @@ def test_many_detections_of_one_sample(spark):
     assert got == {50: (pytest.approx(51 / 101), 0.5), 100: (pytest.approx(plain_curve(gt + pred, (0, 1e10), 100, 0.5)[0]), 0.57)}
 
 
+def test_predictions_of_answers(spark):
+    answers = [
+        '```json\n[{"bbox_2d": [0, 0, 50, 100], "label": "Cat"}, {"bbox_2d": [1, 2, 3], "label": "cat"}, {"bbox_2d": [10, 10, 20, 20], "label": "cow"}, {"bbox_2d": [50, 50, 100, 100], "label": "dog"}]\n```',
+        "[{'bbox_2d': [0, 0, 100, 100], 'label': 'DOG'}]",
+        '[{"bbox_2d": [0, 0, 100, 100]}, {"bbox_2d": [0, 0, 9, 9], "label": "dog"}]',
+        "nothing here", None, "[]", '{"bbox_2d": [0, 0, 100, 100], "label": "dog"}',
+    ]
+    df = spark.createDataFrame([("d", i, a, 200, 400, 100, 100, ["cat", "Dog"]) for i, a in enumerate(answers)], "dataset string, sample bigint, answer string, img_w int, img_h int, resized_w int, resized_h int, classes array<string>")
+    got = sorted((r["sample"], r.idx, r.label, r.score, r.x1, r.y1, r.x2, r.y2) for r in coco.predictions(df).collect())
+    assert got == [(0, 0, "cat", 1.0, 0.0, 0.0, 100.0, 400.0), (0, 3, "dog", 1.0, 100.0, 200.0, 200.0, 400.0), (1, 0, "dog", 1.0, 0.0, 0.0, 200.0, 400.0)]
+    assert sorted(r.x2 for r in coco.predictions(df, relative=True).collect()) == [10.0, 20.0, 20.0]
+
+
 def test_map_and_matches_of_null_rows(spark, boxes):
     rows, df = boxes
     got = {(r.label, r.threshold): (r.ap, r.n_gt) for r in coco.detection_map(df, (0.5,), 100).collect()}
