@@ -6,9 +6,10 @@ sorted distinct fingerprints of its windows, dealt to shards by their leading bi
 parts (and those of earlier batches) in order and tells each part which of its fingerprints an earlier run holds: one
 bit each. A part then removes the words of windows that an earlier run or an earlier window of its own has.
 
-A fingerprint has 20 bits more than the number of windows needs, by which runs are sorted and merged, and 24 bits of a
-second hash, which other functions make from the words' bytes, that verify a meeting before it counts. So whatever the number of windows, two different ones of them
-are taken for one with a probability of about 2**-18 at most; an index uses 60 and 24 bits throughout.
+A fingerprint has 20 bits more than the number of windows needs (60 at most), by which runs are sorted and merged, and a
+second hash of 4 to 8 bytes, which other functions make from the words' bytes, that verifies a meeting before it counts. Both together
+have 20 bits more than the number of pairs of windows needs (check_bytes()), so that any two different windows of all are taken for one with a probability of
+2**-20 at most, up to 2**50 windows. An index, which grows, uses 60 and 64 bits throughout.
 
 Parts are written once, so both passes see the same ones. Index keeps runs of earlier batches for incremental work: dedup()
 with an index compares a new batch with them, appends the batch's runs and merges runs when they are many.
@@ -37,7 +38,8 @@ WINDOW = 20
 PART_BYTES, SHARD_KEYS = 6 << 20, 4_000_000
 #: Runs in an index beyond which they are merged.
 RUNS = 8
-_LOW = np.uint64(0xFFFFFF)
+#: Bits of an index's fingerprints, and bytes of its second hash.
+INDEX_BITS, INDEX_BYTES = 60, 8
 _MULTIPLIERS = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 
 
@@ -60,23 +62,28 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(out.view(np.uint64).ravel())
 
 
-def _pack(high: np.ndarray, low: np.ndarray) -> bytes:
+def _pack(high: np.ndarray, low: np.ndarray, low_bytes: int) -> bytes:
     body = pack_sorted(high)
-    return len(body).to_bytes(4, "little") + body + np.ascontiguousarray(low.astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes()
+    return bytes([low_bytes]) + len(body).to_bytes(4, "little") + body + np.ascontiguousarray(low.view(np.uint8).reshape(len(low), low.itemsize)[:, :low_bytes].T).tobytes()
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    k = int.from_bytes(raw[:4], "little")
-    high = unpack_sorted(raw[4 : 4 + k])
-    out = np.zeros((len(high), 4), np.uint8)
-    out[:, :3] = np.frombuffer(raw, np.uint8, offset=4 + k).reshape(3, -1).T
-    return high, out.view(np.uint32).ravel()
+    low_bytes, k = raw[0], int.from_bytes(raw[1:5], "little")
+    high = unpack_sorted(raw[5 : 5 + k])
+    kind = _low_type(low_bytes)
+    out = np.zeros((len(high), kind.itemsize), np.uint8)
+    out[:, :low_bytes] = np.frombuffer(raw, np.uint8, offset=5 + k).reshape(low_bytes, len(high)).T
+    return high, out.view(kind).ravel()
+
+
+def _low_type(low_bytes: int) -> np.dtype:
+    return np.dtype(np.uint32 if low_bytes <= 4 else np.uint64)
 
 
 class Part:
     """The words and windows of some documents in order."""
 
-    def __init__(self, texts: pa.Array, window: int, key_bits: int):
+    def __init__(self, texts: pa.Array, window: int, key_bits: int, low_bytes: int):
         self.key_bits = key_bits
         self.data, self.bounds = byte_view(texts)
         self.starts, self.ends = spans(self.data, self.bounds, BLANK)
@@ -87,7 +94,7 @@ class Part:
         whole = doc[window - 1 :] == doc[: max(0, n - window + 1)]
         self.at = np.flatnonzero(whole)
         high = rolling(word, window, _MULTIPLIERS[0])[whole] >> np.uint64(64 - key_bits)
-        low = (rolling(hash_spans(self.data, self.starts, self.ends, 1), window, _MULTIPLIERS[1])[whole] & _LOW).astype(np.uint32)
+        low = (rolling(hash_spans(self.data, self.starts, self.ends, 1), window, _MULTIPLIERS[1])[whole] >> np.uint64(64 - 8 * low_bytes)).astype(_low_type(low_bytes))
         order = np.lexsort((low, high)) if len(high) else np.zeros(0, np.int64)  # stable: equal ones stay in order
         high, low = high[order], low[order]
         new = np.ones(len(high), bool)
@@ -112,7 +119,7 @@ PARTS = "part bigint, docs binary"
 
 
 def parts(docs: DataFrame, ws: Workspace, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int]:
-    """part (ascending in the order of documents) and docs, its doc_id and text in compressed form; and the windows there are at most.
+    """part (ascending in the order of documents) and docs, its doc_id and text in compressed form; and the windows there are at most (a word has a byte and a blank).
 
     Null doc_ids come first; rows that repeat one stand in the order of their texts' hashes.
     """
@@ -150,7 +157,7 @@ def parts(docs: DataFrame, ws: Workspace, part_bytes: int = PART_BYTES) -> tuple
     dealt = docs.repartitionByRange(many, *order).sortWithinPartitions(*order)
     out = ws.table(dealt.mapInArrow(pack, PARTS), "parts")
     ws.release()
-    return out, size // 6
+    return out, size // 2
 
 
 def _opened(raw: bytes) -> tuple[pa.Array, pa.Array]:
@@ -159,15 +166,15 @@ def _opened(raw: bytes) -> tuple[pa.Array, pa.Array]:
     return docs["doc_id"].chunk(0), docs["text"].chunk(0)
 
 
-def runs(numbered: DataFrame, bits: int, key_bits: int, window: int, before: int = 0) -> DataFrame:
+def runs(numbered: DataFrame, bits: int, key_bits: int, low_bytes: int, window: int, before: int = 0) -> DataFrame:
     """shard, run, n, keys: each part's run, numbered after `before`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, docs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = Part(_opened(docs.as_buffer())[1], window, key_bits)
+                part = Part(_opened(docs.as_buffer())[1], window, key_bits, low_bytes)
                 edges = part.shards(bits)
-                rows = [(s, number + before, int(b - a), _pack(part.high[a:b], part.low[a:b])) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+                rows = [(s, number + before, int(b - a), _pack(part.high[a:b], part.low[a:b], low_bytes)) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["shard", "run", "n", "keys"])
 
@@ -210,10 +217,10 @@ def seen_before(all_runs: DataFrame, before: int = 0) -> DataFrame:
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
 
 
-def removed(numbered: DataFrame, told: DataFrame, bits: int, key_bits: int, window: int, before: int, with_text: bool) -> DataFrame:
+def removed(numbered: DataFrame, told: DataFrame, bits: int, key_bits: int, low_bytes: int, window: int, before: int, with_text: bool) -> DataFrame:
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         ids, texts = _opened(docs["docs"][0].as_py())
-        part = Part(texts, window, key_bits)
+        part = Part(texts, window, key_bits, low_bytes)
         seen, edges = np.zeros(len(part.high), bool), part.shards(bits)
         for shard, raw in zip(replies["shard"].to_pylist(), replies["bits"].to_pylist(), strict=True):
             if raw:
@@ -237,17 +244,24 @@ def shard_bits(windows: int) -> int:
     return max(3, (max(1, windows // SHARD_KEYS) - 1).bit_length())
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False, index: Index | None = None) -> DataFrame:
+def check_bytes(windows: int, key_bits: int) -> int:
+    """Bytes of the second hash with which the pairs of so many windows meet falsely with a probability of 2**-20 at most."""
+    return min(8, max(4, -(-(2 * windows.bit_length() + 20 - key_bits) // 8)))
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False, index: Index | None = None, key_bits: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, null unless with_text), one row per document.
 
-    With an index, windows of earlier batches count as earlier, and the batch's run is appended to it.
+    With an index, windows of earlier batches count as earlier, and the batch's run is appended to it. key_bits: bits by which
+    runs are sorted and merged, instead of those that the number of windows asks for; fewer of them make the second hash longer.
     """
     ws = Workspace(docs.sparkSession, "substrings")
     numbered, windows = parts(docs, ws)
-    bits = index.bits if index else shard_bits(windows)
-    key_bits = 60 if index else max(bits + 8, min(60, windows.bit_length() + 20))
+    bits = index.bits if index else shard_bits(windows // 3)  # six bytes a word, about
+    key_bits = INDEX_BITS if index else max(bits, key_bits or min(60, windows.bit_length() + 20))
+    low_bytes = INDEX_BYTES if index else check_bytes(windows, key_bits)
     before = index.next_run() if index else 0
-    own = runs(numbered, bits, key_bits, window, before)
+    own = runs(numbered, bits, key_bits, low_bytes, window, before)
     if index:  # the index keeps them; else they only travel
         own = ws.table(own, "runs")
     known = index.runs().union(own) if index and before else own
@@ -256,7 +270,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False, index:
         index.append(own)
         ws.drop("runs")
     ws.release()
-    return removed(numbered, told, bits, key_bits, window, before, with_text)
+    return removed(numbered, told, bits, key_bits, low_bytes, window, before, with_text)
 
 
 class Index:
@@ -299,7 +313,7 @@ class Index:
             keys = [_unpack(x) for x in table["keys"].to_pylist()]
             high, low = (np.concatenate([k[i] for k in keys])[~seen] for i in (0, 1))
             order = np.lexsort((low, high))
-            row = {"shard": table["shard"][0].as_py(), "run": max(table["run"].to_pylist()), "n": len(high), "keys": _pack(high[order], low[order])}
+            row = {"shard": table["shard"][0].as_py(), "run": max(table["run"].to_pylist()), "n": len(high), "keys": _pack(high[order], low[order], INDEX_BYTES)}
             return pa.Table.from_pylist([row], pa.schema([(k, pa.binary() if k == "keys" else pa.int64()) for k in row]))
 
         merged = self.runs().groupBy("shard").applyInArrow(run, "shard bigint, run bigint, n bigint, keys binary")

@@ -542,6 +542,20 @@ def test_substrings(docs, monkeypatch, part_bytes):
     assert rows(substrings.dedup(docs, 20, with_text=True)) == sorted(brute_substrings(order, 20), key=str)
 
 
+@pytest.mark.parametrize("key_bits", [3, 9])
+def test_meetings_of_short_keys_are_verified(docs, monkeypatch, key_bits):
+    """Keys so short that different windows meet all the time, within a run and between runs."""
+    monkeypatch.setattr(substrings.parts, "__defaults__", (700,))
+    order = sorted(DOCS, key=lambda d: (d[0] is not None, d[0] or 0))
+    assert rows(substrings.dedup(docs, 20, with_text=True, key_bits=key_bits)) == sorted(brute_substrings(order, 20), key=str)
+
+
+def test_bits_of_both_hashes_grow_with_the_pairs_of_windows():
+    for log in range(1, 51):
+        bits = min(60, log + 20)
+        assert bits + 8 * substrings.check_bytes((1 << log) - 1, bits) >= 2 * log + 20
+
+
 def test_incremental_index(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(substrings, "RUNS", 2)
     index, seen = substrings.Index(spark, f"file://{tmp_path}/index"), set()
