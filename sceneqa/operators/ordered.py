@@ -123,3 +123,21 @@ def batches(df: DataFrame, order: Sequence[str], size: int, out: str = "batch",
     """The number (from 0) of the batch of so many rows, in order, that a row falls in."""
     seen = Ranges(df, order, (), parts).scan(sums={"_seen": F.lit(1).cast("bigint")})
     return seen.select(*df.columns, F.expr(f"(_seen - 1) div {size}").alias(out))
+
+
+def intervals_with_instant(intervals: DataFrame, instants: DataFrame, start: str, end: str, at: str, by: Sequence[str] = (), parts: int | None = None) -> DataFrame:
+    """Intervals in which an instant of the same group lies, its ends not counted; each row once, repeated rows as often as they are.
+
+    The first instant after the start decides, so no interval meets more than one, and one group with all rows is split like any
+    other. A null of `by`, of an end or of an instant meets nothing; an interval that ends where it starts, or before, holds
+    nothing. `start`, `end` and `at` have one type. Columns are those of `intervals`; `by` has the same names on both sides.
+    """
+    known = lambda df, *more: df.dropna(subset=[*by, *more]) if by or more else df
+    here = known(instants, at).select(*by, F.col(at).alias("_t")).distinct()
+    there = known(intervals, start, end).where(F.col(start) < F.col(end))
+    row = F.struct(*intervals.columns)
+    both = there.select(*by, F.col(start).alias("_t"), F.lit(1).alias("_side"), F.col(end).alias("_e"), row.alias("_row")).unionByName(here.withColumn("_side", F.lit(0)), True)
+    # at one time instants stand before intervals, so only later ones follow an interval; the rest spreads equal starts over ranges
+    order = ["_t", "_side", "_e", F.xxhash64(*[F.col("_row")[c] for c in intervals.columns if not isinstance(intervals.schema[c].dataType, (T.MapType, T.VariantType))])]
+    near = Ranges(both, order, by, parts).scan(nexts={"_next": F.when(F.col("_side") == 0, F.col("_t"))})
+    return near.where("_side = 1 and _next < _e").select("_row.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sceneqa.operators import joins as J
+from sceneqa.operators import ordered as O
 from sceneqa.operators import windows as W
 from sceneqa.queries.registry import query
 from sceneqa.sources.tables import micros, table
@@ -25,7 +26,7 @@ k as (select source, doc_id kid, quality kq from d where quality is not null)
 select d.doc_id, d.source, arg_min(k.kq, (abs(d.doc_id - k.kid), k.kid)) filled from d left join k on d.source = k.source group by 1, 2""")
 def nearest_labelled_fill(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return W.nearest_fill(d.select("doc_id", "source", "quality"), "source", "doc_id", "quality", "filled").select("doc_id", "source", "filled")
+    return O.nearest_fill(d.select("doc_id", "source", "quality"), "doc_id", "quality", "filled", ["source"]).select("doc_id", "source", "filled")
 
 
 @query("""
@@ -49,6 +50,18 @@ def interval_semi(spark, sf):
     return J.interval_semi(o, li, "k", "s", "e", "l_shipdate").select(F.col("k").alias("o_orderkey"), "o_custkey")
 
 
+@query("""
+with t as (select event_type, epoch_us(ts) us from events where user_id % 7 = 0 group by 1, 2),
+i as (select event_id, event_type, epoch_us(ts) us from events),
+n as (select i.event_id, i.us, t.us nxt from i asof join t on i.event_type = t.event_type and i.us < t.us)
+select event_id from n where nxt < us + 3600000000""")
+def interval_hot_keys(spark, sf):
+    """Events after which, within an hour, a watched user does the same; few kinds of event hold all rows."""
+    e = table(spark, sf, "events").select("event_id", "event_type", "user_id", micros("ts").alias("us"))
+    spans = e.select("event_id", "event_type", "us", (F.col("us") + 3_600_000_000).alias("until"))
+    return O.intervals_with_instant(spans, e.where("user_id % 7 = 0"), "us", "until", "us", ["event_type"]).select("event_id")
+
+
 _BOXES = "select p_partkey k, p_brand brand, p_size % 20 as x1, p_partkey % 17 as y1, p_size % 20 + 3 + p_partkey % 5 as x2, p_partkey % 17 + 2 + p_size % 4 as y2, p_partkey % 3 as kind from part"
 
 

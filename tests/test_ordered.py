@@ -95,3 +95,19 @@ def test_empty_tables(log):
     none = df.limit(0)
     assert windows.islands(none, "t", "k").collect() == [] and sampling.bin_pack(none, "t", "v", 4).collect() == []
     assert O.Ranges(none, ["t"], ["g"]).scan(sums={"s": "v"}).collect() == []
+
+
+@pytest.mark.parametrize("parts", [1, 8, 60])
+def test_intervals_with_instant(spark, parts):
+    rng = random.Random(5)
+    some = lambda top: rng.choice([None, *[rng.randrange(top) for _ in range(9)]])
+    intervals = [(k, rng.choice(["hot", "hot", "hot", "a", "b", None]), s, s if s is None else rng.choice([None, s, s - 3, s + 1, s + 2, s + 9, s + 60])) for k in range(400) for s in [some(2000)]]
+    intervals += intervals[:30]
+    instants = [(rng.choice(["hot", "a", "c", None]), some(2000), "x") for _ in range(300)]
+    i = spark.createDataFrame(intervals, "k int, g string, s int, e int").withColumn("tags", F.create_map(F.lit("k"), "k"))
+    t = spark.createDataFrame(instants, "g string, s int, k string").repartition(5)
+    held = lambda by: sorted(r[0] for r in intervals if None not in r[2:] and any(x is not None and r[2] < x < r[3] and (not by or g == r[1] is not None) for g, x, _ in instants))
+    for by in (["g"], []):
+        got = O.intervals_with_instant(i, t, "s", "e", "s", by, parts)
+        assert sorted(r.k for r in got.collect()) == held(by) and got.columns == i.columns
+        assert O.intervals_with_instant(i.limit(0), t, "s", "e", "s", by, parts).count() == O.intervals_with_instant(i, t.limit(0), "s", "e", "s", by, parts).count() == 0
