@@ -59,12 +59,13 @@ class Ranges:
         some = lambda c: F.when(c.isNotNull(), held(c))
 
         summary = {"sum": F.sum, "last": lambda c: F.max_by(some(c), F.when(c.isNotNull(), at)), "next": lambda c: F.min_by(some(c), F.when(c.isNotNull(), at)), "lag": lambda c: F.max_by(held(c), at)}
-        over = Window.partitionBy(*[f"_b{i}" for i in range(len(self.by))]).orderBy("_at")
-        before, after = over.rowsBetween(Window.unboundedPreceding, -1), over.rowsBetween(1, Window.unboundedFollowing)
-        carried = {"sum": lambda c: F.sum(c).over(before), "last": lambda c: F.last(c, True).over(before), "next": lambda c: F.first(c, True).over(after), "lag": lambda c: F.last(c, True).over(before)}
-        inner = Window.partitionBy("_range", *self.by).orderBy(*self.order)
-        upto, on = inner.rowsBetween(Window.unboundedPreceding, 0), inner.rowsBetween(0, Window.unboundedFollowing)
-        inside = {"sum": lambda c: F.sum(c).over(upto), "last": lambda c: F.last(some(c), True).over(upto), "next": lambda c: F.first(some(c), True).over(on), "lag": lambda c: F.lag(held(c)).over(inner)}
+        over = Window.partitionBy(*[f"_b{i}" for i in range(len(self.by))])
+        before, after = (over.orderBy(c).rowsBetween(Window.unboundedPreceding, -1) for c in (F.asc("_at"), F.desc("_at")))
+        carried = {"sum": lambda c: F.sum(c).over(before), "last": lambda c: F.last(c, True).over(before), "next": lambda c: F.last(c, True).over(after), "lag": lambda c: F.last(c, True).over(before)}
+        # what follows is what precedes in falling order: a frame that reaches to the end is computed anew for each row
+        inner, back = (Window.partitionBy("_range", *self.by).orderBy(*cols) for cols in (self.order, [c.desc() for c in self.order]))
+        upto, on = (w.rowsBetween(Window.unboundedPreceding, 0) for w in (inner, back))
+        inside = {"sum": lambda c: F.sum(c).over(upto), "last": lambda c: F.last(some(c), True).over(upto), "next": lambda c: F.last(some(c), True).over(on), "lag": lambda c: F.lag(held(c)).over(inner)}
 
         same = lambda: [F.col(b).eqNullSafe(F.col(f"_b{i}")) for i, b in enumerate(self.by)]
         reach = df.join(F.broadcast(self.groups), same(), "left_semi") if self.by else df

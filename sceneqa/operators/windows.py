@@ -64,11 +64,10 @@ def last_write(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 
 def nearest_fill(df: DataFrame, by: str, order: str, label: str, out: str) -> DataFrame:
     """A row without a label takes that of the nearest labelled row of its group; a tie goes to the lower one."""
-    w = _w([by], [order])
     at = F.when(F.col(label).isNotNull(), F.col(order))
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    lo, hi = F.last(at, True).over(back), F.first(at, True).over(ahead)
-    low, high = F.last(label, True).over(back), F.first(label, True).over(ahead)
+    back, ahead = (Window.partitionBy(by).orderBy(c).rowsBetween(Window.unboundedPreceding, 0) for c in (F.asc(order), F.desc(order)))
+    lo, hi = F.last(at, True).over(back), F.last(at, True).over(ahead)
+    low, high = F.last(label, True).over(back), F.last(label, True).over(ahead)
     lower = lo.isNotNull() & (hi.isNull() | (F.col(order) - lo <= hi - F.col(order)))
     return df.withColumn(out, F.when(lower, low).otherwise(high))
 
@@ -81,7 +80,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: str, time: str, value: s
     both = left.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).unionByName(right.select(by, time, F.col(value).alias("_v")).withColumn("_side", F.lit(0)), True)
     right_at = F.when(F.col("_side") == 0, F.struct(F.col(time).alias("t"), F.col("_v").alias("v")))
     before = F.last(right_at, True).over(Window.partitionBy(by).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(right_at, True).over(Window.partitionBy(by).orderBy(time, F.desc("_side")).rowsBetween(0, Window.unboundedFollowing))
+    after = F.last(right_at, True).over(Window.partitionBy(by).orderBy(F.desc(time), "_side").rowsBetween(Window.unboundedPreceding, 0))
     both = both.withColumn("_b", before).withColumn("_a", after)
     db, da = F.col(time) - F.col("_b.t"), F.col("_a.t") - F.col(time)
     near = F.when((db <= tolerance) & (da.isNull() | (db <= da)), F.col("_b.v")).when(da <= tolerance, F.col("_a.v"))

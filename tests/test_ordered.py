@@ -111,3 +111,17 @@ def test_intervals_with_instant(spark, parts):
         got = O.intervals_with_instant(i, t, "s", "e", "s", by, parts)
         assert sorted(r.k for r in got.collect()) == held(by) and got.columns == i.columns
         assert O.intervals_with_instant(i.limit(0), t, "s", "e", "s", by, parts).count() == O.intervals_with_instant(i, t.limit(0), "s", "e", "s", by, parts).count() == 0
+
+
+def test_no_frame_reaches_to_the_end(log):
+    """Spark computes such a frame anew for each row, so a range would cost the square of its rows."""
+    _, df = log
+    right = df.select("t", "g", F.col("v").alias("w")).where("w is not null")
+    made = [
+        O.Ranges(df, ["t"], ["g"], 3).scan(lasts={"l": "v"}, nexts={"n": "v"}), O.asof_nearest(df.select("t", "g"), right, "t", "w", 4, "near", ["g"], 3),
+        O.intervals_with_instant(df.select("t", (F.col("t") + 2).alias("e"), "g"), right, "t", "e", "t", ["g"], 3), O.nearest_fill(df.select("t", "v"), "t", "v", "f", (), 3),
+        windows.nearest_fill(df, "g", "t", "v", "f"), windows.asof_nearest(df.select("t", "g"), right, "g", "t", "w", 4, "near"),
+    ]
+    for out in made:
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
