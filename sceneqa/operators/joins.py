@@ -15,8 +15,21 @@ def lookup_last_wins(left: DataFrame, right: DataFrame, key: str, order: list[Co
     return out.withColumn(value, F.coalesce("_found", default if default is not None else F.lit(None))).drop("_found")
 
 
-def best_pick(left: DataFrame, right: DataFrame, on: Column, left_key: str, order: list[Column], right_key: str, missing) -> DataFrame:
-    """For each left row the candidate that comes first in order, `missing` without one. `on` should hold an equality."""
+def best_pick(left: DataFrame, right: DataFrame, on: Column, left_key: str, order: list[Column], right_key: str, missing, shape: tuple[list[str], list[str]] | None = None) -> DataFrame:
+    """For each left row the candidate that comes first in order, `missing` without one. `on` should hold an equality.
+
+    shape: the columns of left and of right on which `on` and `order` depend, but for its last, right_key. Rows that are equal in them
+    meet as one, so pairs grow with the different shapes and not with the rows.
+    """
+    if shape:
+        mine, theirs = shape
+        shapes = right.where(F.col(right_key).isNotNull()).groupBy(*theirs).agg(F.min(right_key).alias(right_key), F.count("*").alias("_n"))
+        first = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)], F.col(right_key).alias("_key"))
+        met = left.select(*mine).distinct().join(shapes, on).groupBy(*mine).agg(F.min(first).alias("_first"), F.sum("_n").alias("_n"))
+        met = met.select(*[F.col(c).alias(f"_m{i}") for i, c in enumerate(mine)], "_first", "_n")
+        every = left.select(left_key, *mine).join(met, [F.col(c).eqNullSafe(F.col(f"_m{i}")) for i, c in enumerate(mine)], "left")
+        picked = every.groupBy(left_key).agg(F.min("_first").alias("_first"), F.coalesce(F.sum("_n"), F.lit(0).cast("bigint")).alias("candidates"))
+        return picked.select(left_key, F.coalesce("_first._key", F.lit(missing)).alias("picked"), "candidates")
     pairs = left.join(right, on, "left")
     picked = pairs.groupBy(left_key).agg(F.min_by(right_key, F.when(F.col(right_key).isNotNull(), F.struct(*order))).alias("picked"), F.count(right_key).alias("candidates"))
     return picked.withColumn("picked", F.coalesce("picked", F.lit(missing)))

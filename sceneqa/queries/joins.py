@@ -80,7 +80,8 @@ def theta_best_pick(spark, sf):
     w = F.least(F.col("sx2"), F.col("x2") + 1) - F.greatest(F.col("sx1"), F.col("x1") - 1)
     h = F.least(F.col("sy2"), F.col("y2") + 1) - F.greatest(F.col("sy1"), F.col("y1") - 1)
     dx, dy = (F.col(f"s{c}1") + F.col(f"s{c}2") - F.col(f"{c}1") - F.col(f"{c}2") for c in "xy")
-    return J.best_pick(s, p, (F.col("brand") == F.col("pbrand")) & (w > 0) & (h > 0), "signal", [-(w * h), dx * dx + dy * dy, F.col("k")], "k", -1)
+    shape = ["brand", "sx1", "sy1", "sx2", "sy2"], ["pbrand", "x1", "y1", "x2", "y2"]
+    return J.best_pick(s, p, (F.col("brand") == F.col("pbrand")) & (w > 0) & (h > 0), "signal", [-(w * h), dx * dx + dy * dy, F.col("k")], "k", -1, shape)
 
 
 @query("select doc_id, lang from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
