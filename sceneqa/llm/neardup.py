@@ -1,11 +1,12 @@
-"""Near-duplicates by similarity of word shingles: candidates from MinHash bands, each verified on the whole sets.
+"""Near-duplicates by similarity of word shingles: candidates from SimHash with Golay keys and from MinHash bands, each verified on the whole sets.
 
-Two documents are linked if the Jaccard similarity of their sets of WIDTH-word shingles is SIMILARITY at least; a
-fingerprint of 64 bits cannot bring such pairs together (at 0.8 they differ in some ten bits, some in twice as many).
+Two documents are linked if the Jaccard similarity of their sets of WIDTH-word shingles is SIMILARITY at least. SimHash fingerprints of the
+sets bring together, by simhash.links(), those that differ in two bits at most. Fingerprints of 64 bits cannot do so with all
+pairs (at 0.8 they differ in some ten bits, some in twice as many), so bands find the rest.
 A band is ROWS minimum hashes: of BANDS bands a pair of similarity 0.8 shares none with probability 1.2e-7.
 
-Documents with equal sets are one node. Every node is first held against one other, the smallest of the smallest members of
-its buckets. Then, STARS times, a node that this leaves in another component than the smallest members of some of its buckets
+Documents with equal sets are one node. Every node is first held against those that Golay keys name (of nodes with one fingerprint the
+smallest stands for all, and they are held against it), and against the smallest of the smallest members of its buckets. Then, STARS times, a node that this leaves in another component than the smallest members of some of its buckets
 is held against one of each such component. So a group of near copies gives rows in proportion to its members. Pairs of a
 bucket that are still in different components are found by the prefixes of their sets: shingles in one order, those that
 many sets have last, of which each set sends the first fifth; similar sets share one of these for certain, and early enough. Texts that
@@ -30,6 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sceneqa.llm import simhash
 from sceneqa.llm.common import BLANK, LOWER, Workspace, byte_view, groups, hash_spans, mix, per_value, rolling, spans, text_array, tidy
 from sceneqa.llm.components import components
 
@@ -72,6 +74,18 @@ def signatures(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix((sums[at[1:]] - sums[at[:-1]]) ^ np.diff(at).astype(np.uint64), 11).view(np.int64)
 
 
+def fingerprints(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A SimHash fingerprint of each set: a bit is 1 if more than half of the shingles' hashes have it; 0 for an empty set."""
+    some = np.flatnonzero(np.diff(at))
+    out = np.zeros(len(at) - 1, np.uint64)
+    if len(some):
+        h, half = mix(flat, 17), np.diff(at)[some] / 2
+        for bit in range(64):
+            ones = np.add.reduceat((h >> np.uint64(bit) & np.uint64(1)).astype(np.uint32), at[some])
+            out[some] |= (ones > half).astype(np.uint64) << np.uint64(bit)
+    return out.view(np.int64)
+
+
 def band_keys(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """BANDS keys for each set, in a row, and its sketch as numbers of 64 bits; empty sets share theirs."""
     some = np.flatnonzero(np.diff(at))
@@ -91,7 +105,7 @@ def band_keys(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _marks(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, row (a hash of the whole row), sig, size, sketch, bands."""
+    """doc_id, row (a hash of the whole row), sig, size, fp, sketch, bands."""
 
     def lists(x: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
@@ -99,17 +113,18 @@ def _marks(docs: DataFrame, width: int) -> DataFrame:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs, sizes, bands, sketches = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, BANDS), np.int64)], [np.zeros((0, SKETCH // 32), np.int64)]
+            sigs, sizes, fps, bands, sketches = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, BANDS), np.int64)], [np.zeros((0, SKETCH // 32), np.int64)]
             for flat, at in shingle_sets(text_array(batch), width):
                 sigs.append(signatures(flat, at))
                 sizes.append(np.diff(at))
+                fps.append(fingerprints(flat, at))
                 keys, sketch = band_keys(flat, at)
                 bands.append(keys)
                 sketches.append(sketch)
-            columns = [pa.array(np.concatenate(sigs)), pa.array(np.concatenate(sizes)), lists(np.concatenate(sketches)), lists(np.concatenate(bands))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "row", "sig", "size", "sketch", "bands"])
+            columns = [pa.array(np.concatenate(sigs)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(fps)), lists(np.concatenate(sketches)), lists(np.concatenate(bands))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "row", "sig", "size", "fp", "sketch", "bands"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _row(docs).alias("row"), "text").mapInArrow(run, "doc_id bigint, row bigint, sig bigint, size bigint, sketch array<bigint>, bands array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _row(docs).alias("row"), "text").mapInArrow(run, "doc_id bigint, row bigint, sig bigint, size bigint, fp bigint, sketch array<bigint>, bands array<bigint>")
 
 
 def _row(docs: DataFrame):
@@ -193,6 +208,15 @@ def _fits(a: str, b: str, similarity: float):
     return (F.least(f"{a}size", f"{b}size") >= similarity * F.greatest(f"{a}size", f"{b}size")) & (far <= FAR)
 
 
+def _golay(nodes: DataFrame, ws: Workspace) -> DataFrame:
+    """u, v: pairs of nodes whose fingerprints are equal, or differ in two bits at most, with one node of each fingerprint in the latter."""
+    heads = ws.table(nodes.groupBy("fp").agg(F.min("sig").alias("head")), "heads")
+    same = nodes.select("fp", "sig").join(heads, "fp").where("sig <> head").select(F.col("head").alias("u"), F.col("sig").alias("v"))
+    of = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head"))
+    close = simhash.links(heads, ws).join(of("u"), "u").join(of("v"), "v")
+    return ws.table(same.union(close.select(F.least("u_head", "v_head"), F.greatest("u_head", "v_head"))).distinct(), "golay")
+
+
 def _mixed(marked: DataFrame, named: DataFrame, ws: Workspace, name: str) -> DataFrame:
     """The rows of marked, with their roots, in buckets that hold several components; head: the bucket's smallest member and its root."""
     parts = ws.table(marked.select("key", "sig", "size", "sketch").join(named, "sig"), f"{name}-parts")
@@ -266,13 +290,14 @@ def cluster(docs: DataFrame, ws: Workspace, width: int = WIDTH, similarity: floa
     if similarity < SIMILARITY:
         raise ValueError("the bands hold for similarities of 0.8 and more")
     marks = ws.table(_marks(docs, width), "marks")
-    nodes = ws.table(marks.groupBy("sig").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "nodes")
+    nodes = ws.table(marks.groupBy("sig").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "nodes")
     keys = nodes.select(F.explode("bands").alias("key"), "sig")
     shared = ws.table(keys.groupBy("key").agg(F.min("sig").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head"), "shared")
     met = ws.table(keys.join(shared, "key").select("key", "sig", "head"), "met")
     sizes = nodes.select("sig", "size", "sketch")
     marked = ws.table(met.select("key", "sig").join(sizes, "sig"), "marked")
     tried = met.where("sig <> head").groupBy("sig").agg(F.min("head").alias("head"))
+    tried = tried.unionByName(_golay(nodes, Workspace(docs.sparkSession, "neardup-golay")).select(F.col("u").alias("head"), F.col("v").alias("sig"))).distinct()
     tried = tried.join(sizes, "sig").join(sizes.select(F.col("sig").alias("head"), F.struct("size", "sketch").alias("h")), "head")
     tried = tried.select(F.col("head").alias("u"), F.col("sig").alias("v"), "size", "sketch", "h").where(_fits("", "h.", similarity)).select("u", "v")
     tried = ws.table(tried, "first")

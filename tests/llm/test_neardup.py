@@ -3,6 +3,8 @@
 import re
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from sceneqa.llm import neardup
@@ -90,3 +92,26 @@ def test_columns_of_any_name(spark):
 
 def test_nothing_to_dedup(empty):
     assert neardup.dedup(empty).count() == 0
+
+
+def test_golay_keys_bring_candidates(spark):
+    """Fingerprints of sets against plain Python, and every pair within two bits is reached."""
+    texts = [t for _, t in copies(40, 200, 1, 31)] + [prose(800 + i, 60) for i in range(30)] + ["", "a b", "A  b"]
+    flat, at = next(neardup.shingle_sets(pa.array(texts)))
+    fps = neardup.fingerprints(flat, at).view(np.uint64).tolist()
+    mixed = [neardup.mix(flat[a:b], 17).tolist() for a, b in zip(at[:-1], at[1:])]
+    assert fps == [sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hs) > len(hs)) for hs in mixed] and len(set(fps)) > 30
+    sigs = neardup.signatures(flat, at).tolist()
+    nodes = spark.createDataFrame([(s, f - (f >> 63 << 64)) for s, f in dict(zip(sigs, fps)).items()], "sig bigint, fp bigint")
+    up = {s: s for s in sigs}
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for u, v in map(tuple, neardup._golay(nodes, neardup.Workspace(spark, "golay-test")).collect()):
+        assert u < v
+        up[max(root(u), root(v))] = min(root(u), root(v))
+    close = [(a, b) for i, a in enumerate(sigs) for j, b in enumerate(sigs[:i]) if a != b and (fps[i] ^ fps[j]).bit_count() <= 2]
+    assert close and all(root(a) == root(b) for a, b in close)
