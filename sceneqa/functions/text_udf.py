@@ -10,6 +10,7 @@ import json
 import math
 import operator
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -218,6 +219,7 @@ _LATEX = [
 ]
 
 
+@lru_cache(1 << 14)  # a worker keeps the values of its last texts: answers repeat, over batches too
 def number(text: str | None) -> float | None:
     """The value of an arithmetic expression, in Python's or LaTeX's notation; null if it is none, or too large. Nothing else is evaluated."""
     if text is None or len(text) > 500:
