@@ -1,6 +1,7 @@
 """Geometry as Column expressions: boxes, quaternions, projection, overlap, schedules.
 
-Angles are radians, quaternions are [w, x, y, z] arrays, boxes are x1, y1, x2, y2. Everything stays in generated code.
+Angles are radians, quaternions are [w, x, y, z] arrays, boxes are x1, y1, x2, y2. Everything stays in generated code
+but the search for a contact, whose steps are numpy's for a batch of rows at once.
 """
 
 from __future__ import annotations
@@ -8,8 +9,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 Box = Sequence[Column]
 
@@ -236,22 +241,43 @@ def ttc_obb(ego: Sequence[Column], other: Sequence[Column], velocity: Sequence[C
             along = [x * ux + y * uy for x, y in ((bx - ax, by - ay), velocity, acceleration)]
             axes.append(F.struct(along[0].alias("p"), along[1].alias("v"), (along[2] / 2).alias("a"), reach.alias("r")))
 
-    def search(s: Column) -> Column:
-        def near(t: Column) -> Column:
-            return F.forall(s["axes"], lambda x: F.abs(x["p"] + x["v"] * t + x["a"] * t * t) <= x["r"])
-
-        def halve(state: Column, _: Column) -> Column:
-            mid = (state["lo"] + state["hi"]) / 2
-            return F.when(near(mid), F.struct(state["lo"].alias("lo"), mid.alias("hi"))).otherwise(F.struct(mid.alias("lo"), state["hi"].alias("hi")))
-
-        hit = F.get(F.filter(F.sequence(F.lit(1), F.lit(round(horizon / step))), lambda k: near(k * step)), 0)
-        halvings = math.ceil(math.log2(step / fine))
-        found = F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), F.struct(((hit - 1) * step).alias("lo"), (hit * step).alias("hi")), halve)["hi"]
-        return F.when(near(F.lit(0.0)), F.lit(0.0)).when(s["moves"], found)
-
     moves = (F.hypot(*velocity) >= 0.1) | (F.hypot(*acceleration) >= 0.1)
-    # one element, so the axes are computed once for all steps
-    return F.get(F.transform(F.array(F.struct(F.array(*axes).alias("axes"), moves.alias("moves"))), search), 0)
+    # a null on any axis is no contact
+    known = F.array(*axes)
+    whole = F.forall(known, lambda x: (x["p"] + x["v"] + x["a"] + x["r"]).isNotNull())
+    parts = [x.getField(c) for x in axes for c in "pvar"]
+    return F.when(whole, _first_contact(horizon, step, fine)(F.coalesce(moves, F.lit(False)), *parts))
+
+
+def _first_contact(horizon: float, step: float, fine: float):
+    """A Column function of whether a box moves and p, v, a, r of each of four axes."""
+
+    @pandas_udf(DoubleType())
+    def search(moves: pd.Series, *parts: pd.Series) -> pd.Series:
+        every = np.array([c.to_numpy(float) for c in parts]).reshape(4, 4, -1)
+
+        def near(x: np.ndarray, t: float | np.ndarray) -> np.ndarray:
+            p, v, a, r = x.transpose(1, 0, 2)
+            return ((np.abs(p + v * t + a * t * t) <= r) | np.isnan(r)).all(axis=0)  # to Spark NaN is above all numbers
+
+        with np.errstate(all="ignore"):
+            now = near(every, 0.0)
+            out = np.where(now, 0.0, np.nan)
+            left = np.flatnonzero(~now & moves.to_numpy(bool))
+            x = every[:, :, left]
+            for k in range(1, round(horizon / step) + 1):
+                hit = near(x, k * step)
+                if hit.any():
+                    y, lo, hi = x[:, :, hit], np.full(hit.sum(), (k - 1) * step), np.full(hit.sum(), k * step)
+                    for _ in range(math.ceil(math.log2(step / fine))):
+                        mid = (lo + hi) / 2
+                        there = near(y, mid)
+                        lo, hi = np.where(there, lo, mid), np.where(there, mid, hi)
+                    out[left[hit]] = hi
+                    left, x = left[~hit], x[:, :, ~hit]
+        return pd.Series(out)
+
+    return search
 
 
 def directions(label: Column) -> Column:
