@@ -18,7 +18,9 @@ META_KEYWORDS = [
 ]
 #: Where a sentence can begin: a search that starts there alone takes a long sentence once, not once for each of its places.
 BEGIN = r"(?:(?<![^.!?\n])|\G)"
-META = rf"(?i){BEGIN}[^.!?\n]*\b(?:" + "|".join(META_KEYWORDS) + r")\b[^.!?\n]*[.!?]?\s*"
+#: A keyword's first letter is looked at before all keywords are tried at a place.
+_FIRST = "".join(sorted({k[0].lower() for k in META_KEYWORDS}))
+META = rf"(?i){BEGIN}[^.!?\n]*(?=[{_FIRST}])\b(?:" + "|".join(META_KEYWORDS) + r")\b[^.!?\n]*[.!?]?\s*"
 #: Phrases and what stands for them, in order (fixed values).
 PHRASES = [
     (r"(?i)no objects? with (?:a 3D position or )?OBJ IDs?", "no object"),
@@ -33,7 +35,7 @@ CONTROL = r"[\x00-\x08\x0B-\x0C\x0E-\x1F]"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def tidy(text: Column) -> Column:
@@ -191,22 +193,33 @@ def contract_reason(answer_type: Column, answer: Column, options: Column) -> Col
 REF_START, REF_END, BOX_START, BOX_END = "<|object_ref_start|>", "<|object_ref_end|>", "<|box_start|>", "<|box_end|>"
 LABEL = r"<\|object_ref_start\|>(.*?)<\|object_ref_end\|>"
 BOX = r"<\|box_start\|>\((\d+),(\d+)\),\((\d+),(\d+)\)<\|box_end\|>"
+_BOX = r"<\|box_start\|>\((\d+,\d+\),\(\d+,\d+)\)<\|box_end\|>"  # its numbers in one group
 GROUNDING = "struct<grounding:array<struct<image_idx:int,camera:string,ref:string>>>"
 
 
 def render_ref(label: Column, box: list[Column]) -> Column:
     """A label and its box between the grounding tokens."""
-    return F.format_string(f"{REF_START}%s{REF_END}{BOX_START}(%d,%d),(%d,%d){BOX_END}", label, *box)
+    told = [F.coalesce(c, F.lit("null")) for c in (label.cast("string"), *[b.cast("bigint").cast("string") for b in box])]
+    marks = [F.lit(m) for m in (REF_START, f"{REF_END}{BOX_START}(", ",", "),(", ",", f"){BOX_END}")]
+    return F.concat(marks[0], *[part for pair in zip(told, marks[1:], strict=True) for part in pair])
+
+
+def _let(value: Column, fn) -> Column:
+    """fn of a value that is computed once, wherever fn names it: inside lambdas Spark computes an expression at each place anew."""
+    return F.get(F.transform(F.array(value), fn), 0)
 
 
 def _entry(image: Column, label: Column, box: Column) -> Column:
     """struct(image, label, box, ok): the four numbers found; a box is ok with an area and numbers up to 1000, else it is null."""
-    ok = (F.get(box, 0) < F.get(box, 2)) & (F.get(box, 1) < F.get(box, 3)) & F.forall(box, lambda v: v.between(0, 1000))
-    return F.struct(image.cast("int").alias("image"), F.coalesce(strip(label), F.lit("")).alias("label"), F.when(ok, box).alias("box"), ok.alias("ok"))
+    fits = lambda b: (F.get(b, 0) < F.get(b, 2)) & (F.get(b, 1) < F.get(b, 3)) & F.forall(b, lambda v: v.between(0, 1000))
+    told = lambda b: F.struct(b.alias("box"), fits(b).alias("ok"))
+    entry = lambda t: F.struct(image.cast("int").alias("image"), F.coalesce(strip(label), F.lit("")).alias("label"), F.when(t["ok"], t["box"]).alias("box"), t["ok"].alias("ok"))
+    return _let(_let(box, told), entry)
 
 
-def _numbers(text: Column, pattern: str, first: int) -> Column:
-    return F.array(*[F.regexp_extract(text, pattern, i).try_cast("bigint") for i in range(first, first + 4)])
+def _numbers(text: Column) -> Column:
+    """The four numbers of the first box of a text that has one."""
+    return F.transform(F.split(F.regexp_extract(text, _BOX, 1), r"\D+"), lambda v: v.try_cast("bigint"))
 
 
 def parse_refs(value: Column) -> Column:
@@ -215,10 +228,8 @@ def parse_refs(value: Column) -> Column:
     Of a JSON reply: its grounding entries with a view of 1..6 and a box. Of any other text: its boxes in order, each with
     the last view named before it and the last label since the box before; a box without such a view is left out.
     """
-    entries = F.from_json(value, GROUNDING)["grounding"]
-    known = F.filter(entries, lambda g: g["image_idx"].between(1, 6) & g["ref"].rlike(BOX))
-    label = lambda t, p, i: F.when(t.rlike(p), F.regexp_extract(t, p, i))
-    whole = F.transform(known, lambda g: _entry(g["image_idx"], label(g["ref"], LABEL, 1), _numbers(g["ref"], BOX, 1)))
+    known = lambda entries: F.filter(entries, lambda g: g["image_idx"].between(1, 6) & g["ref"].rlike(BOX))
+    whole = lambda entries: F.transform(known(entries), lambda g: _entry(g["image_idx"], F.regexp_extract(g["ref"], LABEL, 1), _numbers(g["ref"])))
     parts = rf'(?s)"image_idx"\s*:\s*(\d+)|{LABEL}|{BOX}'
     none = F.struct(F.lit(None).cast("int").alias("image"), F.lit(None).cast("string").alias("label"), F.array().cast("array<struct<image:int,label:string,box:array<bigint>,ok:boolean>>").alias("out"))
 
@@ -226,12 +237,17 @@ def parse_refs(value: Column) -> Column:
         view, name = F.regexp_extract(part, parts, 1), F.regexp_extract(part, parts, 2)
         is_view, is_name = part.startswith('"image_idx"'), part.startswith(REF_START)
         fits = ~is_view & ~is_name & state["image"].between(1, 6)
-        out = F.when(fits, F.concat(state["out"], F.array(_entry(state["image"], state["label"], _numbers(part, parts, 3))))).otherwise(state["out"])
+        out = F.when(fits, F.concat(state["out"], F.array(_entry(state["image"], state["label"], _numbers(part))))).otherwise(state["out"])
         label_ = F.when(is_name, name).when(fits, F.lit(None)).otherwise(state["label"])
         return F.struct(F.when(is_view, view.try_cast("int")).otherwise(state["image"]).alias("image"), label_.alias("label"), out.alias("out"))
 
-    scanned = F.aggregate(F.regexp_extract_all(value, F.lit(parts), F.lit(0)), none, step)["out"]
-    return F.when(entries.isNotNull(), whole).otherwise(scanned)
+    def read(text: Column) -> Column:
+        scanned = F.aggregate(F.regexp_extract_all(text, F.lit(parts), F.lit(0)), none, step)["out"]
+        # a text that can't have the field, its name escaped or not, isn't parsed: failures cost most
+        named = F.contains(text, F.lit("grounding")) | F.contains(text, F.lit("\\u"))
+        return _let(F.when(named, F.from_json(text, GROUNDING)["grounding"]), lambda entries: F.when(entries.isNotNull(), whole(entries)).otherwise(scanned))
+
+    return _let(value, read)
 
 
 def mask_near(text: Column, word: str, replacement: str) -> Column:

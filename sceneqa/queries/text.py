@@ -102,8 +102,9 @@ def ref_render_parse(spark, sf):
     ref = T.render_ref(F.col("l_returnflag"), [q, n * 3, F.lit(45), n * 3 + 25])
     whole = F.to_json(F.struct(F.lit("x").alias("reasoning"), F.array(F.struct(v.alias("image_idx"), F.lit("Front").alias("camera"), ref.alias("ref"))).alias("grounding")))
     broken = F.concat(F.lit('{"image_idx": '), v.cast("string"), F.lit(", oops "), F.regexp_replace(ref, T.LABEL, ""))
-    parsed = F.get(T.parse_refs(F.when(n % 2 == 0, whole).otherwise(broken)), 0)
-    out = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", parsed.alias("r")).where("r is not null")
+    first = F.slice(T.parse_refs(F.when(n % 2 == 0, whole).otherwise(broken)), 1, 1)
+    # exploded, as a filter on a projected column would parse the text once more
+    out = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.explode_outer(first).alias("r")).where("r is not null")
     return out.select("l_orderkey", "l_linenumber", "r.image", "r.label", F.when(F.col("r.box").isNotNull(), F.array_join(F.transform("r.box", lambda x: x.cast("string")), ",")).alias("box"), "r.ok")
 
 
