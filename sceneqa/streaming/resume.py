@@ -30,6 +30,11 @@ def append_once(stream: DataFrame, out: str, checkpoint: str, keys: list[str]) -
     _append(stream.dropDuplicates(keys), out, checkpoint)
 
 
+def _tuples(frame: pd.DataFrame, columns: list[str]) -> list[tuple]:
+    """Some columns row by row, what is missing as None. A frame is a few rows of one key, of which lists cost less than a table's operations."""
+    return list(zip(*[[None if v is None or v is pd.NaT or v is pd.NA or v != v else v for v in frame[c].tolist()] for c in columns], strict=True))
+
+
 def newest(stream: DataFrame, keys: list[str], order: list[str], time: str | None = None, keep: str = "30 days") -> DataFrame:
     """Rows that are later, by `order`, than all before them of their key: the changes that make `last row wins`.
 
@@ -48,9 +53,10 @@ def newest(stream: DataFrame, keys: list[str], order: list[str], time: str | Non
             return
         best, at, seen = None, rank(held.get) if held.exists else None, 0
         for frame in frames:
-            for i, row in enumerate(frame[order].astype(object).where(frame[order].notna(), None).itertuples(index=False, name=None)):
-                if at is None or rank(row) > at:
-                    best, at = frame.iloc[[i]], rank(row)
+            ranks = [rank(row) for row in _tuples(frame, order)]
+            i = max(range(len(ranks)), key=ranks.__getitem__, default=None)
+            if i is not None and (at is None or ranks[i] > at):
+                best, at = frame.iloc[[i]], ranks[i]
             if time:
                 seen = max(seen, int(frame[time].max().timestamp() * 1000))
         if best is not None:
