@@ -22,10 +22,9 @@ def _boxes(spark, sf):
     li = table(spark, sf, "lineitem").withColumn("idx", idx)
     q, n, s = F.col("l_quantity").cast("double"), F.col("l_linenumber"), F.col("l_suppkey")
     base = [F.col("l_orderkey").alias("sample"), F.col("idx"), (s % 6 + 1).cast("int").alias("view"), F.col("l_returnflag").alias("label")]
-    gt = li.select(*base, F.lit("gt").alias("side"), F.lit(1.0).alias("score"), q.alias("x1"), (n * 3.0).alias("y1"), (q + 20).alias("x2"), (n * 3.0 + 15).alias("y2"))
     d = (s % 9).cast("double")
-    pred = li.where(s % 5 != 0).select(*base, F.lit("pred").alias("side"), F.lit(1.0).alias("score"), (q + d).alias("x1"), (n * 3.0).alias("y1"), (q + d + 20).alias("x2"), (n * 3.0 + 15).alias("y2"))
-    return gt.union(pred)
+    box = lambda side, dx: F.struct(F.lit(side).alias("side"), F.lit(1.0).alias("score"), (q + dx).alias("x1"), (n * 3.0).alias("y1"), (q + dx + 20).alias("x2"), (n * 3.0 + 15).alias("y2"))
+    return li.select(*base, F.inline(F.array_compact(F.array(box("gt", 0), F.when(s % 5 != 0, box("pred", d))))))
 
 
 _BOXES = """
@@ -62,10 +61,10 @@ def _scored(spark, sf):
     p, s, x, y = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity").cast("double"), F.col("l_linenumber") * 3.0
     w, h, d = 8 + p % 13 * 9, 6 + s % 11 * 12, s % 9
     base = [F.concat(F.lit("d"), F.col("l_orderkey") % 4).alias("dataset"), F.col("l_orderkey").alias("sample"), F.col("idx"), F.col("l_returnflag").alias("label")]
-    box = lambda dx: [(x + dx).alias("x1"), y.alias("y1"), (x + dx + w).alias("x2"), (y + h).alias("y2")]
-    gt = li.select(*base, F.lit("gt").alias("side"), F.lit(None).cast("double").alias("score"), (p % 29 == 0).alias("crowd"), *box(F.lit(0)))
-    pred = li.where(s % 5 != 0).select(*base, F.lit("pred").alias("side"), ((p * 7 + F.col("l_linenumber") * 13) % 10 / 10.0).alias("score"), F.lit(False).alias("crowd"), *box(d))
-    return gt.union(pred)
+    box = lambda side, score, crowd, dx: F.struct(F.lit(side).alias("side"), score.alias("score"), crowd.alias("crowd"), (x + dx).alias("x1"), y.alias("y1"), (x + dx + w).alias("x2"), (y + h).alias("y2"))
+    gt = box("gt", F.lit(None).cast("double"), p % 29 == 0, F.lit(0))
+    pred = box("pred", (p * 7 + F.col("l_linenumber") * 13) % 10 / 10.0, F.lit(False), d)
+    return li.select(*base, F.inline(F.array_compact(F.array(gt, F.when(s % 5 != 0, pred)))))
 
 
 #: Predictions by falling score each take, per area a and threshold t, the first of their candidates (those that count first, then by overlap,
